@@ -1,0 +1,30 @@
+"""Lists per key that stay bounded however many rows a key has."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+# Most entries that one output row's list is meant to hold.
+PART_SIZE = 10_000
+
+
+def assign_parts(rows: DataFrame, keys: list[str], item: Column, part_size: int = PART_SIZE) -> DataFrame:
+    """Add ``part`` and ``parts`` so that a key's rows fall into lists of about ``part_size``.
+
+    A key with at most ``part_size`` rows has one part, so its list is whole. A larger one is spread
+    over several parts by a hash of the item; together they hold every row. Only the keys above the
+    limit are joined back, and those are few: at most rows / part_size.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    large = sizes.where(F.col("_n") > part_size).select(
+        *keys, F.ceil(F.col("_n") / part_size).cast("int").alias("_parts")
+    )
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    return (
+        rows.join(large, keys, "left")
+        .withColumn("parts", parts)
+        .withColumn("part", F.pmod(F.xxhash64(item), parts).cast("int"))
+        .drop("_parts")
+        # Spread a large key by its parts; without this its rows would stay where the join put them.
+        .repartition(*keys, "part")
+    )
