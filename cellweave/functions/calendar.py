@@ -7,7 +7,6 @@ from pyspark.sql import Column, functions as F
 from cellweave.constants import SEASON_MONTHS
 
 FREQUENCIES = ("monthly", "seasonal", "annual")
-_YMD = "year int, month int, day int, seconds double"
 
 
 def season_number(month: Column) -> Column:
@@ -55,8 +54,9 @@ def period_stamp(key: Column, freq: str) -> Column:
 # --- CF time: a number, "<unit> since <date>", and a calendar --------------------------------
 
 _UNIT_PATTERN = r"^\s*(\w+)\s+since\s+(\d{1,4})-(\d{1,2})-(\d{1,2})(?:[T ]+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?)?"
-# Days before each month in a year of 365 days.
+# Days before each month in a year of 365 days, and the length of each.
 _NOLEAP_STARTS = [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334]
+_NOLEAP_LENGTHS = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
 _FIRST_GREGORIAN_DAY = -141427  # 1582-10-15, in days from 1970-01-01
 
 
@@ -81,11 +81,14 @@ def _origin_seconds(units: Column) -> Column:
 
 def _noleap_day(year: Column, month: Column, day: Column) -> Column:
     starts = F.array(*[F.lit(n) for n in _NOLEAP_STARTS])
-    return year.cast("long") * 365 + F.try_element_at(starts, month) + day - 1
+    lengths = F.array(*[F.lit(n) for n in _NOLEAP_LENGTHS])
+    real = month.between(1, 12) & (day >= 1) & (day <= F.try_element_at(lengths, month))
+    return F.when(real, year.cast("long") * 365 + F.try_element_at(starts, month) + day - 1)
 
 
 def _day360(year: Column, month: Column, day: Column) -> Column:
-    return year.cast("long") * 360 + (month - 1) * 30 + day - 1
+    real = month.between(1, 12) & day.between(1, 30)
+    return F.when(real, year.cast("long") * 360 + (month - 1) * 30 + day - 1)
 
 
 def _gregorian_day(year: Column, month: Column, day: Column) -> Column:
@@ -148,7 +151,7 @@ def cf_decode(value: Column, units: Column, calendar: Column) -> Column:
             (name == "360_day") & day_no.isNotNull(),
             parts(F.floor(day_no / 360), F.floor(in_year360 / 30) + 1, in_year360 % 30 + 1),
         )
-        .cast(f"struct<{_YMD.replace(' ', ':').replace(',:', ',')}>")
+        .cast("struct<year:int,month:int,day:int,seconds:double>")
     )
 
 
