@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cellweave.constants import SEASON_MONTHS
 
@@ -53,30 +53,13 @@ def period_stamp(key: Column, freq: str) -> Column:
 
 # --- CF time: a number, "<unit> since <date>", and a calendar --------------------------------
 
-_UNIT_PATTERN = r"^\s*(\w+)\s+since\s+(\d{1,4})-(\d{1,2})-(\d{1,2})(?:[T ]+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?)?"
 # Days before each month in a year of 365 days, and the length of each.
 _NOLEAP_STARTS = [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334]
 _NOLEAP_LENGTHS = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
 _FIRST_GREGORIAN_DAY = -141427  # 1582-10-15, in days from 1970-01-01
-
-
-def _unit_seconds(units: Column) -> Column:
-    unit = F.lower(F.regexp_extract(units, _UNIT_PATTERN, 1))
-    return (
-        F.when(unit.isin("day", "days", "d"), 86400)
-        .when(unit.isin("hour", "hours", "hr", "h"), 3600)
-        .when(unit.isin("minute", "minutes", "min"), 60)
-        .when(unit.isin("second", "seconds", "sec", "s"), 1)
-    )
-
-
-def _origin_part(units: Column, group: int) -> Column:
-    text = F.regexp_extract(units, _UNIT_PATTERN, group)
-    return F.when(text != "", text.cast("int")).otherwise(0)
-
-
-def _origin_seconds(units: Column) -> Column:
-    return _origin_part(units, 5) * 3600 + _origin_part(units, 6) * 60 + _origin_part(units, 7)
+_GREGORIAN = ("standard", "gregorian", "proleptic_gregorian")
+_NOLEAP = ("noleap", "365_day")
+_TEMPORARY = ["_cal", "_origin", "_unit", "_offset", "_shift", "_seconds", "_day", "_in365", "_month365"]
 
 
 def _noleap_day(year: Column, month: Column, day: Column) -> Column:
@@ -93,73 +76,109 @@ def _day360(year: Column, month: Column, day: Column) -> Column:
 
 def _gregorian_day(year: Column, month: Column, day: Column) -> Column:
     # A day that the calendar does not have is NULL here, also under ANSI rules.
-    text = F.concat_ws(
-        "-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")
-    )
-    day_no = F.unix_date(text.try_cast("date")).cast("long")
-    return F.when(day_no >= _FIRST_GREGORIAN_DAY, day_no)
+    text = F.format_string("%04d-%02d-%02d", year, month, day)
+    return F.unix_date(text.try_cast("date")).cast("long")
 
 
-def _calendar(calendar: Column) -> Column:
-    return F.lower(F.coalesce(calendar, F.lit("standard")))
-
-
-def _day_number(calendar: Column, year: Column, month: Column, day: Column) -> Column:
-    name = _calendar(calendar)
+def _day_number(year: Column, month: Column, day: Column) -> Column:
+    """Days on the scale of the calendar in ``_cal``; NULL for a day or calendar that does not exist."""
+    name = F.col("_cal")
     return (
-        F.when(name.isin("standard", "gregorian", "proleptic_gregorian"), _gregorian_day(year, month, day))
-        .when(name.isin("noleap", "365_day"), _noleap_day(year, month, day))
+        F.when(name.isin(*_GREGORIAN), _gregorian_day(year, month, day))
+        .when(name.isin(*_NOLEAP), _noleap_day(year, month, day))
         .when(name == "360_day", _day360(year, month, day))
     )
 
 
-def cf_decode(value: Column, units: Column, calendar: Column) -> Column:
-    """A CF time value as ``struct<year, month, day, seconds>``.
+def _usable(day_no: Column) -> Column:
+    """No standard-calendar day before 15 October 1582, where that calendar is not the proleptic one."""
+    return F.when(~F.col("_cal").isin(*_GREGORIAN) | (day_no >= _FIRST_GREGORIAN_DAY), day_no)
 
-    The parts are plain numbers, since 30 February exists in a 360-day calendar but not as a date.
-    NULL for units or calendars outside the supported set, and for standard-calendar dates before
-    15 October 1582, where that calendar is not the proleptic one.
-    """
-    name = _calendar(calendar)
-    origin = _day_number(calendar, _origin_part(units, 2), _origin_part(units, 3), _origin_part(units, 4))
-    total = value * _unit_seconds(units) + _origin_seconds(units)
-    shift = F.floor(total / 86400)
-    seconds = total - shift * 86400
-    day_no = origin + shift
-
-    date = F.date_from_unix_date(
-        F.when(name.isin("standard", "gregorian", "proleptic_gregorian") & (day_no >= _FIRST_GREGORIAN_DAY), day_no).cast("int")
-    )
-    in_year = F.pmod(day_no, F.lit(365))
-    starts = F.array(*[F.lit(n) for n in _NOLEAP_STARTS])
-    month365 = F.size(F.filter(starts, lambda s: s <= in_year))
-    day365 = in_year - F.try_element_at(starts, month365) + 1
-    in_year360 = F.pmod(day_no, F.lit(360))
 
-    def parts(y: Column, m: Column, d: Column) -> Column:
-        return F.struct(
-            y.cast("int").alias("year"), m.cast("int").alias("month"), d.cast("int").alias("day"), seconds.alias("seconds")
-        )
+def _parse_units(df: DataFrame, units: str, calendar: str) -> DataFrame:
+    """Add origin day, seconds per unit and seconds of the origin, each computed once per row."""
+    unit = F.lower(F.trim(F.substring_index(units, " since ", 1)))
+    parts = F.split(F.trim(F.substring_index(units, " since ", -1)), "[-T: ]+")
+    df = df.withColumns({"_cal": F.lower(F.coalesce(calendar, F.lit("standard"))), "_parts": parts})
 
-    return (
-        F.when(date.isNotNull(), parts(F.year(date), F.month(date), F.dayofmonth(date)))
-        .when(
-            name.isin("noleap", "365_day") & day_no.isNotNull(),
-            parts(F.floor(day_no / 365), month365, day365),
-        )
-        .when(
-            (name == "360_day") & day_no.isNotNull(),
-            parts(F.floor(day_no / 360), F.floor(in_year360 / 30) + 1, in_year360 % 30 + 1),
-        )
-        .cast("struct<year:int,month:int,day:int,seconds:double>")
+    def part(i: int) -> Column:
+        return F.try_element_at("_parts", F.lit(i)).try_cast("int")
+
+    df = df.withColumns(
+        {
+            "_y": part(1),
+            "_m": part(2),
+            "_d": part(3),
+            "_offset": F.coalesce(part(4), F.lit(0)) * 3600 + F.coalesce(part(5), F.lit(0)) * 60 + F.coalesce(part(6), F.lit(0)),
+            "_unit": F.when(unit.isin("day", "days", "d"), 86400)
+            .when(unit.isin("hour", "hours", "hr", "h"), 3600)
+            .when(unit.isin("minute", "minutes", "min"), 60)
+            .when(unit.isin("second", "seconds", "sec", "s"), 1),
+        }
     )
+    origin = _usable(_day_number(F.col("_y"), F.col("_m"), F.col("_d")))
+    return df.withColumn("_origin", origin).drop("_parts", "_y", "_m", "_d")
+
 
+def decode_time(
+    df: DataFrame, value: str = "time_value", units: str = "time_units", calendar: str = "calendar"
+) -> DataFrame:
+    """Add ``year, month, day, seconds`` of a CF time value.
 
-def cf_encode(year: Column, month: Column, day: Column, seconds: Column, units: Column, calendar: Column) -> Column:
-    """The inverse of :func:`cf_decode`: calendar parts to a number in ``units``."""
-    origin = _day_number(calendar, _origin_part(units, 2), _origin_part(units, 3), _origin_part(units, 4))
-    days = _day_number(calendar, year, month, day) - origin
-    return (days * 86400 + seconds - _origin_seconds(units)) / _unit_seconds(units)
+    The parts are plain numbers, since 30 February exists in a 360-day calendar but not as a date.
+    They are NULL for unknown units or calendars. The steps are separate projections on purpose: the
+    optimizer keeps them apart, so no step is computed more than once per row.
+    """
+    total = F.col(value) * F.col("_unit") + F.col("_offset")
+    out = _parse_units(df, units, calendar).withColumn("_seconds", total)
+    out = out.withColumn("_shift", F.floor(F.col("_seconds") / 86400))
+    out = out.withColumns(
+        {"_day": _usable(F.col("_origin") + F.col("_shift")), "_seconds": F.col("_seconds") - F.col("_shift") * 86400}
+    )
+    out = out.withColumns(
+        {
+            "_date": F.when(F.col("_cal").isin(*_GREGORIAN), F.date_from_unix_date(F.col("_day").cast("int"))),
+            "_in365": F.pmod(F.col("_day"), F.lit(365)).cast("int"),
+        }
+    )
+    month365 = F.lit(1)
+    for start in _NOLEAP_STARTS[1:]:
+        month365 = month365 + F.when(F.col("_in365") >= start, 1).otherwise(0)
+    out = out.withColumn("_month365", month365)
+    day, date, in365 = F.col("_day"), F.col("_date"), F.col("_in365")
+    starts = F.array(*[F.lit(n) for n in _NOLEAP_STARTS])
+    is_date, is365 = F.col("_cal").isin(*_GREGORIAN), F.col("_cal").isin(*_NOLEAP)
+    return out.withColumns(
+        {
+            "year": F.when(is_date, F.year(date)).when(is365, F.floor(day / 365)).otherwise(F.floor(day / 360)).cast("int"),
+            "month": F.when(is_date, F.month(date))
+            .when(is365, F.when(day.isNotNull(), F.col("_month365")))
+            .otherwise(F.floor(F.pmod(day, F.lit(360)) / 30) + 1)
+            .cast("int"),
+            "day": F.when(is_date, F.dayofmonth(date))
+            .when(is365, in365 - F.element_at(starts, F.col("_month365")) + 1)
+            .otherwise(F.pmod(day, F.lit(30)) + 1)
+            .cast("int"),
+            "seconds": F.when(day.isNotNull(), F.col("_seconds")),
+        }
+    ).drop(*_TEMPORARY, "_date")
+
+
+def encode_time(
+    df: DataFrame,
+    year: Column,
+    month: Column,
+    day: Column,
+    seconds: Column,
+    units: str = "time_units",
+    calendar: str = "calendar",
+    out: str = "time_value",
+) -> DataFrame:
+    """Add ``out``: calendar parts as a number in ``units``, the inverse of :func:`decode_time`."""
+    parsed = _parse_units(df, units, calendar)
+    number = _usable(_day_number(year, month, day))
+    value = ((number - F.col("_origin")) * 86400 + seconds - F.col("_offset")) / F.col("_unit")
+    return parsed.withColumn(out, value).drop(*_TEMPORARY)
 
 
 def month_chain(start: Column, end: Column) -> Column:

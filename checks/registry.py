@@ -397,21 +397,16 @@ def period_stamp(spark, sf_dir):
 
 @query
 def cf_decode_time(spark, sf_dir):
-    decoded = calendar.cf_decode(F.col("time_value"), F.col("units"), F.col("calendar"))
-    return v.cf_times(spark, sf_dir).select("time_value", "units", "calendar", decoded.alias("d")).select(
-        "time_value", "units", "calendar", "d.year", "d.month", "d.day", "d.seconds"
-    )
+    times = v.cf_times(spark, sf_dir).select("time_value", "units", "calendar")
+    return calendar.decode_time(times, "time_value", "units", "calendar")
 
 
 @query
 def cf_encode_time(spark, sf_dir):
     d = F.col("day")
-    encoded = calendar.cf_encode(
-        F.year(d), F.month(d), F.dayofmonth(d), F.lit(43200.0), F.col("units"), F.col("calendar")
-    )
-    return v.cf_times(spark, sf_dir).select(
-        "units", "calendar", _text(d).alias("day"), F.round(encoded, 6).alias("time_value")
-    )
+    times = v.cf_times(spark, sf_dir).select("units", "calendar", "day")
+    encoded = calendar.encode_time(times, F.year(d), F.month(d), F.dayofmonth(d), F.lit(43200.0), "units", "calendar")
+    return encoded.withColumns({"day": _text(d), "time_value": F.round("time_value", 6)})
 
 
 @query
