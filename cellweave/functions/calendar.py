@@ -53,71 +53,82 @@ def period_stamp(key: Column, freq: str) -> Column:
 
 # --- CF time: a number, "<unit> since <date>", and a calendar --------------------------------
 
-# Days before each month in a year of 365 days, and the length of each.
-_NOLEAP_STARTS = [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334]
-_NOLEAP_LENGTHS = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
 _FIRST_GREGORIAN_DAY = -141427  # 1582-10-15, in days from 1970-01-01
-_GREGORIAN = ("standard", "gregorian", "proleptic_gregorian")
-_NOLEAP = ("noleap", "365_day")
-_TEMPORARY = ["_cal", "_origin", "_unit", "_offset", "_shift", "_seconds", "_day", "_in365", "_month365"]
-
-
-def _noleap_day(year: Column, month: Column, day: Column) -> Column:
-    starts = F.array(*[F.lit(n) for n in _NOLEAP_STARTS])
-    lengths = F.array(*[F.lit(n) for n in _NOLEAP_LENGTHS])
-    real = month.between(1, 12) & (day >= 1) & (day <= F.try_element_at(lengths, month))
-    return F.when(real, year.cast("long") * 365 + F.try_element_at(starts, month) + day - 1)
-
-
-def _day360(year: Column, month: Column, day: Column) -> Column:
-    real = month.between(1, 12) & day.between(1, 30)
-    return F.when(real, year.cast("long") * 360 + (month - 1) * 30 + day - 1)
+_GREGORIAN, _NOLEAP, _DAY360 = 0, 1, 2
+# Seconds of each time unit and its spellings.
+_UNIT_SECONDS = {
+    "day": 86400,
+    "days": 86400,
+    "d": 86400,
+    "hour": 3600,
+    "hours": 3600,
+    "hr": 3600,
+    "h": 3600,
+    "minute": 60,
+    "minutes": 60,
+    "min": 60,
+    "second": 1,
+    "seconds": 1,
+    "sec": 1,
+    "s": 1,
+}
+_TEMPORARY = ["_kind", "_origin", "_unit", "_offset", "_shift", "_seconds", "_day", "_date", "_x", "_mp"]
+
+
+def _calendar_kind(calendar: Column) -> Column:
+    name = F.lower(F.coalesce(calendar, F.lit("standard")))
+    return (
+        F.when(name.isin("standard", "gregorian", "proleptic_gregorian"), _GREGORIAN)
+        .when(name.isin("noleap", "365_day"), _NOLEAP)
+        .when(name == "360_day", _DAY360)
+    )
 
 
-def _gregorian_day(year: Column, month: Column, day: Column) -> Column:
-    # A day that the calendar does not have is NULL here, also under ANSI rules.
-    text = F.format_string("%04d-%02d-%02d", year, month, day)
-    return F.unix_date(text.try_cast("date")).cast("long")
+def _plain_day(year: Column, month: Column, day: Column) -> Column:
+    """Day number in the calendars of 365 and 360 days; NULL for a day that they lack."""
+    is365 = F.col("_kind") == _NOLEAP
+    # Months from March on have a regular pattern of lengths; January and February follow December.
+    in_year = F.pmod(F.floor((F.pmod(month + 9, F.lit(12)) * 153 + 2) / 5) + day + 58, F.lit(365))
+    length = F.when(~is365, 30).when(month == 2, 28).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    number = F.when(is365, year.cast("long") * 365 + in_year).otherwise(year.cast("long") * 360 + month * 30 + day - 31)
+    return F.when(month.between(1, 12) & (day >= 1) & (day <= length), number)
 
 
-def _day_number(year: Column, month: Column, day: Column) -> Column:
-    """Days on the scale of the calendar in ``_cal``; NULL for a day or calendar that does not exist."""
-    name = F.col("_cal")
-    return (
-        F.when(name.isin(*_GREGORIAN), _gregorian_day(year, month, day))
-        .when(name.isin(*_NOLEAP), _noleap_day(year, month, day))
-        .when(name == "360_day", _day360(year, month, day))
+def _day_number(date: Column, year: Column, month: Column, day: Column) -> Column:
+    """Days on the scale of the calendar: since 1970 for real dates, since year 0 for the others."""
+    return F.when(F.col("_kind") == _GREGORIAN, F.unix_date(date).cast("long")).when(
+        F.col("_kind").isNotNull(), _plain_day(year, month, day)
     )
 
 
 def _usable(day_no: Column) -> Column:
     """No standard-calendar day before 15 October 1582, where that calendar is not the proleptic one."""
-    return F.when(~F.col("_cal").isin(*_GREGORIAN) | (day_no >= _FIRST_GREGORIAN_DAY), day_no)
+    return F.when((F.col("_kind") != _GREGORIAN) | (day_no >= _FIRST_GREGORIAN_DAY), day_no)
 
 
 def _parse_units(df: DataFrame, units: str, calendar: str) -> DataFrame:
-    """Add origin day, seconds per unit and seconds of the origin, each computed once per row."""
-    unit = F.lower(F.trim(F.substring_index(units, " since ", 1)))
-    parts = F.split(F.trim(F.substring_index(units, " since ", -1)), "[-T: ]+")
-    df = df.withColumns({"_cal": F.lower(F.coalesce(calendar, F.lit("standard"))), "_parts": parts})
-
-    def part(i: int) -> Column:
-        return F.try_element_at("_parts", F.lit(i)).try_cast("int")
+    """Add calendar kind, origin day, seconds per unit and seconds of the origin.
 
+    The origin has to be a date that exists, as in every common ``since`` text.
+    """
+    unit = F.lower(F.trim(F.substring_index(units, " since ", 1)))
+    seconds = F.create_map(*[F.lit(x) for name, n in _UNIT_SECONDS.items() for x in (name, n)])
+    origin = F.trim(F.substring_index(units, " since ", -1)).try_cast("timestamp_ntz")
+    df = df.withColumns(
+        {
+            "_kind": _calendar_kind(F.col(calendar)),
+            "_unit": F.try_element_at(seconds, unit),
+            "_origin": origin,
+        }
+    )
+    at = F.col("_origin")
     df = df.withColumns(
         {
-            "_y": part(1),
-            "_m": part(2),
-            "_d": part(3),
-            "_offset": F.coalesce(part(4), F.lit(0)) * 3600 + F.coalesce(part(5), F.lit(0)) * 60 + F.coalesce(part(6), F.lit(0)),
-            "_unit": F.when(unit.isin("day", "days", "d"), 86400)
-            .when(unit.isin("hour", "hours", "hr", "h"), 3600)
-            .when(unit.isin("minute", "minutes", "min"), 60)
-            .when(unit.isin("second", "seconds", "sec", "s"), 1),
+            "_origin": _day_number(at.cast("date"), F.year(at), F.month(at), F.dayofmonth(at)),
+            "_offset": F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at),
         }
     )
-    origin = _usable(_day_number(F.col("_y"), F.col("_m"), F.col("_d")))
-    return df.withColumn("_origin", origin).drop("_parts", "_y", "_m", "_d")
+    return df.withColumn("_origin", _usable(F.col("_origin")))
 
 
 def decode_time(
@@ -129,39 +140,35 @@ def decode_time(
     They are NULL for unknown units or calendars. The steps are separate projections on purpose: the
     optimizer keeps them apart, so no step is computed more than once per row.
     """
-    total = F.col(value) * F.col("_unit") + F.col("_offset")
-    out = _parse_units(df, units, calendar).withColumn("_seconds", total)
+    out = _parse_units(df, units, calendar).withColumn("_seconds", F.col(value) * F.col("_unit") + F.col("_offset"))
     out = out.withColumn("_shift", F.floor(F.col("_seconds") / 86400))
     out = out.withColumns(
-        {"_day": _usable(F.col("_origin") + F.col("_shift")), "_seconds": F.col("_seconds") - F.col("_shift") * 86400}
+        {"_day": F.col("_origin") + F.col("_shift"), "_seconds": F.col("_seconds") - F.col("_shift") * 86400}
     )
+    out = out.withColumn("_day", _usable(F.col("_day")))
     out = out.withColumns(
         {
-            "_date": F.when(F.col("_cal").isin(*_GREGORIAN), F.date_from_unix_date(F.col("_day").cast("int"))),
-            "_in365": F.pmod(F.col("_day"), F.lit(365)).cast("int"),
+            "_date": F.when(F.col("_kind") == _GREGORIAN, F.date_from_unix_date(F.col("_day").cast("int"))),
+            "_x": F.when(F.col("_kind") == _NOLEAP, F.pmod(F.col("_day") - 59, F.lit(365))).otherwise(
+                F.pmod("_day", F.lit(360))
+            ),
         }
     )
-    month365 = F.lit(1)
-    for start in _NOLEAP_STARTS[1:]:
-        month365 = month365 + F.when(F.col("_in365") >= start, 1).otherwise(0)
-    out = out.withColumn("_month365", month365)
-    day, date, in365 = F.col("_day"), F.col("_date"), F.col("_in365")
-    starts = F.array(*[F.lit(n) for n in _NOLEAP_STARTS])
-    is_date, is365 = F.col("_cal").isin(*_GREGORIAN), F.col("_cal").isin(*_NOLEAP)
+    out = out.withColumn(
+        "_mp", F.when(F.col("_kind") == _NOLEAP, F.floor((F.col("_x") * 5 + 2) / 153)).otherwise(F.floor(F.col("_x") / 30))
+    )
+    day, date, x, mp = (F.col(c) for c in ("_day", "_date", "_x", "_mp"))
+    is_date, is365 = F.col("_kind") == _GREGORIAN, F.col("_kind") == _NOLEAP
     return out.withColumns(
         {
-            "year": F.when(is_date, F.year(date)).when(is365, F.floor(day / 365)).otherwise(F.floor(day / 360)).cast("int"),
-            "month": F.when(is_date, F.month(date))
-            .when(is365, F.when(day.isNotNull(), F.col("_month365")))
-            .otherwise(F.floor(F.pmod(day, F.lit(360)) / 30) + 1)
-            .cast("int"),
+            "year": F.when(is_date, F.year(date)).otherwise(F.floor(day / F.when(is365, 365).otherwise(360))).cast("int"),
+            "month": F.when(is_date, F.month(date)).when(is365, F.pmod(mp + 2, F.lit(12)) + 1).otherwise(mp + 1).cast("int"),
             "day": F.when(is_date, F.dayofmonth(date))
-            .when(is365, in365 - F.element_at(starts, F.col("_month365")) + 1)
-            .otherwise(F.pmod(day, F.lit(30)) + 1)
+            .otherwise(x + 1 - F.when(is365, F.floor((mp * 153 + 2) / 5)).otherwise(mp * 30))
             .cast("int"),
             "seconds": F.when(day.isNotNull(), F.col("_seconds")),
         }
-    ).drop(*_TEMPORARY, "_date")
+    ).drop(*_TEMPORARY)
 
 
 def encode_time(
@@ -175,9 +182,9 @@ def encode_time(
     out: str = "time_value",
 ) -> DataFrame:
     """Add ``out``: calendar parts as a number in ``units``, the inverse of :func:`decode_time`."""
-    parsed = _parse_units(df, units, calendar)
-    number = _usable(_day_number(year, month, day))
-    value = ((number - F.col("_origin")) * 86400 + seconds - F.col("_offset")) / F.col("_unit")
+    date = F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date")
+    parsed = _parse_units(df, units, calendar).withColumn("_day", _day_number(date, year, month, day))
+    value = ((_usable(F.col("_day")) - F.col("_origin")) * 86400 + seconds - F.col("_offset")) / F.col("_unit")
     return parsed.withColumn(out, value).drop(*_TEMPORARY)
 
 
