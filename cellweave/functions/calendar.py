@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, functions as F
 
 from cellweave.constants import SEASON_MONTHS
 
@@ -72,120 +74,142 @@ _UNIT_SECONDS = {
     "sec": 1,
     "s": 1,
 }
-_TEMPORARY = ["_kind", "_origin", "_unit", "_offset", "_shift", "_seconds", "_day", "_date", "_x", "_mp"]
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once.
+
+    Plain reuse of a column expression repeats it, and the optimizer repeats it again when a filter is
+    pushed through; a dozen dependent steps would multiply. A lambda variable stays a reference.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _calendar_kind(calendar: Column) -> Column:
-    name = F.lower(F.coalesce(calendar, F.lit("standard")))
-    return (
-        F.when(name.isin("standard", "gregorian", "proleptic_gregorian"), _GREGORIAN)
+    return _let(
+        F.lower(F.coalesce(calendar, F.lit("standard"))),
+        lambda name: F.when(name.isin("standard", "gregorian", "proleptic_gregorian"), _GREGORIAN)
         .when(name.isin("noleap", "365_day"), _NOLEAP)
-        .when(name == "360_day", _DAY360)
+        .when(name == "360_day", _DAY360),
     )
 
 
-def _plain_day(year: Column, month: Column, day: Column) -> Column:
-    """Day number in the calendars of 365 and 360 days; NULL for a day that they lack."""
-    is365 = F.col("_kind") == _NOLEAP
+def _day_number(kind: Column, date: Column, year: Column, month: Column, day: Column) -> Column:
+    """Days on the scale of the calendar: since 1970 for real dates, since year 0 for the others.
+
+    NULL for a day that the calendar lacks, and in the standard calendar before 15 October 1582, where
+    it is not the proleptic one.
+    """
     # Months from March on have a regular pattern of lengths; January and February follow December.
     in_year = F.pmod(F.floor((F.pmod(month + 9, F.lit(12)) * 153 + 2) / 5) + day + 58, F.lit(365))
-    length = F.when(~is365, 30).when(month == 2, 28).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    number = F.when(is365, year.cast("long") * 365 + in_year).otherwise(year.cast("long") * 360 + month * 30 + day - 31)
-    return F.when(month.between(1, 12) & (day >= 1) & (day <= length), number)
-
-
-def _day_number(date: Column, year: Column, month: Column, day: Column) -> Column:
-    """Days on the scale of the calendar: since 1970 for real dates, since year 0 for the others."""
-    return F.when(F.col("_kind") == _GREGORIAN, F.unix_date(date).cast("long")).when(
-        F.col("_kind").isNotNull(), _plain_day(year, month, day)
+    length = F.when(month == 2, 28).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    real = month.between(1, 12) & (day >= 1)
+    return (
+        F.when(
+            kind == _GREGORIAN,
+            _let(F.unix_date(date).cast("long"), lambda n: F.when(n >= _FIRST_GREGORIAN_DAY, n)),
+        )
+        .when((kind == _NOLEAP) & real & (day <= length), year.cast("long") * 365 + in_year)
+        .when((kind == _DAY360) & real & (day <= 30), year.cast("long") * 360 + month * 30 + day - 31)
     )
 
 
-def _usable(day_no: Column) -> Column:
-    """No standard-calendar day before 15 October 1582, where that calendar is not the proleptic one."""
-    return F.when((F.col("_kind") != _GREGORIAN) | (day_no >= _FIRST_GREGORIAN_DAY), day_no)
-
-
-def _parse_units(df: DataFrame, units: str, calendar: str) -> DataFrame:
-    """Add calendar kind, origin day, seconds per unit and seconds of the origin.
+def _parse_units(units: Column, calendar: Column) -> Column:
+    """``struct<kind, unit, origin, offset>``: calendar, seconds per unit, origin day and its seconds.
 
     The origin has to be a date that exists, as in every common ``since`` text.
     """
     unit = F.lower(F.trim(F.substring_index(units, " since ", 1)))
     seconds = F.create_map(*[F.lit(x) for name, n in _UNIT_SECONDS.items() for x in (name, n)])
     origin = F.trim(F.substring_index(units, " since ", -1)).try_cast("timestamp_ntz")
-    df = df.withColumns(
-        {
-            "_kind": _calendar_kind(F.col(calendar)),
-            "_unit": F.try_element_at(seconds, unit),
-            "_origin": origin,
-        }
+    text = F.struct(
+        _calendar_kind(calendar).alias("kind"), F.try_element_at(seconds, unit).alias("unit"), origin.alias("at")
     )
-    at = F.col("_origin")
-    df = df.withColumns(
-        {
-            "_origin": _day_number(at.cast("date"), F.year(at), F.month(at), F.dayofmonth(at)),
-            "_offset": F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at),
-        }
+    return _let(
+        text,
+        lambda p: F.struct(
+            p["kind"].alias("kind"),
+            p["unit"].alias("unit"),
+            _day_number(p["kind"], p["at"].cast("date"), F.year(p["at"]), F.month(p["at"]), F.dayofmonth(p["at"])).alias(
+                "origin"
+            ),
+            (F.hour(p["at"]) * 3600 + F.minute(p["at"]) * 60 + F.second(p["at"])).alias("offset"),
+        ),
     )
-    return df.withColumn("_origin", _usable(F.col("_origin")))
 
 
-def decode_time(
-    df: DataFrame, value: str = "time_value", units: str = "time_units", calendar: str = "calendar"
-) -> DataFrame:
-    """Add ``year, month, day, seconds`` of a CF time value.
+def _parts(year: Column, month: Column, day: Column) -> Column:
+    return F.struct(year.cast("int").alias("year"), month.cast("int").alias("month"), day.cast("int").alias("day"))
+
+
+def _ymd(kind: Column, day_no: Column) -> Column:
+    """``struct<year, month, day>`` of a day number."""
+
+    def of_date(date: Column) -> Column:
+        return _parts(F.year(date), F.month(date), F.dayofmonth(date))
+
+    def of_365(x: Column) -> Column:
+        """``x``: days since the last 1 March."""
+        return _let(
+            F.floor((x * 5 + 2) / 153),
+            lambda m: _parts(
+                F.floor(day_no / 365), F.pmod(m + 2, F.lit(12)) + 1, x + 1 - F.floor((m * 153 + 2) / 5)
+            ),
+        )
+
+    return (
+        F.when(kind == _GREGORIAN, _let(F.date_from_unix_date(day_no.cast("int")), of_date))
+        .when(kind == _NOLEAP, _let(F.pmod(day_no - 59, F.lit(365)), of_365))
+        .when(
+            kind == _DAY360,
+            _parts(
+                F.floor(day_no / 360), F.floor(F.pmod(day_no, F.lit(360)) / 30) + 1, F.pmod(day_no, F.lit(30)) + 1
+            ),
+        )
+    )
+
+
+def cf_decode(value: Column, units: Column, calendar: Column) -> Column:
+    """A CF time value as ``struct<year, month, day, seconds>``.
 
     The parts are plain numbers, since 30 February exists in a 360-day calendar but not as a date.
-    They are NULL for unknown units or calendars. The steps are separate projections on purpose: the
-    optimizer keeps them apart, so no step is computed more than once per row.
+    NULL for unknown units or calendars.
     """
-    out = _parse_units(df, units, calendar).withColumn("_seconds", F.col(value) * F.col("_unit") + F.col("_offset"))
-    out = out.withColumn("_shift", F.floor(F.col("_seconds") / 86400))
-    out = out.withColumns(
-        {"_day": F.col("_origin") + F.col("_shift"), "_seconds": F.col("_seconds") - F.col("_shift") * 86400}
-    )
-    out = out.withColumn("_day", _usable(F.col("_day")))
-    out = out.withColumns(
-        {
-            "_date": F.when(F.col("_kind") == _GREGORIAN, F.date_from_unix_date(F.col("_day").cast("int"))),
-            "_x": F.when(F.col("_kind") == _NOLEAP, F.pmod(F.col("_day") - 59, F.lit(365))).otherwise(
-                F.pmod("_day", F.lit(360))
+
+    def shifted(u: Column, total: Column) -> Column:
+        day_no = u["origin"] + F.floor(total / 86400)
+        usable = (u["kind"] != _GREGORIAN) | (day_no >= _FIRST_GREGORIAN_DAY)
+        return _let(
+            F.when(usable, day_no),
+            lambda n: F.when(
+                n.isNotNull(),
+                _let(
+                    _ymd(u["kind"], n),
+                    lambda d: F.struct(
+                        d["year"].alias("year"),
+                        d["month"].alias("month"),
+                        d["day"].alias("day"),
+                        (total - F.floor(total / 86400) * 86400).alias("seconds"),
+                    ),
+                ),
             ),
-        }
-    )
-    out = out.withColumn(
-        "_mp", F.when(F.col("_kind") == _NOLEAP, F.floor((F.col("_x") * 5 + 2) / 153)).otherwise(F.floor(F.col("_x") / 30))
+        )
+
+    return _let(
+        _parse_units(units, calendar),
+        lambda u: _let(value * u["unit"] + u["offset"], lambda total: shifted(u, total)),
     )
-    day, date, x, mp = (F.col(c) for c in ("_day", "_date", "_x", "_mp"))
-    is_date, is365 = F.col("_kind") == _GREGORIAN, F.col("_kind") == _NOLEAP
-    return out.withColumns(
-        {
-            "year": F.when(is_date, F.year(date)).otherwise(F.floor(day / F.when(is365, 365).otherwise(360))).cast("int"),
-            "month": F.when(is_date, F.month(date)).when(is365, F.pmod(mp + 2, F.lit(12)) + 1).otherwise(mp + 1).cast("int"),
-            "day": F.when(is_date, F.dayofmonth(date))
-            .otherwise(x + 1 - F.when(is365, F.floor((mp * 153 + 2) / 5)).otherwise(mp * 30))
-            .cast("int"),
-            "seconds": F.when(day.isNotNull(), F.col("_seconds")),
-        }
-    ).drop(*_TEMPORARY)
-
-
-def encode_time(
-    df: DataFrame,
-    year: Column,
-    month: Column,
-    day: Column,
-    seconds: Column,
-    units: str = "time_units",
-    calendar: str = "calendar",
-    out: str = "time_value",
-) -> DataFrame:
-    """Add ``out``: calendar parts as a number in ``units``, the inverse of :func:`decode_time`."""
+
+
+def cf_encode(year: Column, month: Column, day: Column, seconds: Column, units: Column, calendar: Column) -> Column:
+    """The inverse of :func:`cf_decode`: calendar parts as a number in ``units``."""
     date = F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date")
-    parsed = _parse_units(df, units, calendar).withColumn("_day", _day_number(date, year, month, day))
-    value = ((_usable(F.col("_day")) - F.col("_origin")) * 86400 + seconds - F.col("_offset")) / F.col("_unit")
-    return parsed.withColumn(out, value).drop(*_TEMPORARY)
+    return _let(
+        _parse_units(units, calendar),
+        lambda u: (
+            (_day_number(u["kind"], date, year, month, day) - u["origin"]) * 86400 + seconds - u["offset"]
+        )
+        / u["unit"],
+    )
 
 
 def month_chain(start: Column, end: Column) -> Column:

@@ -30,10 +30,11 @@ BLOCK = 1.0
 
 
 def grid_points(cells: DataFrame) -> DataFrame:
-    """Distinct ``(lat, lon)``, longitude on -180..180. Reads just the two columns."""
+    """Distinct ``(lat, lon)``, longitude on -180..180. Reads just these two columns of the cube."""
     lat, lon = F.col("lat"), F.col("lon")
     known = lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
-    return cells.where(known).select(lat, normalize_lon(lon).alias("lon")).distinct()
+    # Adding zero turns -0.0 into 0.0.
+    return cells.where(known).select((lat + 0.0).alias("lat"), (normalize_lon(lon) + 0.0).alias("lon")).distinct()
 
 
 def within_extent(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -87,8 +88,18 @@ def _crossings(lats: DataFrame, edges: DataFrame) -> DataFrame:
     ).select("lat", "scan", *_polygon_key(edges), "x", (F.col("slope") * F.col("scan")).alias("lean"))
 
 
-def _block(x: Column) -> Column:
-    return F.floor(x / BLOCK)
+def _strip(x: Column) -> list[Column]:
+    """``block`` of a longitude, and ``strip``, a whole number for latitude and block together.
+
+    Rows are shuffled by ``strip``. Groupings name it beside the latitude, so they find their rows
+    in place; grouping on a double alone would shuffle again.
+    """
+    block = F.floor(x / BLOCK)
+    return [block.alias("block"), F.xxhash64("lat", block).alias("strip")]
+
+
+_PLACE = ["strip", "lat", "block"]
+_COUNTS = ["up", "down", "up_dip", "down_dip"]
 
 
 def _events(lats: DataFrame, edges: DataFrame) -> DataFrame:
@@ -101,69 +112,62 @@ def _events(lats: DataFrame, edges: DataFrame) -> DataFrame:
     along = Window.partitionBy("lat", "scan", *_polygon_key(edges)).orderBy("x", "lean")
     # Odd crossings of a polygon open it, even ones close it: all rings together, so holes drop out.
     opened = crossings.withColumn("delta", F.when(F.row_number().over(along) % 2 == 1, 1).otherwise(-1))
-    # One shuffle by (lat, block) serves every grouping below.
-    placed = opened.select("lat", _block(F.col("x")).alias("block"), "x", "scan", "lean", "delta").repartition(
-        "lat", "block"
-    )
-    sectors = placed.groupBy("lat", "block", "x", "scan", "lean").agg(F.sum("delta").alias("delta"))
-    turn = Window.partitionBy("lat", "block", "x", "scan").orderBy("lean").rowsBetween(Window.unboundedPreceding, 0)
+    placed = opened.select("lat", *_strip(F.col("x")), "x", "scan", "lean", "delta").repartition("strip")
+    sectors = placed.groupBy(*_PLACE, "x", "scan", "lean").agg(F.sum("delta").alias("delta"))
+    turn = Window.partitionBy(*_PLACE, "x", "scan").orderBy("lean").rowsBetween(Window.unboundedPreceding, 0)
     passing = sectors.withColumn("reached", F.sum("delta").over(turn))
     above, below = F.col("scan") == 1, F.col("scan") == -1
-    return passing.groupBy("lat", "block", "x").agg(
-        F.coalesce(F.sum(F.when(above, F.col("delta"))), F.lit(0)).alias("up"),
-        F.coalesce(F.sum(F.when(below, F.col("delta"))), F.lit(0)).alias("down"),
-        F.least(F.coalesce(F.min(F.when(above, F.col("reached"))), F.lit(0)), F.lit(0)).alias("up_dip"),
-        F.least(F.coalesce(F.min(F.when(below, F.col("reached"))), F.lit(0)), F.lit(0)).alias("down_dip"),
+    zero = F.lit(0)
+    return passing.groupBy(*_PLACE, "x").agg(
+        F.coalesce(F.sum(F.when(above, F.col("delta"))), zero).alias("up"),
+        F.coalesce(F.sum(F.when(below, F.col("delta"))), zero).alias("down"),
+        F.least(F.coalesce(F.min(F.when(above, F.col("reached"))), zero), zero).alias("up_dip"),
+        F.least(F.coalesce(F.min(F.when(below, F.col("reached"))), zero), zero).alias("down_dip"),
     )
 
 
 def inside_points(points: DataFrame, edges: DataFrame) -> DataFrame:
     """The distinct ``(lat, lon)`` of ``points`` strictly inside the union of the polygons."""
     near = within_extent(points, edges)
+    none = [F.lit(0).cast("long").alias(c) for c in _COUNTS]
     events = _events(near.select("lat").distinct(), edges)
     marks = (
-        events.select("lat", "block", "x", "up", "down", "up_dip", "down_dip", F.lit(False).alias("is_point"))
+        events.select(*_PLACE, "x", *_COUNTS, F.lit(False).alias("is_point"))
         .unionByName(
-            near.select(
-                "lat",
-                _block(F.col("lon")).alias("block"),
-                F.col("lon").alias("x"),
-                *[F.lit(0).cast("long").alias(c) for c in ("up", "down", "up_dip", "down_dip")],
-                F.lit(True).alias("is_point"),
-            )
+            near.select("lat", *_strip(F.col("lon")), F.col("lon").alias("x"), *none, F.lit(True).alias("is_point"))
         )
-        .groupBy("lat", "block", "x")
+        .repartition("strip")
+        .groupBy(*_PLACE, "x")
         .agg(
-            F.sum("up").alias("up"),
-            F.sum("down").alias("down"),
-            F.min("up_dip").alias("up_dip"),
-            F.min("down_dip").alias("down_dip"),
+            *[F.sum(c).alias(c) for c in ("up", "down")],
+            *[F.min(c).alias(c) for c in ("up_dip", "down_dip")],
             F.max("is_point").alias("is_point"),
         )
     )
     # Count carried into each block: a window over at most 360 / BLOCK + 1 rows per latitude.
     before_block = Window.partitionBy("lat").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        marks.groupBy("lat", "block")
+        marks.groupBy(*_PLACE)
         .agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
         .select(
-            "lat",
-            "block",
+            *_PLACE,
             F.lit(float("-inf")).alias("x"),
-            F.coalesce(F.sum("up").over(before_block), F.lit(0)).alias("up"),
-            F.coalesce(F.sum("down").over(before_block), F.lit(0)).alias("down"),
-            F.lit(0).cast("long").alias("up_dip"),
-            F.lit(0).cast("long").alias("down_dip"),
+            *[F.coalesce(F.sum(c).over(before_block), F.lit(0)).alias(c) for c in ("up", "down")],
+            *none[2:],
             F.lit(False).alias("is_point"),
         )
     )
-    before = Window.partitionBy("lat", "block").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    swept = marks.unionByName(carried).select(
-        "lat",
-        "x",
-        "is_point",
-        (F.coalesce(F.sum("up").over(before), F.lit(0)) + F.col("up_dip")).alias("least_up"),
-        (F.coalesce(F.sum("down").over(before), F.lit(0)) + F.col("down_dip")).alias("least_down"),
+    before = Window.partitionBy(*_PLACE).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    swept = (
+        marks.unionByName(carried)
+        .repartition("strip")
+        .select(
+            "lat",
+            "x",
+            "is_point",
+            (F.coalesce(F.sum("up").over(before), F.lit(0)) + F.col("up_dip")).alias("least_up"),
+            (F.coalesce(F.sum("down").over(before), F.lit(0)) + F.col("down_dip")).alias("least_down"),
+        )
     )
     return swept.where(F.col("is_point") & (F.col("least_up") > 0) & (F.col("least_down") > 0)).select(
         "lat", F.col("x").alias("lon")
@@ -237,7 +241,8 @@ def region_mask(cells: DataFrame, edges: DataFrame, buffer_km: float = 0.0, poin
     cube. Staging lets the optimizer see the mask's true size before it plans the join with the cube:
     a mask below the broadcast threshold is broadcast and the cube is not shuffled.
     """
-    points = grid_points(cells) if points is None else points
+    # Staged as well: the sweep reads the points more than once, the cube should be read once.
+    points = stage_table(grid_points(cells), "points") if points is None else points
     return stage_table(covered_points(points, edges, buffer_km), "mask")
 
 

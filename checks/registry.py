@@ -397,16 +397,18 @@ def period_stamp(spark, sf_dir):
 
 @query
 def cf_decode_time(spark, sf_dir):
-    times = v.cf_times(spark, sf_dir).select("time_value", "units", "calendar")
-    return calendar.decode_time(times, "time_value", "units", "calendar")
+    decoded = calendar.cf_decode(F.col("time_value"), F.col("units"), F.col("calendar"))
+    # inline() evaluates its argument once, whereas selecting four fields may repeat it.
+    return v.cf_times(spark, sf_dir).select("time_value", "units", "calendar", F.inline(F.array(decoded)))
 
 
 @query
 def cf_encode_time(spark, sf_dir):
     d = F.col("day")
-    times = v.cf_times(spark, sf_dir).select("units", "calendar", "day")
-    encoded = calendar.encode_time(times, F.year(d), F.month(d), F.dayofmonth(d), F.lit(43200.0), "units", "calendar")
-    return encoded.withColumns({"day": _text(d), "time_value": F.round("time_value", 6)})
+    encoded = calendar.cf_encode(F.year(d), F.month(d), F.dayofmonth(d), F.lit(43200.0), F.col("units"), F.col("calendar"))
+    return v.cf_times(spark, sf_dir).select(
+        "units", "calendar", _text(d).alias("day"), F.round(encoded, 6).alias("time_value")
+    )
 
 
 @query
