@@ -28,17 +28,21 @@ def lat_in_box(lat: Column, box: dict) -> Column:
     return lat.between(float(box["min_lat"]), float(box["max_lat"]))
 
 
-def lon_in_box(lon: Column, box: dict) -> Column:
-    """Inclusive test on the normalised longitude.
+def lon_near_box(lon: Column, box: dict) -> Column:
+    """A superset of :func:`lon_in_box` that compares the stored column with literals only.
 
-    The first half compares the stored column with literals only, so that it reaches the Parquet
-    reader and skips row groups; the second half is the exact test.
+    In this form the test reaches the Parquet reader and skips row groups.
     """
     low, high = float(box["min_lon"]), float(box["max_lon"])
-    stored = ((lon <= 180) & lon.between(low, high)) | (
+    return ((lon <= 180) & lon.between(low, high)) | (
         (lon > 180) & lon.between(low + 360 - _SLACK, high + 360 + _SLACK)
     )
-    return stored & normalize_lon(lon).between(low, high)
+
+
+def lon_in_box(lon: Column, box: dict) -> Column:
+    """Inclusive test on the normalised longitude, with its pushable superset in front."""
+    low, high = float(box["min_lon"]), float(box["max_lon"])
+    return lon_near_box(lon, box) & normalize_lon(lon).between(low, high)
 
 
 _ECC = math.sqrt(2 / WGS84_INV_F - 1 / WGS84_INV_F**2)

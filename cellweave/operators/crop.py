@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from cellweave.functions.coords import check_box, lat_in_box, lon_in_box
+from cellweave.functions.coords import check_box, lat_in_box, lon_in_box, lon_near_box
 
 NO_DATA = "No data in bounds"
 NO_COORDS = "Missing coordinate variables"
@@ -24,8 +24,11 @@ def crop(cells: DataFrame, box: dict) -> DataFrame:
     """
     check_box(box)
     lat, lon = F.col("lat"), F.col("lon")
-    return cells.where(
-        (lat.isNull() | lat_in_box(lat, box)) & (lon.isNull() | lon_in_box(lon, box))
+    # The pushable superset of the longitude test is a filter of its own, or it would not be pushed.
+    return (
+        cells.where(lat.isNull() | lat_in_box(lat, box))
+        .where(lon.isNull() | lon_near_box(lon, box))
+        .where(lon.isNull() | lon_in_box(lon, box))
     )
 
 

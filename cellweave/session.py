@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,9 +38,12 @@ def scratch_dir(spark: SparkSession) -> str:
         return shared
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    shared = tempfile.mkdtemp(prefix="cellweave-")
-    spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    return _process_folder()
+
+
+@cache
+def _process_folder() -> str:
+    return tempfile.mkdtemp(prefix="cellweave-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

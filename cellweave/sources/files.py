@@ -10,7 +10,10 @@ from cellweave.schemas import GRANULE_PAGE, MANIFEST, SEARCH_PAGE
 
 
 def scan_files(spark: SparkSession, root: str, pattern: str = "*.nc") -> DataFrame:
-    """``name, path, length`` of every matching file below ``root``; bodies are not read."""
+    """``name, path, length`` of every matching file below ``root``; bodies are not read.
+
+    Spark's reader leaves out files of zero bytes.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
