@@ -241,7 +241,9 @@ def region_mask(cells: DataFrame, edges: DataFrame, buffer_km: float = 0.0, poin
     cube. Staging lets the optimizer see the mask's true size before it plans the join with the cube:
     a mask below the broadcast threshold is broadcast and the cube is not shuffled.
     """
-    # Staged as well: the sweep reads the points more than once, the cube should be read once.
+    # Staged as well: points and edges are read several times below, the cube and the boundary texts
+    # should be read once.
+    edges = stage_table(edges, "edges")
     points = stage_table(grid_points(cells), "points") if points is None else points
     return stage_table(covered_points(points, edges, buffer_km), "mask")
 

@@ -281,8 +281,7 @@ def clip_status(spark, sf_dir):
 
 @query
 def clip_buffer(spark, sf_dir):
-    points = clip.grid_points(v.cells(spark, sf_dir))
-    return clip.covered_points(points, v.edges(spark, sf_dir), BUFFER_KM)
+    return clip.region_mask(v.cells(spark, sf_dir), v.edges(spark, sf_dir), BUFFER_KM)
 
 
 @query
