@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from cellweave.functions.coords import check_box, lat_in_box, lon_in_box, lon_near_box
+from cellweave.session import stage
 
 NO_DATA = "No data in bounds"
 NO_COORDS = "Missing coordinate variables"
@@ -90,8 +91,13 @@ def crop_status(files: DataFrame, coords: DataFrame, box: dict, strict: bool = F
 
 
 def drop_failed(cells: DataFrame, status: DataFrame) -> DataFrame:
-    """Cells of the files that did not fail."""
-    return cells.join(status.where(~F.col("ok")).select("file_id"), "file_id", "left_anti")
+    """Cells of the files that did not fail.
+
+    The failed ids are staged, so that the optimizer plans the join with the cube by their true size
+    and a short list does not cause a shuffle of the cube by file.
+    """
+    failed = stage(status.where(~F.col("ok")).select("file_id"), "failed")
+    return cells.join(failed, "file_id", "left_anti")
 
 
 def crop_to_areas(cells: DataFrame, areas: dict[str, tuple[float, float, float, float]]) -> DataFrame:

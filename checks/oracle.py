@@ -432,6 +432,11 @@ _STRICT = _CROP_MESSAGE.format(
     extra="WHEN lat_count <> lat_span OR lon_count <> lon_span THEN 'Window is not contiguous'"
 )
 add("crop_status_strict", f"SELECT file_id, {_STRICT} = 'ok' AS ok, {_STRICT} AS message FROM v_windows")
+add(
+    "crop_strict",
+    f"""SELECT file_id, count(*) AS cells FROM v_file_points
+        WHERE file_id IN (SELECT file_id FROM v_windows WHERE {_STRICT} = 'ok') GROUP BY file_id""",
+)
 add(
     "aoi_crop",
     "SELECT area, file_id, variable, count(*) AS cells, count(value) AS unmasked FROM v_cells JOIN (VALUES "

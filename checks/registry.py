@@ -243,6 +243,14 @@ def crop_status_strict(spark, sf_dir):
     return crop.crop_status(v.status_files(spark, sf_dir), v.coords(spark, sf_dir), SEAM_BOX, strict=True)
 
 
+@query
+def crop_strict(spark, sf_dir):
+    """Cells of the files that the strict rule keeps, counted per file."""
+    status = crop.crop_status(v.status_files(spark, sf_dir), v.coords(spark, sf_dir), SEAM_BOX, strict=True)
+    kept = crop.drop_failed(v.file_points(spark, sf_dir), status)
+    return kept.groupBy("file_id").agg(F.count("*").alias("cells"))
+
+
 @query
 def aoi_crop(spark, sf_dir):
     hits = crop.crop_to_areas(v.cells(spark, sf_dir), AREAS_OF_INTEREST)
