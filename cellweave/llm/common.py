@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,7 +15,8 @@ from cellweave.session import scratch_path
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_STAGED: list[str] = []
+#: While a caller keeps account (``accounted``), the paths that ``staged`` has written for it.
+_ACCOUNT: list[str] | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,14 +37,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    _STAGED.append(path)
+    if _ACCOUNT is not None:
+        _ACCOUNT.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete what ``staged`` has written so far; for callers whose results no longer need it."""
-    while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+@contextlib.contextmanager
+def accounted() -> Iterator[list[str]]:
+    """The paths staged inside, for ``delete`` once nothing reads them any more."""
+    global _ACCOUNT
+    before, _ACCOUNT = _ACCOUNT, []
+    try:
+        yield _ACCOUNT
+    finally:
+        _ACCOUNT = before
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -88,3 +101,52 @@ def powers(base: int, n: int) -> np.ndarray:
     if n:
         out[0] = 1
     return np.multiply.accumulate(out)
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, n_rows: int) -> DataFrame:
+    """Inner join of rows with one fact row per key, where a key may have a large part of all rows.
+
+    ``size`` is a column of the facts: the key's rows. Keys with a thousandth of all rows are a thousand
+    at most and are broadcast; each other key is too small to make a task of the join uneven.
+    """
+    least = max(1000, n_rows // 1000)
+    more = [c for c in facts.columns if c not in keys]
+    hot = facts.where(F.col(size) >= least)
+    flagged = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    many = flagged.where("_hot").drop("_hot").join(F.broadcast(hot), keys)
+    rest = flagged.where("_hot IS NULL").drop("_hot").join(facts.where(F.col(size) < least), keys)
+    order = [*rows.columns, *more]
+    return rest.select(*order).unionByName(many.select(*order))
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of complete groups, about ``rows`` rows each, with the groups' bounds.
+
+    The batches come sorted by the keys, which are integers without nulls.
+    """
+    held: list[pa.RecordBatch] = []
+    count = 0
+
+    def bounds(t: pa.Table) -> np.ndarray:
+        change = np.zeros(max(t.num_rows - 1, 0), bool)
+        for k in keys:
+            v = t.column(k).to_numpy()
+            change |= v[1:] != v[:-1]
+        return np.concatenate([[0], np.flatnonzero(change) + 1, [t.num_rows]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            t = pa.Table.from_batches(held).combine_chunks()
+            at = bounds(t)
+            if len(at) > 2:
+                yield t.slice(0, int(at[-2])), at[:-1]
+            held = t.slice(int(at[-2])).to_batches()
+            count = sum(b.num_rows for b in held)
+            rows = max(rows, 2 * count)  # a long group is gathered without looking again at each batch
+    if count:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, bounds(t)

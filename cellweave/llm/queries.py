@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm import exact_dedup, html_text, mixing, secrets, sharding, token_count
+from cellweave.llm import decontaminate, exact_dedup, html_text, language_id, mixing, ngram_join, secrets, sharding, suffix_dedup, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -14,7 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         exact_dedup.op1_exact_dedup,
         secrets.op2_secret_scan,
         html_text.op3_html_text,
+        decontaminate.op4_decontaminate,
+        suffix_dedup.op5_suffix_dedup,
         token_count.op6_token_count,
+        ngram_join.op7_ngram_join,
+        language_id.op8_language_id,
         sharding.op9_sharding,
         mixing.op10_mixing,
     )
