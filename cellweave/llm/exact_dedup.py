@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cellweave.llm.common import SPACE, mix64, table, text_or_empty
+from cellweave.llm.common import SPACE, join_facts, mix64, table, text_or_empty
 
 #: Digests to a shard at most, in expectation.
 SHARD_KEYS = 50_000
@@ -188,20 +188,6 @@ def dedup(history: DataFrame, incoming: DataFrame, history_rows: int) -> DataFra
     )
 
 
-def apply_groups(keyed: DataFrame, facts: DataFrame, n_rows: int) -> DataFrame:
-    """Each row with the facts of its digest; groups with a thousandth of the rows are broadcast."""
-    least = max(1000, n_rows // 1000)
-    hot = F.broadcast(facts.where(F.col("group_size") >= least).select("text_sha256", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_n")))
-    with_hot = keyed.join(hot, "text_sha256", "left")
-    rest = with_hot.where("hot_n IS NULL").drop("hot_id", "hot_n").join(
-        facts.where(F.col("group_size") < least), "text_sha256"
-    )
-    many = with_hot.where("hot_n IS NOT NULL").select(
-        "text_sha256", "doc_id", F.col("hot_id").alias("keep_id"), F.col("hot_n").alias("group_size")
-    )
-    return rest.select("text_sha256", "doc_id", "keep_id", "group_size").unionByName(many)
-
-
 def op1_exact_dedup(spark, sf_dir) -> DataFrame:
     """History: the lower half of the doc_id range. It holds the smaller ids, so its winners stay."""
     docs = table(spark, sf_dir, "documents")
@@ -211,7 +197,7 @@ def op1_exact_dedup(spark, sf_dir) -> DataFrame:
     keyed = digests(docs)
     old = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))
     facts = dedup(keyed.where(old), keyed.where(~old), n_rows)
-    return apply_groups(keyed, facts, n_rows).select(
+    return join_facts(keyed, facts, ["text_sha256"], "group_size", n_rows).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 

@@ -127,9 +127,15 @@ def tables(net: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([pair(w, 0) for w in WIDTHS], 1), one[3, 2], pair(4, 2)
 
 
-def window_probabilities(net: dict, lookup: tuple, data: np.ndarray) -> np.ndarray:
-    """Probabilities for each window of ``data``, whose length is a multiple of the window, plus the tail."""
+def window_probabilities(net: dict, lookup: tuple, data: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Probabilities for each window of ``data``, whose length is a multiple of the window, plus the tail.
+
+    ``last``: windows that end a text; the bytes after them are another's and count as zeros.
+    """
     first, third, second_pair = lookup
+    zeros = first[0].copy()
+    zeros[FILTERS : 2 * FILTERS] += third[0]
+    zeros[2 * FILTERS :] += second_pair[0]
     n, out = (len(data) - TAIL) // WINDOW, []
     for start in range(0, n, BLOCK_WINDOWS):
         count = min(BLOCK_WINDOWS, n - start)
@@ -139,7 +145,9 @@ def window_probabilities(net: dict, lookup: tuple, data: np.ndarray) -> np.ndarr
         y = first[pairs[:size]]
         y[:, FILTERS : 2 * FILTERS] += third[part[2 : 2 + size]]
         y[:, 2 * FILTERS :] += second_pair[pairs[2 : 2 + size]]
-        out.append(y.reshape(count, WINDOW, -1).max(axis=1))
+        y = y.reshape(count, WINDOW, -1)
+        y[last[start : start + count], WINDOW - TAIL :] = zeros
+        out.append(y.max(axis=1))
     hidden = np.maximum(np.concatenate(out) + net["b"], 0)
     return softmax(hidden @ net["v"] + net["c"])
 
@@ -147,12 +155,14 @@ def window_probabilities(net: dict, lookup: tuple, data: np.ndarray) -> np.ndarr
 def text_probabilities(net: dict, lookup: tuple, offs: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Mean probabilities over the windows of each text (which has a byte at least)."""
     sizes = np.diff(offs)
-    windows = -(-(sizes + TAIL) // WINDOW)  # zeros after the last byte keep texts apart
+    windows = -(-(sizes + TAIL) // WINDOW)  # the last TAIL bytes of a text's last window are zeros
     ends = np.cumsum(windows)
     laid = np.zeros(int(ends[-1]) * WINDOW + TAIL, np.uint8)
     shift = (ends - windows) * WINDOW - offs[:-1]
     laid[np.arange(len(data)) + np.repeat(shift, sizes)] = data
-    p = window_probabilities(net, lookup, laid)
+    last = np.zeros(int(ends[-1]), bool)
+    last[ends - 1] = True
+    p = window_probabilities(net, lookup, laid, last)
     text = np.repeat(np.arange(len(sizes)), windows)
     place = np.arange(len(text)) - np.repeat(ends - windows, windows)
     p[place * WINDOW >= np.maximum(sizes[text], 1)] = 0  # windows of zeros alone

@@ -154,16 +154,15 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     A document's taken words over its size is its number of copies; a fraction is rounded up or down
     by a seeded draw, in proportion. Documents without words are not taken.
     """
-    key = ["_id", "_size"]
     share = F.col("taken") / F.col("size")
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED + 2)), 11) / F.lit(float(1 << 53))
     copies = F.when(F.col("size") > 0, F.floor(share) + (draw < share - F.floor(share)).cast("int")).otherwise(0)
-    plan = mix_documents(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), copies.alias("_copies"))
-    plan = plan.groupBy(*key).agg(F.max("_copies").alias("_copies")).where("_copies > 0")
+    plan = mix_documents(docs).select("doc_id", "size", copies.cast("int").alias("copies"))
+    plan = plan.groupBy("doc_id", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
     size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (size == F.col("_size")))
-    again = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return rows.withColumn("_again", again).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), size.alias("words"))
+    rows = rows.join(plan, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def op10_mixing(spark, sf_dir) -> DataFrame:

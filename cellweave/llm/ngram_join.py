@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from cellweave.llm.common import id_text, join_facts, mix64, pieces, powers, staged, table, utf8, whole_groups
+from cellweave.llm.common import id_text, join_facts, mix64, pieces, powers, staged, table, text_or_empty, utf8, whole_groups
 from cellweave.llm.components import components
 
 N = 5
@@ -116,23 +116,24 @@ def _batch_sets(shingler: Shingler, column: pa.Array) -> list[np.ndarray]:
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler, counts = Shingler(), np.zeros(1 << COUNT_BITS, np.int64)
-    names = ["kind", "id", "n", "h1", "h2"]
+    names = ["kind", "id", "text_hash", "n", "h1", "h2"]
     for batch in pieces(batches, "text", CHUNK):
         sets = _batch_sets(shingler, batch.column("text"))
         hashes = [set_hash(s) for s in sets]
         counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(sets), np.int8)), batch.column("doc_id"), pa.array(map(len, sets), pa.int64()),
+            [pa.array(np.zeros(len(sets), np.int8)), batch.column("doc_id"), batch.column("text_hash"), pa.array(map(len, sets), pa.int64()),
              pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64())], names)
     at = np.flatnonzero(counts)
     zero = np.zeros(len(at), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(counts[at]), pa.array(zero), pa.array(zero)], names)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int8)), *map(pa.array, (at, zero, counts[at], zero, zero))], names)
 
 
 def document_facts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, h1, h2) of each row, and the sketch (bucket, n)."""
-    both = staged(id_text(docs).mapInArrow(_facts, "kind byte, id long, n long, h1 long, h2 long"), "shingle-facts")
-    rows = both.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "h1", "h2")
+    """(doc_id, text_hash, n, h1, h2) of each row, and the sketch (bucket, n)."""
+    hashed = id_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    both = staged(hashed.mapInArrow(_facts, "kind byte, id long, text_hash long, n long, h1 long, h2 long"), "shingle-facts")
+    rows = both.where("kind = 0").select(F.col("id").alias("doc_id"), "text_hash", "n", "h1", "h2")
     return rows, both.where("kind = 1").groupBy(F.col("id").alias("bucket")).agg(F.sum("n").alias("n"))
 
 
@@ -279,7 +280,7 @@ def links(docs: DataFrame, classes: DataFrame, member: DataFrame, family: int =
 
 
 def similar_groups(docs: DataFrame, family: int = FAMILY) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row."""
+    """doc_id, text_hash, n_shingles, component_id for each row."""
     rows, sketch = document_facts(docs)
     counts = np.zeros(1 << COUNT_BITS, np.int64)
     for r in sketch.toLocalIterator():
@@ -295,20 +296,20 @@ def similar_groups(docs: DataFrame, family: int = FAMILY) -> DataFrame:
     )
     facts = staged(facts, "class-facts")
     some = join_facts(rows.where("n > 0"), facts, ["h1", "h2"], "rows", rows.count())
-    return some.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
-        rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return some.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id").unionByName(
+        rows.where("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     )
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their component's; of rows repeated whole, one."""
-    groups = similar_groups(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    same = W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    again = F.lag(F.xxhash64(*docs.columns)).over(same).eqNullSafe(F.xxhash64(*docs.columns))
-    return rows.withColumn("_again", again).where("NOT _again").drop("_again")
+    groups = similar_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = groups.select(F.col("doc_id").alias("kept"), "text_hash").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text_or_empty()).alias("hash"), F.xxhash64("*").alias("all"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept")) & (F.col("hash") == F.col("text_hash")), "left_semi")
+    before = F.lag("all").over(W.partitionBy("id", "hash").orderBy("all"))
+    return rows.withColumn("again", before.eqNullSafe(F.col("all"))).where("NOT again").select("row.*")
 
 
 def op7_ngram_join(spark, sf_dir) -> DataFrame:
-    return similar_groups(table(spark, sf_dir, "documents"))
+    return similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
