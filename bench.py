@@ -13,6 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from checks.registry import QUERIES  # noqa: E402
+from checks.scratch import ensure_scratch  # noqa: E402
 
 HEADLINE = [
     "crop_convert_monthly",
@@ -59,7 +60,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    ensure_scratch(spark).sparkContext.setLogLevel("ERROR")
 
     def once(name: str) -> float:
         start = time.perf_counter()

@@ -21,11 +21,17 @@ def season_year(year: Column, month: Column) -> Column:
     return F.when(month > 2, year).otherwise(year - 1)
 
 
+def _four_digits(year: Column) -> Column:
+    """Padded to four digits; longer years stay whole."""
+    text = year.cast("string")
+    return F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text)
+
+
 def period_key_ymd(year: Column, month: Column, freq: str) -> Column:
     if freq == "monthly":
-        return F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"))
+        return F.concat(_four_digits(year), F.lit("-"), F.lpad(month.cast("string"), 2, "0"))
     if freq == "annual":
-        return F.lpad(year.cast("string"), 4, "0")
+        return _four_digits(year)
     if freq == "seasonal":
         return F.concat(season_year(year, month).cast("string"), F.lit("-S"), season_number(month).cast("string"))
     raise ValueError(f"unknown frequency {freq!r}, expected one of {FREQUENCIES}")

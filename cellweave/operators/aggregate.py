@@ -1,7 +1,7 @@
 """Calendar aggregation of cells, NaN- and mask-aware.
 
 Everything but the median is one hash aggregate with map-side combining, so a hot file, variable or
-cell shrinks to one row per task before the shuffle.
+cell shrinks to one row per task before the shuffle. The median sketches, counts and narrows.
 """
 
 from __future__ import annotations
@@ -11,10 +11,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cellweave.functions.calendar import period_key, period_key_ymd, period_stamp
 from cellweave.functions.reducers import numbers, reducer
 
-# A group with more samples than this leaves the in-memory median.
-LARGE_GROUP = 1_000_000
-# At most this many large groups are broadcast (about 100 bytes each).
-MAX_BROADCAST_GROUPS = 100_000
+# Columns of a cell that are no dimension: what is reduced, when, and what only describes.
+NOT_DIMENSIONS = frozenset(
+    ("file_id", "variable", "time", "year", "month", "day", "seconds", "lat", "lon", "value", "units", "fill_value", "unit_conversion")
+)
+# Quantiles that a pass of the median sketches, and the sketch's accuracy.
+QUANTILES = 100
+ACCURACY = 10_000
+
+
+def dimensions(cells: DataFrame) -> list[str]:
+    """Further dimensions of the cells (pressure level, depth, member): the columns not named above."""
+    return [c for c in cells.columns if c not in NOT_DIMENSIONS]
 
 
 def aggregate(
@@ -29,7 +37,8 @@ def aggregate(
 
     ``cells`` has either ``time`` or decoded CF parts ``year`` and ``month``. The result has
     ``period`` and ``value``; ``value`` is NULL where all samples were masked and NaN where no
-    sample was a number. ``across_files`` merges the periods of all files.
+    sample was a number. ``across_files`` merges the periods of all files. Any other column is a
+    dimension like latitude and longitude, and kept apart.
     """
     reduce = reducer(method)
     if variable is not None:
@@ -38,7 +47,7 @@ def aggregate(
         period = period_key(F.col("time"), freq)
     else:
         period = period_key_ymd(F.col("year"), F.col("month"), freq)
-    keys = ([] if across_files else ["file_id"]) + ["variable", "lat", "lon"]
+    keys = ([] if across_files else ["file_id"]) + ["variable", *dimensions(cells), "lat", "lon"]
     samples = cells.select(*keys, period.alias("period"), "value")
     keys = [*keys, "period"]
     if method == "median":
@@ -50,85 +59,56 @@ def aggregate(
     return out
 
 
-def group_median(
-    samples: DataFrame,
-    keys: list[str],
-    large_group: int = LARGE_GROUP,
-    max_broadcast: int = MAX_BROADCAST_GROUPS,
-) -> DataFrame:
-    """Exact median of ``value`` per group, whatever the size of a group.
-
-    Spark's median holds the distinct values of a group in one task. That is fine for the usual
-    month of samples, so groups up to ``large_group`` samples use it. Larger groups are counted first
-    and go through :func:`median_by_ranges`, which never brings a group together. Their keys are
-    broadcast after their number has been checked; with too many of them every group goes that way.
-    """
-    sizes = samples.groupBy(*keys).agg(F.count(numbers(F.col("value"))).alias("n"))
-    large = sizes.where(F.col("n") > large_group)
-    found = large.limit(max_broadcast + 1).count()
-    in_memory = reducer("median")(F.col("value")).alias("value")
-    if found == 0:
-        return samples.groupBy(*keys).agg(in_memory)
-    if found > max_broadcast:
-        return median_by_ranges(samples, keys)
-    # Keys may be NULL (a variable without latitude), hence the null-safe join.
-    marked = F.broadcast(large.select(*[F.col(k).alias(f"_{k}") for k in keys]))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    small = samples.join(marked, same, "left_anti").groupBy(*keys).agg(in_memory)
-    hot = samples.join(marked, same, "left_semi")
-    return small.unionByName(median_by_ranges(hot, keys, broadcast=True))
-
-
-def median_by_ranges(
-    samples: DataFrame, keys: list[str], bins: int = 65536, passes: int = 2, broadcast: bool = False
-) -> DataFrame:
-    """Exact median by narrowing value ranges.
+def group_median(samples: DataFrame, keys: list[str], passes: int = 2) -> DataFrame:
+    """Exact median of ``value`` per group, in one plan for groups of any size.
 
-    Each pass splits the range that holds the wanted rank into ``bins`` and keeps the bin with the
-    rank. A pass shuffles at most one row per group, bin and task. What is left at the end is counted
-    per distinct value. The two middle ranks are searched side by side and then averaged.
+    A pass sketches each group's quantiles (sketches combine on the map side), brackets the two middle
+    ranks, counts what lies below the bracket and keeps the rows inside it: a few hundredths of a large
+    group, whatever its distribution. Ranks are counted, so the result is exact; should a sketch miss
+    the middle, its group keeps all rows in that pass. What is left at the end is counted per distinct
+    value. Keys may be NULL (a variable without latitude), hence the null-safe joins.
     """
     value = F.col("value")
-    stats = samples.groupBy(*keys).agg(
-        F.count(value).alias("n_any"),
-        F.count(numbers(value)).alias("n"),
-        F.min(numbers(value)).alias("lo"),
-        F.max(numbers(value)).alias("hi"),
-    )
-    ranks = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
-    target = stats.where(F.col("n") > 0).select(
-        *keys, F.posexplode(ranks).alias("side", "rank"), "lo", "hi"
-    )
-    rows = samples.where(numbers(value).isNotNull())
-
-    def in_range(targets: DataFrame) -> DataFrame:
-        t = targets.select(*[F.col(k).alias(f"_{k}") for k in keys], "side", "rank", "lo", "hi")
-        on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        on.append(value.between(F.col("lo"), F.col("hi")))
-        return rows.join(F.broadcast(t) if broadcast else t, on).drop(*[f"_{k}" for k in keys])
-
-    def holding_rank(counted: DataFrame, order: str) -> DataFrame:
-        w = Window.partitionBy(*keys, "side").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        upto = counted.withColumn("upto", F.sum("m").over(w))
-        before = F.col("upto") - F.col("m")
-        return upto.where((before <= F.col("rank")) & (F.col("rank") < F.col("upto"))).withColumn(
-            "rank", F.col("rank") - before
-        )
+    facts = samples.groupBy(*keys).agg(F.count(value).alias("n_any"), F.count(numbers(value)).alias("n"))
+    rows = samples.where(numbers(value).isNotNull()).select(*keys, "value")
+    rank = None
 
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        more = [c for c in right.columns if c not in keys]
+        right = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *more)
+        return left.join(right, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys])
+
+    shares = [i / QUANTILES for i in range(QUANTILES + 1)]
     for _ in range(passes):
-        width = F.col("hi") - F.col("lo")
-        share = F.when(width > 0, (value - F.col("lo")) / width).otherwise(0.0)
-        bin_no = F.least(F.floor(share * bins), F.lit(bins - 1))
-        binned = (
-            in_range(target)
-            .withColumn("bin", bin_no)
-            .groupBy(*keys, "side", "rank", "bin")
-            .agg(F.count("*").alias("m"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+        sketch = rows.groupBy(*keys).agg(
+            F.percentile_approx(value, shares, ACCURACY).alias("q"),
+            F.count(value).alias("m"),
+            *([] if rank is None else [F.first("r1").alias("r1"), F.first("r2").alias("r2")]),
+        )
+        r1, r2 = (F.floor((F.col("m") - 1) / 2), F.floor(F.col("m") / 2)) if rank is None else rank
+        last = F.greatest(F.col("m") - 1, F.lit(1))
+        low = F.greatest(F.floor(r1 / last * QUANTILES) - 1, F.lit(0)).cast("int")
+        high = F.least(F.ceil(r2 / last * QUANTILES) + 1, F.lit(QUANTILES)).cast("int")
+        bracket = sketch.select(*keys, r1.alias("r1"), r2.alias("r2"), F.get("q", low).alias("lo"), F.get("q", high).alias("hi"))
+        marked = joined(rows.select(*keys, "value"), bracket)
+        inside = value.between(F.col("lo"), F.col("hi"))
+        counts = marked.groupBy(*keys).agg(
+            F.count_if(value < F.col("lo")).alias("below"), F.count_if(inside).alias("m"), F.first("r1").alias("a"), F.first("r2").alias("b")
+        )
+        held = (F.col("below") <= F.col("a")) & (F.col("b") < F.col("below") + F.col("m"))
+        counts = counts.select(*keys, held.alias("held"), F.when(held, F.col("below")).otherwise(0).alias("below"))
+        rows = joined(marked, counts).where(inside | ~F.col("held")).select(
+            *keys, "value", (F.col("r1") - F.col("below")).alias("r1"), (F.col("r2") - F.col("below")).alias("r2")
         )
-        target = holding_rank(binned, "bin").select(*keys, "side", "rank", "lo", "hi")
-    distinct = in_range(target).groupBy(*keys, "side", "rank", "value").agg(F.count("*").alias("m"))
-    middle = holding_rank(distinct, "value").groupBy(*keys).agg(F.avg("value").alias("value"))
-    empty = stats.where(F.col("n") == 0).select(
+        rank = (F.col("r1"), F.col("r2"))
+
+    distinct = rows.groupBy(*keys, "value").agg(F.count("*").alias("m"), F.first("r1").alias("r1"), F.first("r2").alias("r2"))
+    upto = F.sum("m").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = distinct.withColumn("upto", upto)
+    has = lambda r: (F.col("upto") - F.col("m") <= F.col(r)) & (F.col(r) < F.col("upto"))
+    middle = placed.groupBy(*keys).agg(F.max(F.when(has("r1"), value)).alias("x"), F.max(F.when(has("r2"), value)).alias("y"))
+    middle = middle.select(*keys, ((F.col("x") + F.col("y")) / 2).alias("value"))
+    empty = facts.where(F.col("n") == 0).select(
         *keys, F.when(F.col("n_any") > 0, F.lit(float("nan"))).cast("double").alias("value")
     )
     return middle.unionByName(empty)

@@ -62,11 +62,16 @@ def first_keys(expected: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def all_keys(expected: DataFrame, listing: DataFrame) -> DataFrame:
-    """Every listed key of each expected prefix. Expected prefixes are joined as they are."""
+    """Every listed key of each expected prefix, once: ``prefix, key, size_bytes, filename``.
+
+    Requests refer to the result by their prefix. However many ask for one prefix, its keys are not
+    repeated, so the rows are at most the listing's.
+    """
     keyed = listing.select(
         key_prefix(F.col("key")).alias("prefix"), "key", F.col("size").alias("size_bytes")
     ).where(F.col("prefix").isNotNull())
-    return expected.join(keyed, "prefix").withColumn("filename", F.substring_index("key", "/", -1))
+    wanted = expected.select("prefix").distinct()
+    return keyed.join(wanted, "prefix", "left_semi").withColumn("filename", F.substring_index("key", "/", -1))
 
 
 def usgs_keys(tiles: DataFrame, listing: DataFrame) -> DataFrame:
@@ -87,13 +92,6 @@ def usgs_keys(tiles: DataFrame, listing: DataFrame) -> DataFrame:
     return tiles.join(best, "tile_id").withColumn("size_bytes", F.lit(0).cast("long"))
 
 
-def checksum_ok(content: Column, checksum: Column, checksum_type: Column) -> Column:
-    """True without a checksum, false without a body, else whether the digests agree."""
-    kind = F.lower(F.coalesce(checksum_type, F.lit("sha256")))
-    digest = F.when(kind == "md5", F.md5(content)).otherwise(F.sha2(content, 256))
-    return F.when(F.coalesce(checksum, F.lit("")) == "", True).otherwise(F.coalesce(digest == checksum, F.lit(False)))
-
-
 def verify_checksums(manifest: DataFrame, bodies: DataFrame, key: str) -> DataFrame:
     """Manifest rows with ``ok``. Bodies are hashed where they are read: only digests are shuffled."""
     digests = bodies.select(key, F.md5("content").alias("_md5"), F.sha2("content", 256).alias("_sha256"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cellweave.constants import CONVERSIONS
 
@@ -41,46 +41,49 @@ def convert_cells(cells: DataFrame, variable: str, target_unit: str, registry=CO
     return cells.withColumns(changed)
 
 
-def convert_all(cells: DataFrame, registry=CONVERSIONS) -> DataFrame:
-    """Convert every variable that has a rule; adds ``units`` and the note ``unit_conversion``.
+def rules_table(spark: SparkSession, registry=CONVERSIONS) -> DataFrame:
+    """A registry as a table of rules."""
+    return spark.createDataFrame(
+        [tuple(r) for r in registry],
+        "variable string, target_unit string, source_unit string, scale double, offset double",
+    )
 
-    The registry is a short literal list, so it becomes three constant maps rather than a join.
-    Only the first rule of a variable applies.
-    """
-    if len(registry) > 1000:
-        raise ValueError("registry too long for literals; join it as a DataFrame with convert_lookup")
+
+def convert_all(cells: DataFrame, registry=CONVERSIONS) -> DataFrame:
+    """Convert every variable by its first rule; sets ``units`` and the note ``unit_conversion``."""
     first = {}
-    for name, target, source, scale, offset in registry:
-        first.setdefault(name, (target, source, scale, offset))
-
-    def lookup(position: int) -> Column:
-        entries = [F.lit(x) for name, rule in first.items() for x in (name, rule[position])]
-        return F.try_element_at(F.create_map(*entries), F.col("variable"))
-
-    target, source = lookup(0), lookup(1)
-    return cells.select(
-        *[c for c in cells.columns if c != "value"],
-        F.coalesce(F.col("value") * lookup(2) + lookup(3), F.col("value")).alias("value"),
-        target.alias("units"),
-        F.when(target.isNotNull(), F.concat(F.lit("From "), source, F.lit(" to "), target)).alias("unit_conversion"),
-    )
+    for rule in registry:
+        first.setdefault(rule[0], rule)
+    rules = rules_table(cells.sparkSession, first.values())
+    return _by_rules(cells, rules, [F.col("variable") == F.col("_variable")])
 
 
-def convert_lookup(cells: DataFrame, conversions: DataFrame) -> DataFrame:
-    """The same with the rules as a table of any size: ``(variable, target_unit, source_unit, scale, offset)``.
+def convert_lookup(cells: DataFrame, conversions: DataFrame, target_unit: str | None = None) -> DataFrame:
+    """The same with rules of any number: ``(variable, target_unit, source_unit, scale, offset)``.
 
-    One rule per variable. The join is left unhinted: the optimizer broadcasts the rules only if
-    their measured size allows it.
+    A variable may have rules to several units. ``target_unit`` names the wanted one, or else the
+    column ``target_unit`` of ``cells`` does, row by row. One rule per variable and target. The join
+    is left unhinted: the optimizer broadcasts the rules only if their measured size allows it.
     """
-    rules = conversions.select("variable", "target_unit", "source_unit", "scale", "offset")
-    return cells.join(rules, "variable", "left").select(
-        *[c for c in cells.columns if c != "value"],
-        F.coalesce(F.col("value") * F.col("scale") + F.col("offset"), F.col("value")).alias("value"),
-        F.col("target_unit").alias("units"),
-        F.when(
-            F.col("target_unit").isNotNull(),
-            F.concat(F.lit("From "), F.col("source_unit"), F.lit(" to "), F.col("target_unit")),
-        ).alias("unit_conversion"),
+    if target_unit is not None:
+        return _by_rules(cells, conversions.where(F.col("target_unit") == target_unit), [F.col("variable") == F.col("_variable")])
+    return _by_rules(cells, conversions, [F.col("variable") == F.col("_variable"), F.col("target_unit") == F.col("_target")])
+
+
+def _by_rules(cells: DataFrame, rules: DataFrame, on: list[Column]) -> DataFrame:
+    """Rows with a rule are converted if their stored unit, where there is one, holds the rule's source unit."""
+    rules = rules.select(
+        F.col("variable").alias("_variable"), F.col("target_unit").alias("_target"), F.col("source_unit").alias("_source"), "scale", "offset"
+    )
+    stored = F.col("units") if "units" in cells.columns else F.lit(None).cast("string")
+    hit = F.col("_variable").isNotNull()
+    if "units" in cells.columns:
+        hit = hit & F.coalesce(F.trim("units").contains(F.col("_source")), F.lit(False))
+    return cells.join(rules, on, "left").select(
+        *[c for c in cells.columns if c not in ("value", "units", "unit_conversion")],
+        F.when(hit, F.col("value") * F.col("scale") + F.col("offset")).otherwise(F.col("value")).alias("value"),
+        F.when(hit, F.col("_target")).otherwise(stored).alias("units"),
+        F.when(hit, F.concat(F.lit("From "), F.col("_source"), F.lit(" to "), F.col("_target"))).alias("unit_conversion"),
     )
 
 
@@ -110,9 +113,15 @@ def convert_status(files: DataFrame, grid_vars: DataFrame, variable: str, target
     )
 
 
-def convert_vars(grid_vars: DataFrame, variable: str, target_unit: str) -> DataFrame:
-    """The variable table after a conversion: new unit, and the file note in ``attrs``."""
-    hit = F.col("var_name") == variable
+def convert_vars(grid_vars: DataFrame, variable: str, target_unit: str, registry=CONVERSIONS) -> DataFrame:
+    """The variable table after a conversion: new unit, and the file note in ``attrs``.
+
+    A variable whose unit is not the expected one stays as it is, as ``convert_status`` reports.
+    """
+    rule = _rule(registry, variable, target_unit)
+    if rule is None:
+        raise ValueError(f"no conversion defined for {variable} to {target_unit}")
+    hit = (F.col("var_name") == variable) & F.coalesce(F.trim("units").contains(rule[0]), F.lit(False))
     note = F.create_map(
         F.lit("unit_conversion"), F.concat(F.lit("From "), F.trim("units"), F.lit(f" to {target_unit}"))
     )

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,22 +26,11 @@ def build_session(app_name: str = "cellweave", master: str | None = None, **conf
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Unset, a temporary folder is made, but only when Spark runs inside this very process: on a
-    cluster a machine-local folder would be invisible to the other machines.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
+    """The folder that all executors share: ``spark.checkpoint.dir``, or else the context's checkpoint folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _process_folder()
-
-
-@cache
-def _process_folder() -> str:
-    return tempfile.mkdtemp(prefix="cellweave-")
+    return shared
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

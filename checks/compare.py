@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 
 from checks.oracle import SQL
 from checks.registry import QUERIES
+from checks.scratch import ensure_scratch
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -80,7 +81,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    ensure_scratch(spark).sparkContext.setLogLevel("ERROR")
     con, bad = connect(args.sf), 0
     for key in args.keys or QUERIES:
         if key not in SQL:

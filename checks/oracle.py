@@ -510,14 +510,17 @@ add(
 )
 add(
     "convert_lookup",
-    f"""SELECT file_id, variable, {_TIME}, lat, lon, {_STATE}, {_value()}, units, unit_conversion FROM (
-          SELECT c.* EXCLUDE (value), coalesce(value * scale + shift, value) AS value,
-                 CASE WHEN scale IS NOT NULL THEN 'u2' END AS units,
-                 CASE WHEN scale IS NOT NULL THEN 'From u1 to u2' END AS unit_conversion
-          FROM v_cells c LEFT JOIN (
-            SELECT ['tas', 'pr', 'zg'][p_partkey % 3 + 1] AS variable, CAST(max(p_size) AS DOUBLE) AS scale,
-                   CAST(min(p_size) AS DOUBLE) AS shift
-            FROM part GROUP BY 1) r ON c.variable = r.variable)""",
+    f"""SELECT file_id, variable, target_unit, {_TIME}, lat, lon, {_STATE}, {_value()}, units, unit_conversion FROM (
+          SELECT c.* EXCLUDE (value, units), CASE WHEN hit THEN value * scale + shift ELSE value END AS value,
+                 CASE WHEN hit THEN target_unit ELSE units END AS units,
+                 CASE WHEN hit THEN 'From u1 to ' || target_unit END AS unit_conversion
+          FROM (SELECT c.*, scale, shift, scale IS NOT NULL AND units = ' u1 ' AS hit
+                FROM (SELECT *, CASE WHEN file_id IN ('file_1', 'file_2') THEN 'u3' ELSE 'u2' END AS target_unit,
+                             CASE WHEN file_id = 'file_2' THEN 'u9' ELSE ' u1 ' END AS units FROM v_cells) c
+                LEFT JOIN (
+                  SELECT ['tas', 'pr', 'zg'][p_partkey % 3 + 1] AS variable, ['u2', 'u3'][p_partkey % 2 + 1] AS target,
+                         CAST(max(p_size) AS DOUBLE) AS scale, CAST(min(p_size) AS DOUBLE) AS shift
+                  FROM part GROUP BY 1, 2) r ON c.variable = r.variable AND c.target_unit = r.target) c)""",
 )
 add(
     "convert_status",
@@ -531,9 +534,9 @@ add(
 )
 add(
     "convert_vars",
-    """SELECT file_id, var_pos, var_name, CASE WHEN var_name = 'tas' THEN 'C' ELSE units END AS units,
-              CASE WHEN var_name = 'tas' THEN 'From ' || trim(units) || ' to C' END AS note
-       FROM v_vars""",
+    """SELECT file_id, var_pos, var_name, CASE WHEN hit THEN 'C' ELSE units END AS units,
+              CASE WHEN hit THEN 'From ' || trim(units) || ' to C' END AS note
+       FROM (SELECT *, var_name = 'tas' AND position('K' IN coalesce(units, '')) > 0 AS hit FROM v_vars)""",
 )
 
 # aggregation and calendar
@@ -580,6 +583,24 @@ add(
     "agg_monthly_mean_across_files",
     _aggregate(f"(SELECT *, {_PERIOD['monthly']} AS period FROM v_cells)", "variable, lat, lon, period", "mean"),
 )
+_LEVELS = """(SELECT c.*, CASE l_suppkey % 3 WHEN 0 THEN CAST(850 AS DOUBLE) WHEN 1 THEN 500 END AS lev FROM (
+    SELECT 'file_' || (l_orderkey % 4) AS file_id, l_shipdate AS time, l_suppkey,
+           CASE l_linenumber % 3 WHEN 0 THEN 'tas' WHEN 1 THEN 'pr' ELSE 'sfcWind' END AS variable,
+           CAST(22.5 + 2.5 * (l_partkey % 100 // 10) AS DOUBLE) AS lat, CAST(230 + 7 * (l_partkey % 10) AS DOUBLE) AS lon,
+           CASE WHEN l_orderkey % 17 = 0 THEN NULL WHEN l_orderkey % 19 = 0 THEN CAST('NaN' AS DOUBLE)
+                WHEN l_linenumber % 3 = 0 THEN 250 + l_quantity WHEN l_linenumber % 3 = 1 THEN l_quantity / 1048576
+                ELSE l_quantity END AS value
+    FROM lineitem) c)"""
+add(
+    "agg_monthly_mean_levels",
+    _aggregate(f"(SELECT *, {_PERIOD['monthly']} AS period FROM {_LEVELS})", "file_id, variable, lev, lat, lon, period", "mean"),
+)
+add(
+    "clip_mask_levels",
+    f"""SELECT file_id, variable, {_TIME}, lev, lat, lon, {_STATE}, {_value()} FROM (
+          SELECT file_id, variable, time, lev, lat, lon, CASE WHEN {_IN} THEN value ELSE CAST('NaN' AS DOUBLE) END AS value
+          FROM {_LEVELS})""",
+)
 add("median_by_ranges", _aggregate("v_cells", "variable", "median"))
 add(
     "period_keys",
@@ -595,8 +616,7 @@ add(
         SELECT 'seasonal', period, count(*), left(period, 4) || ['-02-15', '-05-15', '-08-15', '-11-15'][CAST(right(period, 1) AS INTEGER)]
         FROM (SELECT {_PERIOD['seasonal']} AS period FROM v_cells) GROUP BY ALL""",
 )
-add(
-    "cf_decode_time",
+_DECODED = (
     """SELECT time_value, units, calendar, seconds,
               CAST(CASE calendar WHEN 'standard' THEN year(greg) WHEN 'noleap' THEN n // 365 ELSE k // 360 END AS INTEGER) AS year,
               CAST(CASE calendar WHEN 'standard' THEN month(greg) WHEN 'noleap' THEN l.m ELSE k % 360 // 30 + 1 END AS INTEGER) AS month,
@@ -607,7 +627,15 @@ add(
          FROM (SELECT *, CAST(floor(total / 86400) AS BIGINT) AS shift, total - floor(total / 86400) * 86400 AS seconds
                FROM (SELECT *, time_value * unit_seconds + origin_seconds AS total FROM v_cf)) t
          JOIN v_noleap o ON o.m = month(origin) AND o.d = day(origin)) t
-       JOIN v_noleap l ON l.doy = n % 365""",
+       JOIN v_noleap l ON l.doy = n % 365"""
+)
+add("cf_decode_time", _DECODED)
+add(
+    "agg_monthly_mean_calendar",
+    f"""SELECT file_id, variable, lat, lon, lpad(CAST(year AS VARCHAR), 4, '0') || '-' || lpad(CAST(month AS VARCHAR), 2, '0') AS period,
+              'ok' AS state, round(avg(time_value), 3) AS value
+       FROM (SELECT calendar AS file_id, 'tas' AS variable, CAST(1 AS DOUBLE) AS lat, CAST(2 AS DOUBLE) AS lon, * FROM ({_DECODED}))
+       WHERE calendar IN ('noleap', '360_day') GROUP BY ALL""",
 )
 add(
     "cf_encode_time",
@@ -807,8 +835,8 @@ add(
 )
 add(
     "prefix_all_keys",
-    """SELECT e.request_id, l.key, l.size AS size_bytes
-       FROM v_era5_expected e JOIN v_era5_listing l ON starts_with(l.key, e.prefix)""",
+    """SELECT e.prefix, l.key, l.size AS size_bytes
+       FROM (SELECT DISTINCT prefix FROM v_era5_expected) e JOIN v_era5_listing l ON starts_with(l.key, e.prefix)""",
 )
 
 # whole chains

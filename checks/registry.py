@@ -54,11 +54,6 @@ def _text(time: Column) -> Column:
 # --- sources and sinks -------------------------------------------------------------------------
 
 
-@query
-def file_scan(spark, sf_dir):
-    return src.scan_files(spark, sf_dir, "*.parquet").select("name", "length")
-
-
 @query
 def grid_scan(spark, sf_dir):
     path = scratch_path(spark, "cells")
@@ -324,17 +319,20 @@ def convert_units(spark, sf_dir):
 
 @query
 def convert_lookup(spark, sf_dir):
-    """Rules as a table, one per part type and variable that the parts name."""
+    """Rules as a table, to two units for each variable that the parts name; one file has another unit."""
+    p = F.col("p_partkey")
     rules = v.table(spark, sf_dir, "part").groupBy(
-        v.pick(["tas", "pr", "zg"], F.col("p_partkey") % 3).alias("variable")
+        v.pick(["tas", "pr", "zg"], p % 3).alias("variable"), v.pick(["u2", "u3"], p % 2).alias("target_unit")
     ).agg(
-        F.lit("u2").alias("target_unit"),
         F.lit("u1").alias("source_unit"),
         F.max("p_size").cast("double").alias("scale"),
         F.min("p_size").cast("double").alias("offset"),
     )
-    out = convert.convert_lookup(v.cells(spark, sf_dir), rules).withColumn("time", _text(F.col("time")))
-    return _out(out)
+    cells = v.cells(spark, sf_dir).withColumns({
+        "target_unit": F.when(F.col("file_id").isin("file_1", "file_2"), "u3").otherwise("u2"),
+        "units": F.when(F.col("file_id") == "file_2", "u9").otherwise(" u1 "),
+    })
+    return _out(convert.convert_lookup(cells, rules).withColumn("time", _text(F.col("time"))))
 
 
 @query
@@ -378,8 +376,39 @@ def agg_monthly_mean_across_files(spark, sf_dir):
 
 @query
 def median_by_ranges(spark, sf_dir):
-    """The way large groups take, here for the whole record of each variable."""
-    return _out(agg.group_median(v.cells(spark, sf_dir).select("variable", "value"), ["variable"], large_group=100))
+    """The median of the whole record of each variable."""
+    return _out(agg.group_median(v.cells(spark, sf_dir).select("variable", "value"), ["variable"]))
+
+
+def _with_levels(spark, sf_dir):
+    """The cells on pressure levels, as a fourth dimension."""
+    p = F.col("l_suppkey") % 3
+    level = F.when(p == 0, 850.0).when(p == 1, 500.0)
+    return v.cells(spark, sf_dir, level.alias("lev"))
+
+
+@query
+def agg_monthly_mean_levels(spark, sf_dir):
+    return _out(agg.aggregate(_with_levels(spark, sf_dir), "monthly", "mean"))
+
+
+@query
+def clip_mask_levels(spark, sf_dir):
+    cells = _with_levels(spark, sf_dir)
+    mask = clip.region_mask(cells, v.edges(spark, sf_dir))
+    return _out(clip.clip_mask(cells, mask).withColumn("time", _text(F.col("time"))))
+
+
+@query
+def agg_monthly_mean_calendar(spark, sf_dir):
+    """Days of a noleap and a 360_day calendar, decoded to parts and averaged by month."""
+    times = v.cf_times(spark, sf_dir).where(F.col("calendar").isin("noleap", "360_day"))
+    decoded = calendar.cf_decode(F.col("time_value"), F.col("units"), F.col("calendar"))
+    cells = times.select(
+        F.col("calendar").alias("file_id"), F.lit("tas").alias("variable"), F.inline(F.array(decoded)), F.col("time_value").alias("value"),
+    )
+    cells = cells.withColumns({"lat": F.lit(1.0), "lon": F.lit(2.0)})
+    return _out(agg.aggregate(cells, "monthly", "mean"), 3)
 
 
 @query
@@ -700,7 +729,7 @@ def prefix_first_key(spark, sf_dir):
 @query
 def prefix_all_keys(spark, sf_dir):
     expected = expand.era5_expand(v.era5_requests(spark, sf_dir))
-    return availability.all_keys(expected, v.era5_listing(spark, sf_dir)).select("request_id", "key", "size_bytes")
+    return availability.all_keys(expected, v.era5_listing(spark, sf_dir)).select("prefix", "key", "size_bytes")
 
 
 # --- whole chains ------------------------------------------------------------------------------

@@ -37,7 +37,7 @@ def _cell_value() -> Column:
     )
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cells(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """Three variables on a 10 x 10 grid with 0..360 longitudes, in four files."""
     p = F.col("l_partkey")
     return table(spark, sf_dir, "lineitem").select(
@@ -47,6 +47,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         (whole(p % 100, 10) * 2.5 + 22.5).alias("lat"),
         ((p % 10) * 7 + 230).cast("double").alias("lon"),
         _cell_value().alias("value"),
+        *more,
     )
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from checks.scratch import ensure_scratch  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -20,6 +22,6 @@ def spark():
         .config("spark.sql.maxMetadataStringLength", "10000")
         .getOrCreate()
     )
-    session.sparkContext.setLogLevel("ERROR")
+    ensure_scratch(session).sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

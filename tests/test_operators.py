@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cellweave.constants import DEMO_BOX
 from cellweave.functions.reducers import REDUCERS
+from cellweave.functions import calendar
 from cellweave.operators import aggregate, availability, axes, bounded, catalog, clip, convert, crop, expand, search
 from cellweave.schemas import SEARCH_DOC
 from cellweave.sources import boundaries
@@ -214,6 +215,13 @@ def test_conversion_guards(spark):
     assert out == [(1.0, "m/s"), (1.0, "C")]
     with pytest.raises(ValueError):
         convert.convert_cells(cells, "tasmax", "C")
+    every = convert.convert_all(cells)
+    assert every.columns.count("units") == 1
+    assert [tuple(r) for r in every.select("value", "units").collect()] == [(1.0, "m/s"), (pytest.approx(1.0), "C")]
+    rules = spark.createDataFrame([("tas", "C", "K", 1.0, -273.15), ("tas", "F", "K", 1.8, -459.67)],
+                                  "variable string, target_unit string, source_unit string, scale double, offset double")
+    out = convert.convert_lookup(cells, rules, "F").collect()
+    assert [(r["value"], r["units"]) for r in out] == [(1.0, "m/s"), (pytest.approx(33.8), "F")]
     gv = spark.createDataFrame([("a", 0, "tas", "K"), ("b", 0, "tas", "m/s"), ("c", 0, "pr", "K")],
                                "file_id string, var_pos int, var_name string, units string")
     files = gv.select("file_id")
@@ -253,25 +261,35 @@ def test_monthly_literal_case(spark):
         aggregate.aggregate(cells, "monthly", "mode")
 
 
-@pytest.mark.parametrize("large_group, max_broadcast", [(10**6, 10), (50, 10), (1, 1), (0, 100)])
-def test_median_of_large_groups(spark, large_group, max_broadcast):
-    """The three ways to the median agree, with one group far larger than the rest, ties and NULL keys."""
+@pytest.mark.parametrize("passes", [1, 2, 3])
+def test_median_of_groups_of_any_size(spark, passes):
+    """One group far larger than the rest, fill values far apart, ties and NULL keys."""
     rng = random.Random(3)
     groups = {"hot": [rng.choice([1.0, 2.5, rng.gauss(0, 1e6)]) for _ in range(3000)], None: [rng.random() for _ in range(81)],
-              "tie": [5.0] * 60, "few": [1.0, NAN, 4.0], "nan": [NAN], "masked": [None], "neg": [-1e300, 1e300, -2.0, 0.0]}
-    df = spark.createDataFrame([(k, x) for k, xs in groups.items() for x in xs], "k string, value double")
-    got = {r["k"]: r["value"] for r in aggregate.group_median(df, ["k"], large_group, max_broadcast).collect()}
+              "tie": [5.0] * 60, "few": [1.0, NAN, 4.0], "nan": [NAN], "masked": [None], "neg": [-1e300, 1e300, -2.0, 0.0],
+              "fill": [1e-30, 1e20, 9.97e36] * 400 + [280 + rng.random() for _ in range(5001)]}
+    df = spark.createDataFrame([(k, x) for k, xs in groups.items() for x in xs], "k string, value double").repartition(5)
+    got = {r["k"]: r["value"] for r in aggregate.group_median(df, ["k"], passes).collect()}
     assert set(got) == set(groups)
     assert got["masked"] is None and math.isnan(got["nan"])
-    for k in ("hot", None, "tie", "few", "neg"):
-        assert got[k] == pytest.approx(np.nanmedian(groups[k])), k
+    for k in ("hot", None, "tie", "few", "neg", "fill"):
+        assert got[k] == pytest.approx(np.nanmedian(groups[k]), rel=1e-15), k
 
 
-def test_median_with_few_bins_narrows_further(spark):
-    rng = random.Random(5)
-    xs = [rng.gauss(280, 10) for _ in range(999)]
-    df = spark.createDataFrame([("a", x) for x in xs], "k string, value double")
-    assert aggregate.median_by_ranges(df, ["k"], bins=3, passes=4).first()["value"] == np.median(xs)
+def test_levels_stay_apart(spark):
+    rows = [("f", "ta", "2000-01-01", lev, lev / 2) for lev in (850.0, 500.0)] * 2
+    cells = spark.createDataFrame(rows, "file_id string, variable string, t string, lev double, value double").select(
+        "file_id", "variable", F.col("t").cast("timestamp_ntz").alias("time"), "lev", F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), "value"
+    )
+    for method in ("mean", "median"):
+        out = aggregate.aggregate(cells, "monthly", method)
+        assert sorted((r["lev"], r["value"]) for r in out.collect()) == [(500.0, 250.0), (850.0, 425.0)]
+
+
+def test_years_of_five_digits_stay_whole(spark):
+    df = spark.createDataFrame([(12345, 3), (7, 11)], "y int, m int")
+    got = [r[0] for r in df.select(calendar.period_key_ymd(F.col("y"), F.col("m"), "monthly")).collect()]
+    assert got == ["12345-03", "0007-11"]
 
 
 # --- catalog, search, manifests ----------------------------------------------------------------
@@ -410,6 +428,8 @@ def test_first_key_of_a_crowded_prefix(spark):
     out = availability.first_keys(expected, listing).collect()
     assert [(r["key"], r["size_bytes"], r["filename"]) for r in out] == [(p + "00001.nc", 1, (p + "00001.nc").split("/")[-1])]
     assert availability.all_keys(expected, listing).count() == 3000
+    many = expected.crossJoin(spark.range(500).select(F.col("id").alias("request_id")))
+    assert availability.all_keys(many, listing).count() == 3000
 
 
 @pytest.mark.parametrize("tiles, box, names", [

@@ -118,17 +118,16 @@ class _Conf(dict):
 class _Session:
     """Just what the folder rule reads of a session; the real setting is fixed at start."""
 
-    def __init__(self, master, **conf):
-        self.sparkContext = type("Context", (), {"master": master})
+    def __init__(self, folder=None, **conf):
+        self.sparkContext = type("Context", (), {"getCheckpointDir": lambda self: folder})()
         self.conf = _Conf(conf)
 
 
 def test_scratch_folder_rule(spark):
-    assert session.scratch_dir(_Session("yarn", **{"spark.checkpoint.dir": "hdfs://x/y"})) == "hdfs://x/y"
-    local = session.scratch_dir(_Session("local[2]"))
-    assert local == session.scratch_dir(_Session("local[2]"))
+    assert session.scratch_dir(_Session("file:/c", **{"spark.checkpoint.dir": "hdfs://x/y"})) == "hdfs://x/y"
+    assert session.scratch_dir(_Session("hdfs://x/z")) == "hdfs://x/z"
     with pytest.raises(ValueError):
-        session.scratch_dir(_Session("yarn"))
+        session.scratch_dir(_Session())
 
 
 def test_stage_lives_in_the_scratch_folder(spark):
