@@ -249,8 +249,14 @@ def region_mask(cells: DataFrame, edges: DataFrame, buffer_km: float = 0.0, poin
 
 
 def clip_filter(cells: DataFrame, mask: DataFrame) -> DataFrame:
-    """Only the rows whose grid point is in the mask."""
+    """Only the rows whose grid point is in the mask.
+
+    The mask's range of latitudes is a filter on the stored column, so the reader skips what lies
+    outside it; a point of the mask has a latitude of the cube, unchanged.
+    """
     m = mask.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    span = mask.agg(F.min("lat").alias("low"), F.max("lat").alias("high"))
+    cells = cells.where((F.col("lat") >= span.select("low").scalar()) & (F.col("lat") <= span.select("high").scalar()))
     return cells.join(m, (F.col("lat") == F.col("_lat")) & (normalize_lon(F.col("lon")) == F.col("_lon")), "left_semi")
 
 
@@ -270,16 +276,19 @@ def clip_mask(cells: DataFrame, mask: DataFrame) -> DataFrame:
     )
 
 
-def clip_status(files: DataFrame, cells: DataFrame, edges: DataFrame, mask: DataFrame) -> DataFrame:
-    """Per file ``(file_id, ok, message)``.
+def clip_status(
+    files: DataFrame, cells: DataFrame, edges: DataFrame, mask: DataFrame, buffer_km: float = 0.0
+) -> DataFrame:
+    """Per file ``(file_id, ok, message)``; the bounds are those of the boundary grown by ``buffer_km``.
 
-    ``cells`` needs ``file_id, lat, lon`` only; each file is reduced to a few numbers before the
-    shuffle. The extent of the boundary enters as scalar subqueries.
+    ``cells`` needs ``file_id, lat, lon`` only; it is reduced to each file's distinct points before the
+    mask is looked up. The extent of the boundary enters as scalar subqueries.
     """
     m = mask.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.lit(True).alias("_in"))
     lon = normalize_lon(F.col("lon"))
     seen = (
         cells.select("file_id", "lat", lon.alias("lon"))
+        .distinct()
         .join(m, (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")), "left")
         .groupBy("file_id")
         .agg(
@@ -291,11 +300,15 @@ def clip_status(files: DataFrame, cells: DataFrame, edges: DataFrame, mask: Data
         )
     )
     box = extent(edges)
+    if buffer_km > 0:  # in the equal-area metres that the buffer is measured in
+        x, y, reach = equal_area_x, equal_area_y, buffer_km * 1000.0
+    else:
+        x, y, reach = (lambda c: c), (lambda c: c), 0.0
     apart = (
-        (F.col("lon1") < box.select("min_lon").scalar())
-        | (F.col("lon0") > box.select("max_lon").scalar())
-        | (F.col("lat1") < box.select("min_lat").scalar())
-        | (F.col("lat0") > box.select("max_lat").scalar())
+        (x(F.col("lon1")) < x(box.select("min_lon").scalar()) - reach)
+        | (x(F.col("lon0")) > x(box.select("max_lon").scalar()) + reach)
+        | (y(F.col("lat1")) < y(box.select("min_lat").scalar()) - reach)
+        | (y(F.col("lat0")) > y(box.select("max_lat").scalar()) + reach)
     )
     message = (
         F.when(F.col("lat0").isNull() | F.col("lon0").isNull(), NO_COORDS)

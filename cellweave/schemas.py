@@ -51,7 +51,8 @@ BOUNDARY_EDGES = T.StructType([
 
 _STRINGS = T.ArrayType(T.StringType())
 
-# One document of a search page. Facets are lists; text fields are single values.
+# One document of a search page. In a saved page each facet is a field of the document; here they
+# are the entries of ``facets``.
 SEARCH_DOC = T.StructType([
     T.StructField("instance_id", T.StringType()),
     T.StructField("title", T.StringType()),
@@ -65,14 +66,6 @@ SEARCH_DOC = T.StructType([
     T.StructField("facets", T.MapType(T.StringType(), _STRINGS)),
 ])
 
-SEARCH_PAGE = T.StructType([
-    T.StructField("response", T.StructType([
-        T.StructField("numFound", T.LongType()),
-        T.StructField("start", T.LongType()),
-        T.StructField("docs", T.ArrayType(SEARCH_DOC)),
-    ])),
-])
-
 GRANULE_PAGE = T.StructType([
     T.StructField("features", T.ArrayType(T.StructType([
         T.StructField("properties", T.StructType([
@@ -83,9 +76,17 @@ GRANULE_PAGE = T.StructType([
     ]))),
 ])
 
+# An entry of a work list or failure list, with all that a retry needs.
 MANIFEST = T.StructType([
     T.StructField("title", T.StringType()),
+    T.StructField("instance_id", T.StringType()),
+    T.StructField("data_node", T.StringType()),
     T.StructField("url", T.StringType()),
+    T.StructField("urls", _STRINGS),
     T.StructField("size_bytes", T.LongType()),
+    T.StructField("checksum", T.StringType()),
+    T.StructField("checksum_type", T.StringType()),
+    T.StructField("output_path", T.StringType()),
+    T.StructField("facets", T.MapType(T.StringType(), _STRINGS)),
     T.StructField("ok", T.BooleanType()),
 ])

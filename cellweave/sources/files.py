@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from cellweave.functions.naming import last_segment
-from cellweave.schemas import GRANULE_PAGE, MANIFEST, SEARCH_PAGE
+from cellweave.schemas import GRANULE_PAGE, MANIFEST, SEARCH_DOC
 
 
 def scan_files(spark: SparkSession, root: str, pattern: str = "*.nc") -> DataFrame:
@@ -51,12 +51,26 @@ def read_manifest(spark: SparkSession, path: str, schema: StructType = MANIFEST,
 
 def read_search_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Documents of saved search pages, one page per line or, with ``multi_line``, per file."""
-    return search_docs(spark.read.schema(SEARCH_PAGE).option("multiLine", multi_line).json(path))
+    return search_docs(spark.read.text(path, wholetext=multi_line).select(F.col("value").alias("page")))
 
 
 def search_docs(pages: DataFrame) -> DataFrame:
-    """One row per document of each page."""
-    return pages.select(F.explode("response.docs").alias("doc")).select("doc.*")
+    """One row per document of each ``page`` text.
+
+    A saved document has its facets as fields of its own, mostly lists. The fields of ``SEARCH_DOC``
+    become columns, every other field an entry of ``facets``; a single value becomes a list of one.
+    """
+    docs = pages.select(F.explode(F.from_json("page", "response struct<docs:array<string>>")["response"]["docs"]).alias("doc"))
+    fixed = [f for f in SEARCH_DOC.fields if f.name != "facets"]
+    fields = F.from_json("doc", "map<string,string>")
+    rest = F.map_filter(fields, lambda k, v: ~k.isin([f.name for f in fixed]) & v.isNotNull())
+
+    def as_list(_, v: Column) -> Column:
+        return F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v))
+
+    return docs.select(F.from_json("doc", StructType(fixed)).alias("d"), F.transform_values(rest, as_list).alias("facets")).select(
+        "d.*", "facets"
+    )
 
 
 def read_granules(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

@@ -481,6 +481,27 @@ add(
           FROM v_points, v_edges)
         WHERE sqrt(pow(px - (ax + {_T} * (bx - ax)), 2) + pow(py - (ay + {_T} * (by1 - ay)), 2)) <= 40000""",
 )
+add(
+    "clip_status_buffer",
+    f"""SELECT * FROM (WITH box AS (SELECT {_ex('min(least(x1, x2))')} - 40000 AS w, {_ex('max(greatest(x1, x2))')} + 40000 AS e,
+                        {_ey('min(least(y1, y2))')} - 40000 AS s, {_ey('max(greatest(y1, y2))')} + 40000 AS n FROM v_edges),
+             near AS (SELECT lat, lon FROM v_all_inside UNION SELECT lat, lon FROM (
+                        SELECT lat, lon, {_ex('lon')} AS px, {_ey('lat')} AS py, {_ex('x1')} AS ax, {_ey('y1')} AS ay,
+                               {_ex('x2')} AS bx, {_ey('y2')} AS by1
+                        FROM v_all_points, v_edges)
+                      WHERE sqrt(pow(px - (ax + {_T} * (bx - ax)), 2) + pow(py - (ay + {_T} * (by1 - ay)), 2)) <= 40000)
+        SELECT file_id, message = 'Clipped' AS ok, message FROM (
+          SELECT f.file_id,
+                 CASE WHEN max(p.lat) IS NULL THEN 'No coordinates found'
+                      WHEN {_ex('max(n)')} < (SELECT w FROM box) OR {_ex('min(n)')} > (SELECT e FROM box)
+                        OR {_ey('max(p.lat)')} < (SELECT s FROM box) OR {_ey('min(p.lat)')} > (SELECT n FROM box)
+                        THEN 'Outside bounds'
+                      WHEN count(i.lat) = 0 THEN 'No intersection' ELSE 'Clipped' END AS message
+          FROM v_status_files f
+          LEFT JOIN (SELECT *, {_LON} AS n FROM v_file_points) p ON f.file_id = p.file_id
+          LEFT JOIN near i ON p.lat = i.lat AND p.n = i.lon
+          GROUP BY f.file_id))""",
+)
 add(
     "extents",
     f"""SELECT file_id, min({_LON}) AS min_lon, max({_LON}) AS max_lon, min(lat) AS min_lat, max(lat) AS max_lat
@@ -680,6 +701,7 @@ add(
 
 # search and manifests
 add("facet_search", "SELECT arrival, instance_id, title FROM v_docs WHERE variable_id = 'tas' AND source_id = 'M3'")
+add("facet_search_saved", "SELECT arrival, instance_id, title FROM v_docs WHERE variable_id = 'tas' AND source_id = 'M3'")
 add("facet_search_cmip5", "SELECT arrival, title FROM v_docs WHERE variable_id = 'pr' AND frequency = 'mon'")
 add("facet_flags", "SELECT arrival, title FROM v_docs WHERE NOT replica AND latest AND data_node = 'CEDA'")
 add(

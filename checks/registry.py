@@ -87,18 +87,33 @@ def vocab_terms(spark, sf_dir):
     return src.vocab_terms(v.vocab_texts(spark, sf_dir))
 
 
-@query
-def search_docs(spark, sf_dir):
+def _saved_pages(spark, sf_dir):
+    """The documents as saved pages have them: facets are fields of the document."""
     path = scratch_path(spark, "pages")
-    docs = v.docs(spark, sf_dir)
-    doc = F.struct("instance_id", "title", "data_node", "replica", "url", "facets")
+    facets = ["variable_id", "source_id", "frequency", "activity_id", "nominal_resolution"]
+    doc = F.struct(
+        "instance_id", "title", "data_node", "replica", "url", "arrival", *[F.col("facets")[f].alias(f) for f in facets]
+    )
     page = F.struct(F.lit(1).alias("numFound"), F.lit(0).alias("start"), F.array(doc).alias("docs"))
-    docs.select(page.alias("response")).write.json(path)
-    return src.read_search_pages(spark, path).select(
+    v.docs(spark, sf_dir).select(page.alias("response")).write.json(path)
+    return src.read_search_pages(spark, path)
+
+
+@query
+def search_docs(spark, sf_dir):
+    return _saved_pages(spark, sf_dir).select(
         "instance_id", "title", "data_node", "replica", F.array_join("url", " ").alias("urls")
     )
 
 
+@query
+def facet_search_saved(spark, sf_dir):
+    """The facet search on pages that were written and read again."""
+    params = search.search_params({"variable": "tas", "model": "M3", "frequency": ""})
+    found = search.facet_search(_saved_pages(spark, sf_dir), params)
+    return found.select(F.col("facets")["arrival"][0].cast("long").alias("arrival"), "instance_id", "title")
+
+
 @query
 def granule_features(spark, sf_dir):
     pages = v.granule_pages(spark, sf_dir).select(src.parse_granule_page(F.col("text")).alias("page")).select("page.*")
@@ -282,6 +297,13 @@ def clip_status(spark, sf_dir):
     return clip.clip_status(v.status_files(spark, sf_dir), points, edges, mask)
 
 
+@query
+def clip_status_buffer(spark, sf_dir):
+    points, edges = v.file_points(spark, sf_dir), v.edges(spark, sf_dir)
+    mask = clip.region_mask(points, edges, BUFFER_KM)
+    return clip.clip_status(v.status_files(spark, sf_dir), points, edges, mask, BUFFER_KM)
+
+
 @query
 def clip_buffer(spark, sf_dir):
     return clip.region_mask(v.cells(spark, sf_dir), v.edges(spark, sf_dir), BUFFER_KM)
