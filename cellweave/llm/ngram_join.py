@@ -5,8 +5,11 @@ or more share a token of their prefixes: the first n - ceil(0.8 n) + 1 of n toke
 here by a count sketch over all documents (rare first), then by hash. The steps:
 
 1. one pass for sizes, 128-bit set hashes and the sketch (COUNT_BUCKETS numbers, whatever the input);
-2. one pass that gives (token, class) for the prefixes. The least class of a token leads it, and a
-   class joins the families of its tokens' leaders. Tokens of one class alone drop out there. Classes
+2. one pass that gives (token, class) for the prefixes, each lengthened by ``matches(n)`` - 1 tokens, so
+   that similar sets share as many tokens of both prefixes as the smaller ``matches`` asks. Tokens of one
+   class alone drop out; then classes with too few tokens left for any partner, and with them the
+   documents that merely hold a passage others hold too;
+   The least class of a token leads it, and a class joins the families of its tokens' leaders. Classes
    that share a token are together in its leader's family; copies with small edits share most leaders,
    so a family replaces their many token lists and no pair is ever written out;
 3. the families' texts are fetched and joined family by family, with multi-match prefixes: a document
@@ -39,6 +42,8 @@ N = 5
 PERCENT = 80
 COUNT_BITS = 18
 FAMILY = 4096
+#: One in so many tokens lengthens the prefix, and has to be shared.
+MATCH_PART = 10
 MOST_MATCHES = 8
 #: Cost of verifying a candidate, in list entries scanned.
 VERIFY_COST = 400
@@ -110,6 +115,11 @@ def needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
+def matches(n: int) -> int:
+    """Shared prefix tokens asked of a set of n tokens before its text is fetched."""
+    return max(1, n // MATCH_PART)
+
+
 def _batch_sets(shingler: Shingler, column: pa.Array) -> list[np.ndarray]:
     return shingler.sets(*utf8(column))
 
@@ -154,7 +164,7 @@ def prefix_tokens(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(key)
-                size = len(s) - needed(len(s)) + 1
+                size = len(s) - needed(len(s)) + matches(len(s))
                 order = np.argsort(counts[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], kind="stable")[:size]
                 tokens.append(s[order])
                 owners.append(np.full(size, key[0], np.int64))
@@ -163,10 +173,21 @@ def prefix_tokens(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return id_text(docs).mapInArrow(run, "token long, h1 long")
 
 
-def families(tokens: DataFrame) -> DataFrame:
-    """(leader, h1): classes that share a prefix token, under the least class of the token."""
-    led = tokens.groupBy("token").agg(F.min("h1").alias("leader"), F.max("h1").alias("last")).where("leader <> last")
-    return tokens.join(led.select("token", "leader"), "token").select("leader", "h1").distinct()
+def families(tokens: DataFrame, classes: DataFrame) -> DataFrame:
+    """(leader, h1): classes that share a prefix token, under the least class of the token.
+
+    A class of n tokens stays if it has as many shared tokens as its smallest possible partner, of
+    ``needed(n)`` tokens, asks for.
+    """
+    of_token = W.partitionBy("token")
+    led = lambda df: df.select(
+        "token", "h1", F.min("h1").over(of_token).alias("leader"), F.max("h1").over(of_token).alias("last")
+    ).where("leader <> last")
+    shared = staged(led(tokens).select("token", "h1"), "shared-tokens")
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    asked = F.greatest(F.floor(least / MATCH_PART), F.lit(1))
+    enough = shared.groupBy("h1").agg(F.countDistinct("token").alias("k")).join(classes.select("h1", "n"), "h1").where(F.col("k") >= asked)
+    return led(shared.join(enough.select("h1"), "h1", "left_semi")).select("leader", "h1").distinct()
 
 
 class _Union:
@@ -285,8 +306,9 @@ def similar_groups(docs: DataFrame, family: int = FAMILY) -> DataFrame:
     counts = np.zeros(1 << COUNT_BITS, np.int64)
     for r in sketch.toLocalIterator():
         counts[r["bucket"]] = r["n"]
-    classes = staged(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
-    member = staged(families(prefix_tokens(docs, counts)), "families")
+    of_class = [F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n")]
+    classes = staged(rows.where("n > 0").groupBy("h1", "h2").agg(*of_class), "classes")
+    member = staged(families(prefix_tokens(docs, counts), classes), "families")
     roots = components(links(docs, classes, member, family)).select("node.h1", "node.h2", "root")
     linked = roots.join(classes, ["h1", "h2"]).select("h1", "h2", "root", "rep", "rows")
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
