@@ -46,15 +46,27 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_windows(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows as bytes (zero padded), class numbers, and the classes in order."""
-    learn = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    """Windows as bytes (zero padded), class numbers, and the classes in order.
+
+    Hashes above a threshold are left out first, for some 2 * ``rows`` candidates; it rises while they hold
+    fewer than ``rows`` documents with letters. So tasks send little, however many they are.
+    """
+    known = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    learn = known.where(F.col("text").rlike(r"\p{L}"))
     length = F.length("text")
     place = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.greatest(length - WINDOW + 1, F.lit(1)))
     sample = learn.select(
         F.col("lang").cast("string").alias("lang"), F.substring("text", (place + 1).cast("int"), F.lit(WINDOW)).alias("piece"),
         F.xxhash64("doc_id").alias("h"), "doc_id",
     )
-    got = sample.orderBy("h", "doc_id", "lang", "piece").limit(rows).collect()
+    share = min(1.0, 2 * rows / max(known.count(), 1))
+    got = []
+    while len(got) < rows:
+        below = F.col("h") <= int(share * 2**64) - 2**63 - 1
+        got = sample.where(below).orderBy("h", "doc_id", "lang", "piece").limit(rows).collect()
+        if share == 1:
+            break
+        share = min(1.0, 4 * share)
     langs = sorted({r["lang"] for r in got})
     x = np.zeros((len(got), WINDOW + TAIL), np.uint8)
     for i, r in enumerate(got):
