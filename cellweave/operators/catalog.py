@@ -5,11 +5,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cellweave.constants import CATALOG_ATTRS, REQUIRED_ATTRS
 from cellweave.functions.naming import base_filename, is_plain
-from cellweave.operators.bounded import PART_SIZE, assign_parts
 
 
 def file_attributes(files: DataFrame) -> DataFrame:
@@ -78,52 +77,40 @@ def included(attributes: DataFrame) -> DataFrame:
     )
 
 
-def catalog_flat(attributes: DataFrame) -> DataFrame:
-    """One row per catalog key and variable with the number of files, sized for any catalog."""
-    return included(attributes).groupBy("catalog_key", "activity_id", "source_id", "variant_label", "variable_id").agg(
-        F.count("*").alias("file_count"), F.min("file_id").alias("first_file")
+_KEY = ("catalog_key", "activity_id", "source_id", "variant_label")
+
+
+def _counts(entries: DataFrame) -> DataFrame:
+    """Files, first file and institution per catalog key and variable.
+
+    A key's institution is that of its first file and may be NULL; it is looked up among the key's
+    variables, which are few, once its files are counted.
+    """
+    first = F.min(F.struct("file_id", "institution_id"))
+    counted = entries.groupBy(*_KEY, "variable_id").agg(F.count("*").alias("file_count"), first.alias("first"))
+    head = F.min("first").over(Window.partitionBy("catalog_key"))
+    return counted.select(
+        *_KEY, "variable_id", "file_count", F.col("first.file_id").alias("first_file"), head["institution_id"].alias("institution_id")
     )
 
 
-def _heads(entries: DataFrame) -> DataFrame:
-    """Per catalog key: the institution of its first file, which may be NULL."""
-    return entries.groupBy("catalog_key").agg(F.min_by("institution_id", "file_id").alias("institution_id"))
+def catalog_flat(attributes: DataFrame) -> DataFrame:
+    """One row per catalog key and variable: number of files, first file, institution of the key."""
+    return _counts(included(attributes))
 
 
-def catalog_nested(attributes: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """One row per catalog key: ``variables`` maps a variable to ``{file_count, files}``.
+def catalog_entries(attributes: DataFrame) -> DataFrame:
+    """The catalog in long form: one row per file, with its key's fields and its variable's number of files.
 
-    A key with more than ``part_size`` files comes as several rows numbered ``part`` of ``parts``;
-    each holds the whole count of its variables and its share of the sorted file lists.
+    The layout is the same for a key of one file and of a hundred million. Only counts are joined to
+    the files, so a hot key is split like any skewed join.
     """
     entries = included(attributes)
-    placed = assign_parts(
-        entries.select(
-            "catalog_key", "activity_id", "source_id", "variant_label", "institution_id", "variable_id", "file_id"
-        ),
-        ["catalog_key"],
-        F.col("file_id"),
-        part_size,
-    )
-    counts = entries.groupBy("catalog_key", "variable_id").agg(F.count("*").alias("file_count"))
-    lists = (
-        placed.groupBy("catalog_key", "part", "parts", "activity_id", "source_id", "variant_label", "variable_id")
-        .agg(F.sort_array(F.collect_list("file_id")).alias("files"))
-        .join(counts, ["catalog_key", "variable_id"])
-    )
-    entry = F.struct(F.col("variable_id"), F.struct(F.col("file_count"), F.col("files")))
+    counts = _counts(entries).select("catalog_key", "variable_id", "institution_id", "file_count")
     return (
-        lists.groupBy("catalog_key", "part", "parts", "activity_id", "source_id", "variant_label")
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("variables"))
-        .join(_heads(entries), "catalog_key")
-    )
-
-
-def catalog_json(nested: DataFrame) -> DataFrame:
-    """Each catalog row as JSON text, ready for a text or JSON sink."""
-    body = F.struct("activity_id", "source_id", "variant_label", "institution_id", "variables")
-    return nested.select(
-        "catalog_key", "part", "parts", F.to_json(body, {"ignoreNullFields": "false"}).alias("entry")
+        entries.select(*_KEY, "variable_id", "file_id")
+        .join(counts, ["catalog_key", "variable_id"])
+        .select(*_KEY, "institution_id", "variable_id", "file_count", "file_id")
     )
 
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cellweave.constants import CMIP5_FACETS, CMIP6_FACETS, PREFERRED_NODE
-from cellweave.functions.naming import split_list
-from cellweave.operators.bounded import PART_SIZE, assign_parts
+from cellweave.session import stage
 
 
 def search_params(settings: dict, project: str = "CMIP6") -> dict[str, str]:
@@ -48,39 +47,36 @@ def node_priority(docs: DataFrame) -> DataFrame:
     return docs.select("data_node").distinct().orderBy(node_rank(F.col("data_node")), "data_node")
 
 
-def merge_nodes(docs: DataFrame, id_column: str, part_size: int = PART_SIZE) -> DataFrame:
-    """One record per id: the first by node and arrival, with the addresses of all repeats.
+def _records(docs: DataFrame, id_column: str) -> DataFrame:
+    known = docs.where(F.coalesce(F.col(id_column), F.lit("")) != "")
+    order = F.struct(node_rank(F.col("data_node")), F.col("data_node"), F.col("arrival"))
+    rest = [c for c in docs.columns if c != id_column]
+    return known.groupBy(id_column).agg(F.count("*").alias("seen"), F.min_by(F.struct(*rest), order).alias("record"))
+
 
-    A record seen once keeps its address list as it came; a repeated one gets the sorted union.
-    Documents without an id are dropped. ``docs`` has ``arrival``, the order of the answers.
+def merge_nodes(docs: DataFrame, id_column: str) -> DataFrame:
+    """One record per id: the first by node and arrival, and how often the id was seen.
 
-    Repeats combine before the shuffle: the record is a minimum, and addresses are made distinct per
-    id first. An id with more than ``part_size`` distinct addresses comes as several rows.
+    Documents without an id are dropped. ``docs`` has ``arrival``, the order of the answers. Repeats
+    combine before the shuffle, since the record is a minimum. The addresses of all repeats are
+    :func:`merged_urls`.
     """
-    known = docs.where(F.coalesce(F.col(id_column), F.lit("")) != "")
-    order = F.struct(node_rank(F.col("data_node")), F.col("data_node"), F.col("arrival"))
     rest = [c for c in docs.columns if c not in (id_column, "url")]
-    records = known.groupBy(id_column).agg(
-        F.count("*").alias("seen"),
-        F.min_by(F.struct("url", *rest), order).alias("record"),
-    )
-    addresses = known.select(id_column, F.explode("url").alias("one")).distinct()
-    unions = (
-        assign_parts(addresses, [id_column], F.col("one"), part_size)
-        .groupBy(F.col(id_column).alias("_id"), "part", "parts")
-        .agg(F.sort_array(F.collect_list("one")).alias("all_urls"))
-    )
-    repeated = F.col("seen") > 1
-    return records.join(unions, (F.col(id_column) == F.col("_id")) & repeated, "left").select(
-        id_column,
-        "seen",
-        *[F.col(f"record.{c}").alias(c) for c in rest],
-        F.when(repeated, F.coalesce("all_urls", F.array().cast("array<string>")))
-        .otherwise(F.col("record.url"))
-        .alias("url"),
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("parts", F.lit(1)).alias("parts"),
-    )
+    return _records(docs, id_column).select(id_column, "seen", *[F.col(f"record.{c}").alias(c) for c in rest])
+
+
+def merged_urls(docs: DataFrame, id_column: str) -> DataFrame:
+    """The addresses of :func:`merge_nodes`'s records in long form, ``(id, pos, url)``.
+
+    An id seen once keeps its list as it came, repeats included, ``pos`` being the place in it. A
+    repeated id has each of its addresses once, in the order of the address (``pos`` 0). Addresses
+    become distinct before the shuffle.
+    """
+    records = _records(docs, id_column)
+    single = records.where("seen = 1").select(id_column, F.posexplode("record.url").alias("pos", "url"))
+    repeated = docs.select(id_column, F.explode("url").alias("url")).distinct()
+    repeated = repeated.join(records.where("seen > 1").select(id_column), id_column, "left_semi")
+    return single.unionByName(repeated.select(id_column, F.lit(0).alias("pos"), "url"))
 
 
 def http_urls(urls: Column) -> Column:
@@ -96,22 +92,21 @@ def http_mirrors(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.posexplode(http_urls(F.col("url"))).alias("pos", "mirror"))
 
 
-def ranked_mirrors(urls: Column, prefer: str) -> Column:
-    """Mirrors by the first preferred fragment that their host holds, others last, ties in order.
-
-    Sorted inside each row's array; no window and no shuffle.
-    """
+def mirror_preference(url: Column, prefer: str) -> Column:
+    """The place in ``prefer`` of the first fragment that the host holds; others come last."""
     fragments = [f.strip() for f in prefer.split(",") if f.strip()]
-    last = len(fragments) + 1
+    host = F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))
+    chain = F.lit(len(fragments) + 1)
+    for i, fragment in reversed(list(enumerate(fragments))):
+        chain = F.when(host.contains(fragment), i).otherwise(chain)
+    return chain
 
-    def rank(url: Column) -> Column:
-        host = F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))
-        chain = F.lit(last)
-        for i, fragment in reversed(list(enumerate(fragments))):
-            chain = F.when(host.contains(fragment), i).otherwise(chain)
-        return chain
 
-    keyed = F.transform(urls, lambda u, i: F.struct(rank(u).alias("rank"), i.alias("pos"), u.alias("url")))
+def ranked_mirrors(urls: Column, prefer: str) -> Column:
+    """Mirrors by preference, ties in order, sorted inside each row's array; no window and no shuffle."""
+    keyed = F.transform(
+        urls, lambda u, i: F.struct(mirror_preference(u, prefer).alias("rank"), i.alias("pos"), u.alias("url"))
+    )
     return F.array_sort(keyed)
 
 
@@ -126,6 +121,32 @@ def mirror_rank(docs: DataFrame, prefer: str) -> DataFrame:
     )
 
 
+def rank_addresses(addresses: DataFrame, id_column: str, prefer: str) -> DataFrame:
+    """The HTTP mirrors of ``(id, pos, url)`` rows with their place (from 1) among all of their id.
+
+    The rows are put in one order and cut into ranges, which may fall inside an id; a place is the
+    place in the range plus the rows of the id in earlier ranges. No task holds more than a range,
+    whatever one id has. The ranges are written down, so a lost executor can't move them.
+    """
+    mirrors = addresses.where(F.size(http_urls(F.array("url"))) == 1).select(
+        id_column, "pos", F.element_at(http_urls(F.array("url")), 1).alias("mirror")
+    )
+    order = ["rank", "pos", "mirror"]
+    ranged = stage(
+        mirrors.withColumn("rank", mirror_preference(F.col("mirror"), prefer))
+        .repartitionByRange(id_column, *order)
+        .withColumn("_range", F.spark_partition_id()),
+        "mirror-ranges",
+    )
+    earlier = Window.partitionBy(id_column).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(id_column, "_range").agg(F.count("*").alias("_n")).select(
+        id_column, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    inside = F.row_number().over(Window.partitionBy(id_column, "_range").orderBy(*order))
+    placed = ranged.withColumn("_inside", inside).join(before, [id_column, "_range"])
+    return placed.select(id_column, (F.col("_before") + F.col("_inside")).cast("int").alias("place"), "rank", "mirror")
+
+
 def limit_manifest(manifest: DataFrame, n: int | None, by: str) -> DataFrame:
     """The first ``n`` entries by id: each task keeps its own top n, so no full sort."""
     return manifest if not n else manifest.orderBy(by).limit(n)

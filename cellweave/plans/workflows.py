@@ -1,4 +1,4 @@
-"""The chains that users run, each one lazy plan."""
+"""The chains that users run. All are lazy but the clip, which stages its mask."""
 
 from __future__ import annotations
 
@@ -50,5 +50,5 @@ def plan_downloads(
 
 
 def build_catalog(files: DataFrame) -> DataFrame:
-    """Resolve copies, read attributes, drop incomplete files, nest by catalog key."""
-    return catalog.catalog_nested(catalog.file_attributes(catalog.deduplicate(files)))
+    """Resolve copies, read attributes, drop incomplete files, list by catalog key."""
+    return catalog.catalog_entries(catalog.file_attributes(catalog.deduplicate(files)))

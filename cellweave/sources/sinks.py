@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cellweave.operators.catalog import catalog_json
-
 PREFIX = "cellweave_"
 
 
@@ -18,10 +16,10 @@ def write_cells(cells: DataFrame, path: str, mode: str = "errorifexists") -> Non
     cells.sortWithinPartitions("variable", "lat", "lon").write.mode(mode).partitionBy("variable").parquet(path)
 
 
-def write_catalog(nested: DataFrame, root: str, demo: bool = False, mode: str = "errorifexists") -> str:
-    """The nested catalog as JSON lines below ``root``; returns the path."""
+def write_catalog(entries: DataFrame, root: str, demo: bool = False, mode: str = "errorifexists") -> str:
+    """The catalog as plain JSON lines, one per file, below ``root``; returns the path."""
     path = f"{root}/{'cmip6_catalog' if demo else 'catalog'}.json"
-    catalog_json(nested).write.mode(mode).json(path)
+    entries.write.mode(mode).option("ignoreNullFields", "false").json(path)
     return path
 
 

@@ -174,13 +174,12 @@ _CTE = {
       SELECT *, activity_id || ':' || source_id || ':' || variant_label AS catalog_key
       FROM v_kept WHERE error IS NULL AND activity_id <> '' AND source_id <> '' AND variant_label <> '' AND variable_id <> ''""",
     "v_catalog": """
-      SELECT e.catalog_key, 0 AS part, 1 AS parts, i.institution_id, e.variable_id, count(*) AS file_count,
-             string_agg(e.file_id, ' ' ORDER BY e.file_id) AS files
+      SELECT e.catalog_key, i.institution_id, e.variable_id, e.file_id,
+             count(*) OVER (PARTITION BY e.catalog_key, e.variable_id) AS file_count
       FROM v_entries e
       JOIN (SELECT catalog_key, institution_id FROM
               (SELECT *, row_number() OVER (PARTITION BY catalog_key ORDER BY file_id) AS k FROM v_entries) WHERE k = 1) i
-        ON e.catalog_key = i.catalog_key
-      GROUP BY ALL""",
+        ON e.catalog_key = i.catalog_key""",
     "v_docs": """
       SELECT arrival, instance_id, instance_id || '.nc' AS title, node AS data_node, replica, latest,
              'https://' || lower(node) || '.example.org/z/' || instance_id || '.nc|application/netcdf|' || service AS url_z,
@@ -713,7 +712,7 @@ add(
 
 def _merged(id_column: str) -> str:
     return f"""
-      SELECT d.{id_column}, count(*) AS seen, first(w.data_node) AS data_node, first(w.arrival) AS arrival, 0 AS part, 1 AS parts,
+      SELECT d.{id_column}, count(*) AS seen, first(w.data_node) AS data_node, first(w.arrival) AS arrival,
              CASE WHEN count(*) > 1
                   THEN array_to_string(list_sort(list_distinct(list(url_z) || list(url_a))), ' ')
                   ELSE first(url_z) || ' ' || first(url_a) END AS urls
@@ -725,8 +724,13 @@ def _merged(id_column: str) -> str:
       GROUP BY d.{id_column}"""
 
 
-add("merge_nodes_cmip6", _merged("instance_id"))
-add("merge_nodes_cmip5", _merged("title"))
+for _key, _id in (("merge_nodes_cmip6", "instance_id"), ("merge_nodes_cmip5", "title")):
+    add(
+        _key,
+        f"""SELECT {_id}, seen, data_node, arrival, CAST(CASE WHEN seen > 1 THEN 0 ELSE pos END AS INTEGER) AS pos, url
+            FROM (SELECT *, unnest(string_split(urls, ' ')) AS url, unnest(range(len(string_split(urls, ' ')))) AS pos
+                  FROM ({_merged(_id)}))""",
+    )
 add(
     "mirror_rank",
     f"""SELECT instance_id, CAST(row_number() OVER (PARTITION BY instance_id ORDER BY rank, pos) AS INTEGER) AS place, rank, mirror

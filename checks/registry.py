@@ -139,29 +139,14 @@ def output_names(spark, sf_dir):
     )
 
 
-def _flatten_catalog(nested: DataFrame) -> DataFrame:
-    return nested.select(
-        "catalog_key", "part", "parts", "institution_id", F.explode("variables").alias("variable_id", "entry")
-    ).select(
-        "catalog_key",
-        "part",
-        "parts",
-        "institution_id",
-        "variable_id",
-        F.col("entry.file_count").alias("file_count"),
-        F.array_join("entry.files", " ").alias("files"),
-    )
+_ENTRY = ("catalog_key", "institution_id", "variable_id", "file_count", "file_id")
 
 
 @query
 def catalog_json(spark, sf_dir):
-    nested = catalog.catalog_nested(catalog.file_attributes(catalog.deduplicate(v.files(spark, sf_dir))))
-    path = sinks.write_catalog(nested, scratch_path(spark, "catalog"))
-    lines = spark.read.schema("catalog_key string, part int, parts int, entry string").json(path)
-    body = F.from_json(
-        "entry", "institution_id string, variables map<string,struct<file_count:bigint,files:array<string>>>"
-    )
-    return _flatten_catalog(lines.withColumn("e", body).select("catalog_key", "part", "parts", "e.*"))
+    entries = catalog.catalog_entries(catalog.file_attributes(catalog.deduplicate(v.files(spark, sf_dir))))
+    path = sinks.write_catalog(entries, scratch_path(spark, "catalog"))
+    return spark.read.schema(entries.schema).json(path).select(*_ENTRY)
 
 
 @query
@@ -512,12 +497,13 @@ def catalog_skipped(spark, sf_dir):
 
 @query
 def catalog_flat(spark, sf_dir):
-    return catalog.catalog_flat(_attributes(spark, sf_dir))
+    return catalog.catalog_flat(_attributes(spark, sf_dir)).drop("institution_id")
 
 
 @query
 def catalog_nested(spark, sf_dir):
-    return _flatten_catalog(catalog.catalog_nested(_attributes(spark, sf_dir)))
+    """One layout for every key: a row per file, beside the counts of ``catalog_flat``."""
+    return catalog.catalog_entries(_attributes(spark, sf_dir)).select(*_ENTRY)
 
 
 # --- search and manifests ----------------------------------------------------------------------
@@ -556,16 +542,14 @@ def http_mirrors(spark, sf_dir):
 
 @query
 def mirror_rank(spark, sf_dir):
-    merged = search.merge_nodes(v.docs(spark, sf_dir), "instance_id").select("instance_id", "part", "url")
-    return search.mirror_rank(merged, PREFER).select("instance_id", "place", "rank", "mirror")
+    return search.rank_addresses(search.merged_urls(v.docs(spark, sf_dir), "instance_id"), "instance_id", PREFER)
 
 
 def _merged(id_column: str) -> Query:
     def run(spark, sf_dir):
-        out = search.merge_nodes(v.docs(spark, sf_dir), id_column)
-        return out.select(
-            id_column, "seen", "data_node", "arrival", "part", "parts", F.array_join("url", " ").alias("urls")
-        )
+        docs = v.docs(spark, sf_dir)
+        records = search.merge_nodes(docs, id_column).select(id_column, "seen", "data_node", "arrival")
+        return search.merged_urls(docs, id_column).join(records, id_column)
 
     return run
 
@@ -777,4 +761,4 @@ def download_plan(spark, sf_dir):
 
 @query
 def catalog_build(spark, sf_dir):
-    return _flatten_catalog(workflows.build_catalog(v.files(spark, sf_dir)))
+    return workflows.build_catalog(v.files(spark, sf_dir)).select(*_ENTRY)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cellweave.constants import DEMO_BOX
 from cellweave.functions.reducers import REDUCERS
 from cellweave.functions import calendar
-from cellweave.operators import aggregate, availability, axes, bounded, catalog, clip, convert, crop, expand, search
+from cellweave.operators import aggregate, availability, axes, catalog, clip, convert, crop, expand, search
 from cellweave.schemas import SEARCH_DOC
 from cellweave.sources import boundaries
 
@@ -313,28 +313,24 @@ def test_dedup_prefers_plain_names(spark):
         "a/ScenarioMIP_250km_tas_file.nc", "c/CMIP6_tas_file.nc", "e/zg.nc"}
 
 
-def test_catalog_keeps_every_file_however_it_is_split(spark):
+def test_catalog_has_one_layout_for_every_key(spark):
     rows = [(f"p{i:04d}", f"f{i}.nc", attrs(variable_id=("tas", "pr")[i % 3 == 0], institution_id=None if i == 0 else "I"), None)
             for i in range(500)]
     rows += [("q1", "q1.nc", attrs(variant_label=""), None), ("q2", "q2.nc", attrs(activity_id=None, source_id=None), None),
              ("q3", "q3.nc", attrs(), "broken"), ("r", "r.nc", attrs(source_id="T"), None)]
     a = catalog.file_attributes(files_df(spark, rows))
-    whole = catalog.catalog_nested(a).collect()
-    assert sorted(r["catalog_key"] for r in whole) == ["A:S:r1", "A:T:r1"]
-    big = next(r for r in whole if r["catalog_key"] == "A:S:r1")
-    assert big["institution_id"] is None and big["parts"] == 1
-    assert big["variables"]["tas"]["files"] == [f"p{i:04d}" for i in range(500) if i % 3]
-    split = [r for r in catalog.catalog_nested(a, part_size=40).collect() if r["catalog_key"] == "A:S:r1"]
-    assert len(split) > 5 and {r["parts"] for r in split} == {13}
-    files = sorted(f for r in split for e in r["variables"].values() for f in e["files"])
-    assert files == [f"p{i:04d}" for i in range(500)]
-    assert {r["variables"]["pr"]["file_count"] for r in split if "pr" in r["variables"]} == {167}
+    whole = catalog.catalog_entries(a).collect()
+    assert {r["catalog_key"] for r in whole} == {"A:S:r1", "A:T:r1"}
+    big = [r for r in whole if r["catalog_key"] == "A:S:r1"]
+    assert {r["institution_id"] for r in big} == {None}
+    assert sorted(r["file_id"] for r in big if r["variable_id"] == "tas") == [f"p{i:04d}" for i in range(500) if i % 3]
+    assert {(r["variable_id"], r["file_count"]) for r in big} == {("tas", 333), ("pr", 167)}
+    flat = {(r["catalog_key"], r["variable_id"]): r for r in catalog.catalog_flat(a).collect()}
+    assert flat["A:S:r1", "pr"]["file_count"] == 167 and flat["A:S:r1", "pr"]["institution_id"] is None
     skipped = {r["file_id"]: r["reason"] for r in catalog.skipped(a).collect()}
     assert skipped == {
         "q1": "Incomplete metadata (missing: variant_label)", "q2": "Incomplete metadata (missing: activity_id, source_id)",
         "q3": "Failed to read or extract metadata: broken"}
-    entry = json.loads(catalog.catalog_json(catalog.catalog_nested(a)).where("catalog_key = 'A:S:r1'").first()["entry"])
-    assert entry["institution_id"] is None and entry["variables"]["pr"]["file_count"] == 167
     assert {r["status"]: r["files"] for r in catalog.summary(files_df(spark, rows)).collect()} == {
         "included": 501, "skipped": 3, "duplicate": 0}
 
@@ -346,29 +342,26 @@ def docs_df(spark, rows):
 def test_merge_keeps_single_lists_and_unites_repeats(spark):
     rows = [(1, "X.1", "CEDA", ["n1/z", "n1/a"]), (2, "X.1", "DKRZ", ["n2/b", "n1/z"]), (3, "X.2", "CEDA", ["n2/z", "n2/a"]),
             (4, None, "CEDA", ["n3"]), (5, "", "CEDA", ["n3"]), (6, "X.3", "CEDA", None), (7, "X.3", "CEDA", [])]
-    got = {r["instance_id"]: r for r in search.merge_nodes(docs_df(spark, rows), "instance_id").collect()}
-    assert set(got) == {"X.1", "X.2", "X.3"}
-    assert got["X.1"]["url"] == ["n1/a", "n1/z", "n2/b"] and got["X.1"]["data_node"] == "DKRZ"
-    assert got["X.2"]["url"] == ["n2/z", "n2/a"] and got["X.3"]["url"] == []
-
-
-def test_merge_of_a_hot_id_loses_no_address(spark):
-    rows = [(i, "hot", "CEDA", [f"u{i % 700}", f"w{i % 3}"]) for i in range(2000)]
-    rows += [(5000 + i, f"id{i}", "LLNL", [f"z{i}", "a"]) for i in range(20)]
-    out = search.merge_nodes(docs_df(spark, rows), "instance_id", part_size=50).collect()
-    hot = [r for r in out if r["instance_id"] == "hot"]
-    assert len(hot) > 5 and {r["seen"] for r in hot} == {2000} and {r["arrival"] for r in hot} == {0}
-    urls = [u for r in hot for u in r["url"]]
-    assert sorted(urls) == sorted({f"u{i}" for i in range(700)} | {f"w{i}" for i in range(3)})
-    assert len(out) - len(hot) == 20
-
-
-def test_parts_hold_every_row(spark):
-    df = spark.range(1000).selectExpr("CASE WHEN id < 700 THEN 'hot' ELSE cast(id as string) END AS k", "id AS item")
-    placed = bounded.assign_parts(df, ["k"], F.col("item"), 100)
-    assert placed.count() == 1000
-    assert placed.where("k <> 'hot'").agg(F.max("parts")).first()[0] == 1
-    assert placed.where("k = 'hot'").groupBy("part").count().agg(F.max("count")).first()[0] < 200
+    df = docs_df(spark, rows)
+    got = {r["instance_id"]: r for r in search.merge_nodes(df, "instance_id").collect()}
+    assert {k: (r["seen"], r["data_node"]) for k, r in got.items()} == {"X.1": (2, "DKRZ"), "X.2": (1, "CEDA"), "X.3": (2, "CEDA")}
+    urls = [tuple(r) for r in search.merged_urls(df, "instance_id").orderBy("instance_id", "pos", "url").collect()]
+    assert urls == [("X.1", 0, "n1/a"), ("X.1", 0, "n1/z"), ("X.1", 0, "n2/b"), ("X.2", 0, "n2/z"), ("X.2", 1, "n2/a")]
+
+
+def test_a_hot_id_is_ranked_whole(spark):
+    """One id with most addresses: places run from 1 over all of it, though it lies in several ranges."""
+    url = lambda i: f"https://{('a', 'llnl', 'ceda')[i % 3]}.org/{i:04d}|x|HTTPServer"
+    rows = [(i, "hot", "CEDA", [url(i % 700), url(i % 3)]) for i in range(2000)]
+    rows += [(5000 + i, f"id{i:02d}", "LLNL", [url(i), url(0)]) for i in range(20)]
+    df = docs_df(spark, rows)
+    records = {r["instance_id"]: r for r in search.merge_nodes(df, "instance_id").collect()}
+    assert records["hot"]["seen"] == 2000 and records["hot"]["arrival"] == 0 and len(records) == 21
+    ranked = search.rank_addresses(search.merged_urls(df, "instance_id"), "instance_id", "llnl, ceda").collect()
+    hot = sorted((r["place"], r["rank"], r["mirror"]) for r in ranked if r["instance_id"] == "hot")
+    want = sorted(range(700), key=lambda i: ((3, 0, 1)[i % 3], url(i)))
+    assert hot == [(k + 1, (3, 0, 1)[i % 3], url(i).split("|")[0]) for k, i in enumerate(want)]
+    assert sorted(r["place"] for r in ranked if r["instance_id"] == "id05") == [1, 2]
 
 
 def test_mirrors_by_preference(spark):
