@@ -1,9 +1,7 @@
-"""Calendar columns: period keys, representative days, CF time."""
+"""Calendar columns: period keys, representative days, date text."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 from cellweave.constants import SEASON_MONTHS
@@ -59,165 +57,6 @@ def period_stamp(key: Column, freq: str) -> Column:
     raise ValueError(f"unknown frequency {freq!r}, expected one of {FREQUENCIES}")
 
 
-# --- CF time: a number, "<unit> since <date>", and a calendar --------------------------------
-
-_FIRST_GREGORIAN_DAY = -141427  # 1582-10-15, in days from 1970-01-01
-_GREGORIAN, _NOLEAP, _DAY360 = 0, 1, 2
-# Seconds of each time unit and its spellings.
-_UNIT_SECONDS = {
-    "day": 86400,
-    "days": 86400,
-    "d": 86400,
-    "hour": 3600,
-    "hours": 3600,
-    "hr": 3600,
-    "h": 3600,
-    "minute": 60,
-    "minutes": 60,
-    "min": 60,
-    "second": 1,
-    "seconds": 1,
-    "sec": 1,
-    "s": 1,
-}
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` with ``value`` computed once.
-
-    Plain reuse of a column expression repeats it, and the optimizer repeats it again when a filter is
-    pushed through; a dozen dependent steps would multiply. A lambda variable stays a reference.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _calendar_kind(calendar: Column) -> Column:
-    return _let(
-        F.lower(F.coalesce(calendar, F.lit("standard"))),
-        lambda name: F.when(name.isin("standard", "gregorian", "proleptic_gregorian"), _GREGORIAN)
-        .when(name.isin("noleap", "365_day"), _NOLEAP)
-        .when(name == "360_day", _DAY360),
-    )
-
-
-def _day_number(kind: Column, date: Column, year: Column, month: Column, day: Column) -> Column:
-    """Days on the scale of the calendar: since 1970 for real dates, since year 0 for the others.
-
-    NULL for a day that the calendar lacks, and in the standard calendar before 15 October 1582, where
-    it is not the proleptic one.
-    """
-    # Months from March on have a regular pattern of lengths; January and February follow December.
-    in_year = F.pmod(F.floor((F.pmod(month + 9, F.lit(12)) * 153 + 2) / 5) + day + 58, F.lit(365))
-    length = F.when(month == 2, 28).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    real = month.between(1, 12) & (day >= 1)
-    return (
-        F.when(
-            kind == _GREGORIAN,
-            _let(F.unix_date(date).cast("long"), lambda n: F.when(n >= _FIRST_GREGORIAN_DAY, n)),
-        )
-        .when((kind == _NOLEAP) & real & (day <= length), year.cast("long") * 365 + in_year)
-        .when((kind == _DAY360) & real & (day <= 30), year.cast("long") * 360 + month * 30 + day - 31)
-    )
-
-
-def _parse_units(units: Column, calendar: Column) -> Column:
-    """``struct<kind, unit, origin, offset>``: calendar, seconds per unit, origin day and its seconds.
-
-    The origin has to be a date that exists, as in every common ``since`` text.
-    """
-    unit = F.lower(F.trim(F.substring_index(units, " since ", 1)))
-    seconds = F.create_map(*[F.lit(x) for name, n in _UNIT_SECONDS.items() for x in (name, n)])
-    origin = F.trim(F.substring_index(units, " since ", -1)).try_cast("timestamp_ntz")
-    text = F.struct(
-        _calendar_kind(calendar).alias("kind"), F.try_element_at(seconds, unit).alias("unit"), origin.alias("at")
-    )
-    return _let(
-        text,
-        lambda p: F.struct(
-            p["kind"].alias("kind"),
-            p["unit"].alias("unit"),
-            _day_number(p["kind"], p["at"].cast("date"), F.year(p["at"]), F.month(p["at"]), F.dayofmonth(p["at"])).alias(
-                "origin"
-            ),
-            (F.hour(p["at"]) * 3600 + F.minute(p["at"]) * 60 + F.second(p["at"])).alias("offset"),
-        ),
-    )
-
-
-def _parts(year: Column, month: Column, day: Column) -> Column:
-    return F.struct(year.cast("int").alias("year"), month.cast("int").alias("month"), day.cast("int").alias("day"))
-
-
-def _ymd(kind: Column, day_no: Column) -> Column:
-    """``struct<year, month, day>`` of a day number."""
-
-    def of_date(date: Column) -> Column:
-        return _parts(F.year(date), F.month(date), F.dayofmonth(date))
-
-    def of_365(x: Column) -> Column:
-        """``x``: days since the last 1 March."""
-        return _let(
-            F.floor((x * 5 + 2) / 153),
-            lambda m: _parts(
-                F.floor(day_no / 365), F.pmod(m + 2, F.lit(12)) + 1, x + 1 - F.floor((m * 153 + 2) / 5)
-            ),
-        )
-
-    return (
-        F.when(kind == _GREGORIAN, _let(F.date_from_unix_date(day_no.cast("int")), of_date))
-        .when(kind == _NOLEAP, _let(F.pmod(day_no - 59, F.lit(365)), of_365))
-        .when(
-            kind == _DAY360,
-            _parts(
-                F.floor(day_no / 360), F.floor(F.pmod(day_no, F.lit(360)) / 30) + 1, F.pmod(day_no, F.lit(30)) + 1
-            ),
-        )
-    )
-
-
-def cf_decode(value: Column, units: Column, calendar: Column) -> Column:
-    """A CF time value as ``struct<year, month, day, seconds>``.
-
-    The parts are plain numbers, since 30 February exists in a 360-day calendar but not as a date.
-    NULL for unknown units or calendars.
-    """
-
-    def shifted(u: Column, total: Column) -> Column:
-        day_no = u["origin"] + F.floor(total / 86400)
-        usable = (u["kind"] != _GREGORIAN) | (day_no >= _FIRST_GREGORIAN_DAY)
-        return _let(
-            F.when(usable, day_no),
-            lambda n: F.when(
-                n.isNotNull(),
-                _let(
-                    _ymd(u["kind"], n),
-                    lambda d: F.struct(
-                        d["year"].alias("year"),
-                        d["month"].alias("month"),
-                        d["day"].alias("day"),
-                        (total - F.floor(total / 86400) * 86400).alias("seconds"),
-                    ),
-                ),
-            ),
-        )
-
-    return _let(
-        _parse_units(units, calendar),
-        lambda u: _let(value * u["unit"] + u["offset"], lambda total: shifted(u, total)),
-    )
-
-
-def cf_encode(year: Column, month: Column, day: Column, seconds: Column, units: Column, calendar: Column) -> Column:
-    """The inverse of :func:`cf_decode`: calendar parts as a number in ``units``."""
-    date = F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date")
-    return _let(
-        _parse_units(units, calendar),
-        lambda u: (
-            (_day_number(u["kind"], date, year, month, day) - u["origin"]) * 86400 + seconds - u["offset"]
-        )
-        / u["unit"],
-    )
-
-
 def month_chain(start: Column, end: Column) -> Column:
     """Dates from ``start`` to ``end`` one month apart, each stepped from the one before.
 

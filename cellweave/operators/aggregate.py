@@ -38,7 +38,8 @@ def aggregate(
     ``cells`` has either ``time`` or decoded CF parts ``year`` and ``month``. The result has
     ``period`` and ``value``; ``value`` is NULL where all samples were masked and NaN where no
     sample was a number. ``across_files`` merges the periods of all files. Any other column is a
-    dimension like latitude and longitude, and kept apart.
+    dimension like latitude and longitude, and kept apart. Cells without a time belong to no period
+    and are left out.
     """
     reduce = reducer(method)
     if variable is not None:
@@ -48,7 +49,7 @@ def aggregate(
     else:
         period = period_key_ymd(F.col("year"), F.col("month"), freq)
     keys = ([] if across_files else ["file_id"]) + ["variable", *dimensions(cells), "lat", "lon"]
-    samples = cells.select(*keys, period.alias("period"), "value")
+    samples = cells.select(*keys, period.alias("period"), "value").where("period IS NOT NULL")
     keys = [*keys, "period"]
     if method == "median":
         out = group_median(samples, keys)

@@ -650,6 +650,37 @@ _DECODED = (
        JOIN v_noleap l ON l.doy = n % 365"""
 )
 add("cf_decode_time", _DECODED)
+_ODD = """
+  SELECT *, CASE WHEN calendar = 'lunar' THEN 'Unknown calendar' WHEN units LIKE 'weeks%' THEN 'Unknown time unit'
+                 WHEN units LIKE '%never' THEN 'Unreadable reference date' WHEN time_value IS NULL THEN 'No time value' ELSE 'ok' END AS time_status
+  FROM (SELECT CASE WHEN l_partkey % 13 > 0 THEN (l_partkey * 31 % 200000 + l_quantity * 0.25) * [24, 1, 86400000][l_linenumber % 3 + 1] END AS time_value,
+               CASE l_suppkey % 11 WHEN 0 THEN 'days since never' WHEN 1 THEN 'weeks since 2000-01-01'
+                    ELSE ['hrs since 1-1-1 00:00 -06:00', 'days since 1500-02-28T18:30Z', 'msecs since 1700-03-01 00:00:10'][l_linenumber % 3 + 1] END AS units,
+               CASE WHEN l_suppkey % 17 = 0 THEN 'lunar' ELSE ['proleptic_gregorian', 'julian', 'standard'][l_orderkey % 3 + 1] END AS calendar
+        FROM lineitem)"""
+# Days from 1970-01-01: DuckDB's dates are proleptic; a Julian day is counted from 1 March of year 0 by cycles of 1461.
+_ODD_DECODED = f"""
+  SELECT time_value, units, calendar, time_status, total - floor(total / 86400) * 86400 AS seconds,
+         CAST(CASE WHEN old THEN 4 * (z // 1461) + yoe + (mp >= 10)::INT ELSE year(greg) END AS INTEGER) AS year,
+         CAST(CASE WHEN old THEN (mp + 2) % 12 + 1 ELSE month(greg) END AS INTEGER) AS month,
+         CAST(CASE WHEN old THEN doy - (153 * mp + 2) // 5 + 1 ELSE day(greg) END AS INTEGER) AS day
+  FROM (SELECT *, (5 * doy + 2) // 153 AS mp FROM (
+    SELECT *, z % 1461 - 365 * yoe AS doy FROM (
+      SELECT *, least(z % 1461 // 365, 3) AS yoe FROM (
+        SELECT *, n + 719470 AS z, DATE '1970-01-01' + CAST(n AS INTEGER) AS greg,
+               calendar = 'julian' OR (calendar = 'standard' AND n < -141427) AS old
+        FROM (SELECT *, CASE WHEN total IS NOT NULL THEN CAST(floor(total / 86400) AS BIGINT) + CASE
+                     WHEN units LIKE 'hrs%' THEN date_diff('day', DATE '1970-01-01', DATE '0001-01-01') - (calendar <> 'proleptic_gregorian')::INT * 2
+                     WHEN units LIKE '%1500%' THEN date_diff('day', DATE '1970-01-01', DATE '1500-02-28') + (calendar <> 'proleptic_gregorian')::INT * 9
+                     ELSE date_diff('day', DATE '1970-01-01', DATE '1700-03-01') + (calendar = 'julian')::INT * 11 END END AS n
+              FROM (SELECT *, CASE WHEN time_status = 'ok' THEN CASE WHEN units LIKE 'hrs%' THEN time_value * 3600 + 21600
+                           WHEN units LIKE '%1500%' THEN time_value * 86400 + 66600 ELSE time_value * 0.001::DOUBLE + 10 END END AS total
+                    FROM ({_ODD})))))))"""
+add("cf_decode_calendars", _ODD_DECODED)
+add(
+    "cf_undecoded",
+    f"SELECT units, calendar, time_status, count(*) AS times FROM ({_ODD}) WHERE time_status <> 'ok' GROUP BY ALL",
+)
 add(
     "agg_monthly_mean_calendar",
     f"""SELECT file_id, variable, lat, lon, lpad(CAST(year AS VARCHAR), 4, '0') || '-' || lpad(CAST(month AS VARCHAR), 2, '0') AS period,

@@ -14,7 +14,7 @@ from cellweave.constants import AREAS_OF_INTEREST, DEMO_BOX
 from cellweave.functions import calendar, coords as fc, naming
 from cellweave.functions.reducers import value_state
 from cellweave.operators import aggregate as agg
-from cellweave.operators import availability, axes, catalog, clip, convert, crop, expand, search
+from cellweave.operators import availability, axes, catalog, cftime, clip, convert, crop, expand, search
 from cellweave.plans import workflows
 from cellweave.schemas import MANIFEST
 from cellweave.session import scratch_path
@@ -410,10 +410,9 @@ def clip_mask_levels(spark, sf_dir):
 def agg_monthly_mean_calendar(spark, sf_dir):
     """Days of a noleap and a 360_day calendar, decoded to parts and averaged by month."""
     times = v.cf_times(spark, sf_dir).where(F.col("calendar").isin("noleap", "360_day"))
-    decoded = calendar.cf_decode(F.col("time_value"), F.col("units"), F.col("calendar"))
-    cells = times.select(
-        F.col("calendar").alias("file_id"), F.lit("tas").alias("variable"), F.inline(F.array(decoded)), F.col("time_value").alias("value"),
-    )
+    cells = cftime.decoded(cftime.decode_times(times)).select(
+        F.col("calendar").alias("file_id"), F.lit("tas").alias("variable"), "year", "month", "day", "seconds", F.col("time_value").alias("value")
+    )
     cells = cells.withColumns({"lat": F.lit(1.0), "lon": F.lit(2.0)})
     return _out(agg.aggregate(cells, "monthly", "mean"), 3)
 
@@ -438,20 +437,33 @@ def period_stamp(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+_PARTS = ("time_value", "units", "calendar", "year", "month", "day", "seconds")
+
+
 @query
 def cf_decode_time(spark, sf_dir):
-    decoded = calendar.cf_decode(F.col("time_value"), F.col("units"), F.col("calendar"))
-    # inline() evaluates its argument once, whereas selecting four fields may repeat it.
-    return v.cf_times(spark, sf_dir).select("time_value", "units", "calendar", F.inline(F.array(decoded)))
+    return cftime.decode_times(v.cf_times(spark, sf_dir)).select(*_PARTS)
+
+
+@query
+def cf_decode_calendars(spark, sf_dir):
+    """Proleptic, Julian and mixed calendars before and after 1582, zones, short origins, axes without a time."""
+    return cftime.decode_times(v.cf_odd_times(spark, sf_dir)).select(*_PARTS, "time_status")
+
+
+@query
+def cf_undecoded(spark, sf_dir):
+    return cftime.undecoded(cftime.decode_times(v.cf_odd_times(spark, sf_dir)))
 
 
 @query
 def cf_encode_time(spark, sf_dir):
     d = F.col("day")
-    encoded = calendar.cf_encode(F.year(d), F.month(d), F.dayofmonth(d), F.lit(43200.0), F.col("units"), F.col("calendar"))
-    return v.cf_times(spark, sf_dir).select(
-        "units", "calendar", _text(d).alias("day"), F.round(encoded, 6).alias("time_value")
-    )
+    times = v.cf_times(spark, sf_dir).select(
+        "units", "calendar", _text(d).alias("text"), F.year(d).alias("year"), F.month(d).alias("month"), F.dayofmonth(d).alias("day"),
+        F.lit(43200.0).alias("seconds"),
+    )
+    return cftime.encode_times(times).select("units", "calendar", F.col("text").alias("day"), F.round("time_value", 6).alias("time_value"))
 
 
 @query

@@ -373,6 +373,21 @@ def cf_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cf_odd_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of centuries, in less common calendars and spellings; some axes can't be decoded."""
+    k = F.col("l_linenumber") % 3
+    units = ["hrs since 1-1-1 00:00 -06:00", "days since 1500-02-28T18:30Z", "msecs since 1700-03-01 00:00:10", "days since never", "weeks since 2000-01-01"]
+    odd = F.when(F.col("l_suppkey") % 11 == 0, 3).when(F.col("l_suppkey") % 11 == 1, 4)
+    at = F.coalesce(odd, k)
+    scale = F.when(k == 0, 24).when(k == 2, 86400000).otherwise(1)
+    calendar = pick(["proleptic_gregorian", "julian", "standard"], F.col("l_orderkey") % 3)
+    return table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_partkey") % 13 > 0, (F.col("l_partkey") * 31 % 200000 + F.col("l_quantity") * 0.25) * scale).alias("time_value"),
+        pick(units, at).alias("units"),
+        F.when(F.col("l_suppkey") % 17 == 0, "lunar").otherwise(calendar).alias("calendar"),
+    )
+
+
 def vocab_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(

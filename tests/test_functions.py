@@ -1,6 +1,5 @@
 """Scalar functions on literal cases."""
 
-import calendar as pycal
 import datetime as dt
 import math
 
@@ -67,72 +66,6 @@ def test_unknown_frequency_is_refused():
         cal.period_key_ymd(F.lit(2000), F.lit(1), "weekly")
 
 
-def decode(spark, rows):
-    df = spark.createDataFrame(rows, "time_value double, time_units string, calendar string")
-    d = cal.cf_decode(F.col("time_value"), F.col("time_units"), F.col("calendar"))
-    return [tuple(r["d"]) if r["d"] else None for r in df.select(d.alias("d")).collect()]
-
-
-def test_cf_decode_cases(spark):
-    got = decode(
-        spark,
-        [
-            (31.0, "days since 2000-01-01", "standard"),
-            (59.0, "days since 2000-01-01", "noleap"),
-            (59.0, "days since 2000-01-01", "standard"),
-            (59.0, "days since 2000-01-01", "360_day"),
-            (36.5, "hours since 2000-02-28 12:00:00", None),
-            (-1.0, "seconds since 1970-01-01", "gregorian"),
-            (0.0, "days since 1500-01-01", "standard"),
-            (0.0, "days since 1500-01-01", "noleap"),
-            (1.0, "fortnights since 2000-01-01", "standard"),
-            (1.0, "days since 2000-01-01", "julian"),
-            (1.0, "days since never", "standard"),
-        ],
-    )
-    assert got == [
-        (2000, 2, 1, 0.0),
-        (2000, 3, 1, 0.0),
-        (2000, 2, 29, 0.0),
-        (2000, 2, 30, 0.0),
-        (2000, 3, 1, 1800.0),
-        (1969, 12, 31, 86399.0),
-        None,
-        (1500, 1, 1, 0.0),
-        None,
-        None,
-        None,
-    ]
-
-
-def test_cf_decode_noleap_walks_every_day(spark):
-    """Two years of days without 29 February, against Python's calendar of an ordinary year."""
-    days = [(2001 + y, m, d) for y in range(2) for m in range(1, 13) for d in range(1, pycal.monthrange(2001, m)[1] + 1)]
-    got = decode(spark, [(float(i), "days since 2001-01-01", "noleap") for i in range(len(days))])
-    assert [g[:3] for g in got] == days
-
-
-@pytest.mark.parametrize("calendar", ["standard", "noleap", "360_day"])
-def test_cf_encode_inverts_decode(spark, calendar):
-    rows = [(float(i) * 7.25 - 4000, "days since 1990-03-01 06:00", calendar) for i in range(2000)]
-    df = spark.createDataFrame(rows, "time_value double, time_units string, calendar string")
-    units = (F.col("time_units"), F.col("calendar"))
-    d = F.col("d")
-    decoded = df.withColumn("d", cal.cf_decode(F.col("time_value"), *units))
-    back = decoded.withColumn("back", cal.cf_encode(d["year"], d["month"], d["day"], d["seconds"], *units))
-    assert back.where("back is null or abs(back - time_value) > 1e-9").count() == 0
-
-
-def test_cf_encode_refuses_days_the_calendar_lacks(spark):
-    df = spark.createDataFrame(
-        [(2000, 2, 29, "noleap"), (2000, 1, 31, "360_day"), (2001, 2, 29, "standard"), (2000, 2, 29, "standard")],
-        "y int, m int, d int, calendar string",
-    ).withColumn("time_units", F.lit("days since 2000-01-01"))
-    value = cal.cf_encode(F.col("y"), F.col("m"), F.col("d"), F.lit(0.0), F.col("time_units"), F.col("calendar"))
-    out = df.select(value.alias("time_value"))
-    assert [r["time_value"] for r in out.collect()] == [None, None, None, 59.0]
-
-
 def test_month_chain_stays_clamped(spark):
     start, end = F.lit("2024-01-31").cast("date"), F.lit("2024-05-01").cast("date")
     assert one(spark, cal.month_chain(start, end)) == [
