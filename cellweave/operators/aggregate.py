@@ -45,11 +45,11 @@ def aggregate(
     if variable is not None:
         cells = cells.where(F.col("variable") == variable)
     if "time" in cells.columns:
-        period = period_key(F.col("time"), freq)
+        period, timed = period_key(F.col("time"), freq), F.col("time").isNotNull()
     else:
-        period = period_key_ymd(F.col("year"), F.col("month"), freq)
+        period, timed = period_key_ymd(F.col("year"), F.col("month"), freq), F.col("year").isNotNull() & F.col("month").isNotNull()
     keys = ([] if across_files else ["file_id"]) + ["variable", *dimensions(cells), "lat", "lon"]
-    samples = cells.select(*keys, period.alias("period"), "value").where("period IS NOT NULL")
+    samples = cells.where(timed).select(*keys, period.alias("period"), "value")
     keys = [*keys, "period"]
     if method == "median":
         out = group_median(samples, keys)

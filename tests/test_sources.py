@@ -96,11 +96,11 @@ def test_catalog_and_manifest_sinks(spark, tmp_path):
         [("d/tas_1.nc", "tas_1.nc", attrs, None), ("e/CMIP6_tas_1.nc", "CMIP6_tas_1.nc", attrs, None)],
         "file_id string, name string, attrs map<string,string>, error string",
     )
-    nested = workflows.build_catalog(df)
-    path = sinks.write_catalog(nested, str(tmp_path), demo=True)
+    path = sinks.write_catalog(workflows.build_catalog(df), str(tmp_path), demo=True)
     assert path.endswith("cmip6_catalog.json")
-    entry = json.loads(spark.read.json(path).first()["entry"])
-    assert entry["variables"] == {"tas": {"file_count": 1, "files": ["d/tas_1.nc"]}}
+    entry = spark.read.json(path).first()
+    assert (entry["variable_id"], entry["file_count"], entry["file_id"]) == ("tas", 1, "d/tas_1.nc")
+    assert "institution_id" in entry and entry["institution_id"] is None
     copies = sinks.write_duplicates(catalog.duplicates(df), str(tmp_path))
     assert [r["file_id"] for r in spark.read.json(copies).collect()] == ["e/CMIP6_tas_1.nc"]
     assert sinks.write_duplicates(catalog.duplicates(df.limit(1)), str(tmp_path / "none")) is None
