@@ -20,9 +20,10 @@ def season_year(year: Column, month: Column) -> Column:
 
 
 def _four_digits(year: Column) -> Column:
-    """Padded to four digits; longer years stay whole."""
-    text = year.cast("string")
-    return F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text)
+    """Digits padded to four, behind the sign; longer years stay whole."""
+    text = F.abs(year).cast("string")
+    digits = F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text)
+    return F.when(year < 0, F.concat(F.lit("-"), digits)).otherwise(digits)
 
 
 def period_key_ymd(year: Column, month: Column, freq: str) -> Column:

@@ -39,10 +39,14 @@ def lon_near_box(lon: Column, box: dict) -> Column:
     )
 
 
+def normalized_in_box(lon: Column, box: dict) -> Column:
+    """Inclusive test on the normalised longitude."""
+    return normalize_lon(lon).between(float(box["min_lon"]), float(box["max_lon"]))
+
+
 def lon_in_box(lon: Column, box: dict) -> Column:
-    """Inclusive test on the normalised longitude, with its pushable superset in front."""
-    low, high = float(box["min_lon"]), float(box["max_lon"])
-    return lon_near_box(lon, box) & normalize_lon(lon).between(low, high)
+    """The same with its pushable superset in front."""
+    return lon_near_box(lon, box) & normalized_in_box(lon, box)
 
 
 _ECC = math.sqrt(2 / WGS84_INV_F - 1 / WGS84_INV_F**2)

@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from cellweave.functions.coords import check_box, lat_in_box, lon_in_box, lon_near_box
+from cellweave.functions.coords import check_box, lat_in_box, lon_in_box, lon_near_box, normalized_in_box
 from cellweave.session import stage
 
 NO_DATA = "No data in bounds"
@@ -25,11 +25,12 @@ def crop(cells: DataFrame, box: dict) -> DataFrame:
     """
     check_box(box)
     lat, lon = F.col("lat"), F.col("lon")
-    # The pushable superset of the longitude test is a filter of its own, or it would not be pushed.
+    # The pushable superset of the longitude test is a filter of its own, and the exact one shares no part
+    # with it: the optimizer would merge common parts into one test that can't be pushed.
     return (
         cells.where(lat.isNull() | lat_in_box(lat, box))
         .where(lon.isNull() | lon_near_box(lon, box))
-        .where(lon.isNull() | lon_in_box(lon, box))
+        .where(F.coalesce(normalized_in_box(lon, box), F.lit(True)))
     )
 
 
