@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm import decontaminate, exact_dedup, html_text, language_id, mixing, ngram_join, secrets, sharding, suffix_dedup, token_count
+from cellweave.llm import (
+    decontaminate,
+    exact_dedup,
+    html_text,
+    language_id,
+    mixing,
+    ngram_join,
+    secrets,
+    sharding,
+    simhash,
+    suffix_dedup,
+    token_count,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         language_id.op8_language_id,
         sharding.op9_sharding,
         mixing.op10_mixing,
+        simhash.op11_simhash,
     )
 }
 
