@@ -11,6 +11,7 @@ from cellweave.llm import (
     exact_dedup,
     html_text,
     language_id,
+    merkle,
     mixing,
     ngram_join,
     secrets,
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sharding.op9_sharding,
         mixing.op10_mixing,
         simhash.op11_simhash,
+        merkle.op13_merkle_manifest,
     )
 }
 
