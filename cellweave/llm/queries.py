@@ -14,6 +14,7 @@ from cellweave.llm import (
     merkle,
     mixing,
     ngram_join,
+    phrases,
     secrets,
     sharding,
     simhash,
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sharding.op9_sharding,
         mixing.op10_mixing,
         simhash.op11_simhash,
+        phrases.op12_phrases,
         merkle.op13_merkle_manifest,
     )
 }
