@@ -249,3 +249,63 @@ def prove(wanted: DataFrame, nodes: DataFrame, n_trees: int, root: bytes) -> Dat
 def op13_merkle_manifest(spark, sf_dir) -> DataFrame:
     rows, nodes, n_trees, root = manifest(table(spark, sf_dir, "documents"))
     return prove(rows, nodes, n_trees, root or b"")
+
+
+SQL = {
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE raw AS (
+            SELECT doc_id, source, lang, n_chars, text, coalesce('=' || lang, '') AS tree,
+                list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(doc_id::VARCHAR, '')])),
+                    lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) AS crc
+            FROM documents
+        ), named AS (
+            SELECT *,
+                coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                    || coalesce(strlen(lang) || ':' || lang, '-') AS before,
+                coalesce(strlen(text) || ':' || text, '-') AS after,
+                CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS more
+            FROM raw
+        ), hashed AS (
+            SELECT doc_id, tree,
+                sha256(before || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || after) AS leaf,
+                sha256(before || coalesce(strlen((n_chars + more)::VARCHAR) || ':' || (n_chars + more), '-') || after) AS given
+            FROM named
+        ), leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM hashed
+        ), up AS (
+            SELECT tree, 0 AS level, pos AS idx, leaf AS digest, n AS cnt FROM leaves
+            UNION ALL
+            SELECT tree, level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (cnt + 1) // 2 FROM up
+            WHERE cnt > 1 GROUP BY tree, level, idx // 2, cnt
+        ), subroots AS (
+            SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM up WHERE cnt = 1
+        ), top AS (
+            SELECT 0 AS level, pos AS idx, subroot AS digest, n AS cnt FROM subroots
+            UNION ALL
+            SELECT level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (cnt + 1) // 2 FROM top
+            WHERE cnt > 1 GROUP BY level, idx // 2, cnt
+        ), above AS (
+            SELECT s.tree, string_agg(t.digest, '' ORDER BY t.level) AS path FROM subroots s
+            JOIN top t ON t.cnt > 1 AND t.idx = xor(s.pos >> t.level, 1) GROUP BY s.tree
+        ), paths AS (
+            SELECT l.tree, l.pos, string_agg(u.digest, '' ORDER BY u.level) AS path FROM leaves l
+            JOIN up u ON u.tree = l.tree AND u.cnt > 1 AND u.idx = xor(l.pos >> u.level, 1) GROUP BY l.tree, l.pos
+        ), fold AS (
+            SELECT tree, pos, 0 AS level, pos AS idx, given AS digest, n AS cnt FROM leaves
+            UNION ALL
+            SELECT f.tree, f.pos, f.level + 1, f.idx // 2,
+                sha256(CASE WHEN u.idx IS NULL THEN f.digest WHEN u.idx < f.idx THEN u.digest || f.digest ELSE f.digest || u.digest END), (f.cnt + 1) // 2
+            FROM fold f LEFT JOIN up u ON u.tree = f.tree AND u.level = f.level AND u.idx = xor(f.idx, 1) WHERE f.cnt > 1
+        ), refold AS (
+            SELECT f.tree, f.pos, 0 AS level, s.pos AS idx, f.digest, s.n AS cnt FROM fold f JOIN subroots s USING (tree) WHERE f.cnt = 1
+            UNION ALL
+            SELECT f.tree, f.pos, f.level + 1, f.idx // 2,
+                sha256(CASE WHEN t.idx IS NULL THEN f.digest WHEN t.idx < f.idx THEN t.digest || f.digest ELSE f.digest || t.digest END), (f.cnt + 1) // 2
+            FROM refold f LEFT JOIN top t ON t.level = f.level AND t.idx = xor(f.idx, 1) WHERE f.cnt > 1
+        ), root AS (SELECT digest AS root FROM top WHERE cnt = 1)
+        SELECT l.doc_id, l.leaf, s.subroot, r.root, sha256(coalesce(p.path, '') || coalesce(a.path, '')) AS proof_sha256,
+            f.digest AS folded_root, f.digest = r.root AS verified
+        FROM leaves l JOIN subroots s USING (tree) LEFT JOIN paths p ON p.tree = l.tree AND p.pos = l.pos
+        LEFT JOIN above a ON a.tree = l.tree JOIN refold f ON f.tree = l.tree AND f.pos = l.pos AND f.cnt = 1 CROSS JOIN root r
+    """
+}

@@ -340,3 +340,35 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
 
 def op12_phrases(spark, sf_dir) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
+
+
+SQL = {
+    "op12_phrases": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+        grams AS (
+            SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS phrase
+            FROM words, (VALUES (1), (2), (3), (4)) AS t(k)
+        ), freq AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+        several AS (SELECT *, string_split(phrase, ' ') AS w FROM freq WHERE k > 1),
+        inner_parts AS (
+            SELECT lang, f, unnest(flatten([[array_to_string(w[i:i + j - 1], ' ') for i in range(1, k - j + 2)] for j in range(2, k)])) AS phrase
+            FROM several WHERE k > 2
+        ), covered AS (SELECT lang, phrase, max(f) AS most FROM inner_parts GROUP BY lang, phrase),
+        kept AS (SELECT s.* FROM several s LEFT JOIN covered c USING (lang, phrase) WHERE c.most IS NULL OR 100 * c.most < 80 * s.f),
+        cuts AS (
+            SELECT lang, phrase, f AS a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail
+            FROM (SELECT *, unnest(range(1, k)) AS j FROM kept)
+        ), scored AS (
+            SELECT c.lang, c.phrase, c.a, c.j, h.f AS l, t.f AS r, (2000000::HUGEINT * c.a) // (h.f + t.f) AS score
+            FROM cuts c JOIN freq h ON h.lang = c.lang AND h.phrase = c.head JOIN freq t ON t.lang = c.lang AND t.phrase = c.tail
+        ), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+        FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+    """
+}

@@ -41,4 +41,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {**exact_dedup.SQL}
+SQL: dict[str, str] = {**exact_dedup.SQL, **phrases.SQL, **merkle.SQL}
