@@ -378,6 +378,53 @@ add(
        FROM v_era5 WHERE code IN (SELECT code FROM v_era5_requests) GROUP BY code""",
 )
 
+# cells of raw arrays, computed without axes
+_RAW_FOUND = {"crop": (0, 1, 2, 5), "clip": (0, 1, 5)}
+
+
+def _raw_cells(rule: str) -> str:
+    return f"""
+        SELECT 'raw_' || f AS file_id, variable, y AS year, m AS month, d AS day,
+               CASE WHEN plain THEN NULL ELSE lat END AS lat, CASE WHEN plain THEN NULL ELSE lon END AS lon, levels, value FROM (
+          SELECT f, variable, levels, lat, lon, value, false AS plain,
+                 CASE WHEN f = 5 OR variable = 'orog' THEN NULL WHEN f = 0 THEN year(l_shipdate) WHEN f = 1 THEN 1992 + i // 365 ELSE 1992 + i // 360 END AS y,
+                 CASE WHEN f = 5 OR variable = 'orog' THEN NULL WHEN f = 0 THEN month(l_shipdate)
+                      WHEN f = 1 THEN month(DATE '1993-01-01' + CAST(i % 365 AS INTEGER)) ELSE i % 360 // 30 + 1 END AS m,
+                 CASE WHEN f = 5 OR variable = 'orog' THEN NULL WHEN f = 0 THEN day(l_shipdate)
+                      WHEN f = 1 THEN day(DATE '1993-01-01' + CAST(i % 365 AS INTEGER)) ELSE i % 30 + 1 END AS d
+          FROM (SELECT l_orderkey % 6 AS f, ['tas', 'zg', 'orog'][l_linenumber % 3 + 1] AS variable, l_shipdate,
+                       date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS i,
+                       CAST((l_partkey // 10) * 0.0625 - 60 AS DOUBLE) AS lat, CAST(l_suppkey * 0.25 AS DOUBLE) AS lon,
+                       CASE WHEN l_linenumber % 3 = 1 THEN 'plev=' || CASE WHEN l_orderkey % 6 = 2 THEN l_linenumber % 3 ELSE 1000 - 250 * (l_linenumber % 3) END
+                            ELSE '' END || CASE WHEN l_orderkey % 6 = 5 AND l_linenumber % 3 < 2 THEN '#' ELSE '' END AS marked,
+                       CASE WHEN l_orderkey % 6 = 5 AND l_linenumber % 3 < 2
+                            THEN 'time=' || date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) || CASE WHEN l_linenumber % 3 = 1 THEN ',' ELSE '' END ELSE '' END
+                         || replace(marked, '#', '') AS levels,
+                       CASE WHEN l_linenumber % 3 = 0 AND l_quantity = 50 THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS value
+                FROM lineitem)
+          UNION ALL
+          SELECT DISTINCT l_orderkey % 6, 'height', '', CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(2 AS DOUBLE), true, NULL, NULL, NULL FROM lineitem)
+        WHERE f IN {_RAW_FOUND[rule]}"""
+
+
+for _rule, _name in (("crop", "cells_from_axes"), ("clip", "cells_from_axes_clip")):
+    add(_name, f"SELECT *, CASE WHEN value IS NULL THEN 'masked' ELSE 'ok' END AS state FROM ({_raw_cells(_rule)})")
+add(
+    "axes_status",
+    """SELECT 'raw_' || f AS file_id, rule, message = 'ok' AS ok, message FROM (
+         SELECT *, CASE WHEN f = 3 OR (f = 2 AND rule = 'clip') THEN CASE rule WHEN 'crop' THEN 'Missing coordinate variables' ELSE 'No coordinates found' END
+                        WHEN f = 4 THEN 'Coordinate variables are not one-dimensional' ELSE 'ok' END AS message
+         FROM (SELECT DISTINCT l_orderkey % 6 AS f FROM lineitem), (VALUES ('crop'), ('clip')) AS r(rule))""",
+)
+add(
+    "agg_from_axes",
+    f"""SELECT file_id, variable, lat, lon, levels, lpad(CAST(year AS VARCHAR), 4, '0') || '-' || lpad(CAST(month AS VARCHAR), 2, '0') AS period,
+               CASE WHEN count(value) = 0 THEN 'masked' ELSE 'ok' END AS state, round(avg(value), 6) AS value
+        FROM ({_raw_cells('crop')}) WHERE year IS NOT NULL AND (lat IS NULL OR lat BETWEEN -50 AND 20)
+          AND (lon IS NULL OR CASE WHEN lon > 180 THEN lon - 360 ELSE lon END BETWEEN -170 AND 170)
+        GROUP BY file_id, variable, lat, lon, levels, year, month""",
+)
+
 # coordinates and crop
 _CROP_LAT = "CASE WHEN standard_name IS NOT NULL THEN standard_name = 'latitude' ELSE lower(var_name) IN ('lat', 'latitude') END"
 _CROP_LON = "CASE WHEN standard_name IS NOT NULL THEN standard_name = 'longitude' ELSE lower(var_name) IN ('lon', 'longitude') END"

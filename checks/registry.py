@@ -14,7 +14,7 @@ from cellweave.constants import AREAS_OF_INTEREST, DEMO_BOX
 from cellweave.functions import calendar, coords as fc, naming
 from cellweave.functions.reducers import value_state
 from cellweave.operators import aggregate as agg
-from cellweave.operators import availability, axes, catalog, cftime, clip, convert, crop, expand, search
+from cellweave.operators import availability, axes, catalog, cftime, clip, convert, crop, expand, gridding, search
 from cellweave.plans import workflows
 from cellweave.schemas import MANIFEST
 from cellweave.session import scratch_path
@@ -206,6 +206,40 @@ def time_resolve(spark, sf_dir):
     return axes.resolve_time(v.grid_vars(spark, sf_dir))
 
 
+def _placed(spark, sf_dir, rule="crop"):
+    return gridding.cells_from_axes(v.raw_vars(spark, sf_dir), v.raw_values(spark, sf_dir), rule=rule)
+
+
+def _levels_text(df: DataFrame) -> DataFrame:
+    text = F.transform("levels", lambda x: F.concat(x["dim"], F.lit("="), x["value"].cast("int").cast("string")))
+    return df.withColumn("levels", F.array_join(text, ","))
+
+
+@query
+def cells_from_axes(spark, sf_dir):
+    """Cells of raw arrays by the crop rule: dimensions in any order, levels, scalars, three calendars."""
+    return _out(_levels_text(_placed(spark, sf_dir)).drop("seconds"))
+
+
+@query
+def cells_from_axes_clip(spark, sf_dir):
+    return _out(_levels_text(_placed(spark, sf_dir, "clip")).drop("seconds"))
+
+
+@query
+def axes_status(spark, sf_dir):
+    """Files whose axes are not found, by either rule."""
+    both = [gridding.axes_status(v.raw_vars(spark, sf_dir), r).withColumn("rule", F.lit(r)) for r in gridding.RULES]
+    return both[0].unionByName(both[1])
+
+
+@query
+def agg_from_axes(spark, sf_dir):
+    """Raw arrays to cells, cropped and averaged by month."""
+    box = {"min_lat": -50, "max_lat": 20, "min_lon": -170, "max_lon": 170}
+    return _out(_levels_text(agg.aggregate(crop.crop(_placed(spark, sf_dir), box), "monthly", "mean")))
+
+
 @query
 def lon_normalize(spark, sf_dir):
     return v.coords(spark, sf_dir).where("role = 'lon'").select(

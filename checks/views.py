@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cellweave.constants import ERA5_VARIABLES
 from cellweave.operators.expand import prism_expand
+from cellweave.schemas import GRID_VARS
 from cellweave.sources.boundaries import boundary_edges, wkt_polygons
 
 ERA5_CODES = list(dict.fromkeys(row[0] for row in ERA5_VARIABLES))
@@ -406,3 +407,84 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("variable_id").alias("facet"), pick(["tas", "pr"], F.col("n_nationkey") % 2).alias("term")
     )
     return sources.unionByName(variables)
+
+
+# Axes of the raw files: (file, latitude variable, its dimension, its standard name, the same of the
+# longitude, dimensions of tas in order, calendar). File 3 has no longitude, file 4 a latitude in two
+# dimensions, file 5 no time.
+RAW_FILES = [
+    (0, "lat", "lat", None, "lon", "lon", None, ["time", "lat", "lon"], "standard"),
+    (1, "y", "y", "latitude", "x", "x", "longitude", ["x", "y", "time"], "noleap"),
+    (2, "Latitude", "nlat", None, "LON", "nlon", None, ["time", "nlat", "nlon"], "360_day"),
+    (3, "lat", "lat", None, "east", "east", None, ["time", "lat", "east"], "standard"),
+    (4, "lat", "lat", None, "lon", "lon", None, ["time", "lat", "lon"], "standard"),
+    (5, "lat", "lat", None, "lon", "lon", None, ["time", "lat", "lon"], "standard"),
+]
+
+
+def _raw_file(column: str) -> Column:
+    return F.concat(F.lit("raw_"), F.pmod(F.col(column), F.lit(6)).cast("string"))
+
+
+def raw_vars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of the raw files."""
+    rows = []
+    for f, lat, lat_dim, lat_std, lon, lon_dim, lon_std, dims, calendar in RAW_FILES:
+        standard = lambda s: {} if s is None else {"standard_name": s}
+        found = [
+            (lat, [lat_dim, "k"] if f == 4 else [lat_dim], None, "degrees", standard(lat_std)),
+            (lon, [lon_dim], None, "degrees", standard(lon_std)),
+            ("tas", dims, 50.0, "K", {}),
+            ("zg", [*dims[:1], "plev", *dims[1:]], None, "m", {}),
+            ("orog", [d for d in dims if d != "time"], None, "m", {}),
+            ("height", [], None, "m", {}),
+        ]
+        if f != 5:
+            found.append(("time", ["time"], None, "days since 1992-01-01", {"axis": "T", "calendar": calendar}))
+        if f != 2:
+            found.append(("plev", ["plev"], None, "hPa", {}))
+        rows += [(f"raw_{f}", k, n, "double", d, fill, units, attrs) for k, (n, d, fill, units, attrs) in enumerate(found)]
+    headers = spark.createDataFrame(rows, GRID_VARS)
+    files = table(spark, sf_dir, "lineitem").select(_raw_file("l_orderkey").alias("file_id")).distinct()
+    return headers.join(files, "file_id", "left_semi")
+
+
+def raw_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of the raw arrays: axes as long as the part and supplier tables make them, a cell per line item."""
+    key, day = F.col("l_orderkey"), F.datediff("l_shipdate", F.lit("1992-01-01").cast("date"))
+    at = {"time": day, "lat": whole(F.col("l_partkey"), 10).cast("int"), "lon": F.col("l_suppkey").cast("int"), "plev": F.col("l_linenumber") % 3}
+    kind = pick(["tas", "zg", "orog"], F.col("l_linenumber") % 3)
+
+    def positions(name: str) -> Column:
+        out = None
+        for f, _, lat_dim, _, _, lon_dim, _, dims, _ in RAW_FILES:
+            along = {"tas": dims, "zg": [*dims[:1], "plev", *dims[1:]], "orog": [d for d in dims if d != "time"]}[name]
+            role = {lat_dim: "lat", lon_dim: "lon", "time": "time", "plev": "plev"}
+            here = F.array(*[at[role[d]].cast("int") for d in along])
+            out = F.when(key % 6 == f, here) if out is None else out.when(key % 6 == f, here)
+        return out
+
+    lines = table(spark, sf_dir, "lineitem")
+    cells = lines.select(
+        _raw_file("l_orderkey").alias("file_id"),
+        kind.alias("var_name"),
+        F.when(kind == "tas", positions("tas")).when(kind == "zg", positions("zg")).otherwise(positions("orog")).alias("pos"),
+        F.col("l_quantity").cast("double").alias("value"),
+    )
+
+    def axis(rows: DataFrame, name: Column, idx: Column, value: Column, files: list[int]) -> DataFrame:
+        each = rows.select(F.explode(F.array(*map(F.lit, files))).alias("f"), idx.cast("int").alias("idx"), value.cast("double").alias("value"))
+        return each.select(F.concat(F.lit("raw_"), F.col("f").cast("string")).alias("file_id"), name.alias("var_name"), F.array("idx").alias("pos"), "value")
+
+    f = F.col("f")
+    i = F.col("i")
+    parts = table(spark, sf_dir, "part").select(whole(F.col("p_partkey"), 10).alias("i")).distinct()
+    lat = axis(parts, pick([r[1] for r in RAW_FILES], f), i, i * 0.0625 - 60, [0, 1, 2, 3, 5])
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"))
+    lon = axis(suppliers, pick([r[4] for r in RAW_FILES], f), i, i * 0.25, [0, 1, 2, 3, 4, 5])
+    days = lines.agg(F.max(day).alias("last")).select(F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("i"))
+    time = axis(days, F.lit("time"), i, i, [0, 1, 2, 3, 4])
+    levels = table(spark, sf_dir, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("i"))
+    plev = axis(levels, F.lit("plev"), i, 1000 - i * 250, [0, 1, 3, 4, 5])
+    scalar = raw_vars(spark, sf_dir).where("var_name = 'height'").select("file_id", "var_name", F.array().cast("array<int>").alias("pos"), F.lit(2.0).alias("value"))
+    return cells.union(lat).union(lon).union(time).union(plev).union(scalar)
