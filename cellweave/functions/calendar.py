@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cellweave.constants import SEASON_MONTHS
 
@@ -58,6 +58,21 @@ def period_stamp(key: Column, freq: str) -> Column:
     raise ValueError(f"unknown frequency {freq!r}, expected one of {FREQUENCIES}")
 
 
+def period_day(periods: DataFrame, freq: str) -> DataFrame:
+    """Add ``year``, ``month`` and ``day`` of the representative day of ``period``, valid in every calendar."""
+    key = F.col("period")
+    if freq == "seasonal":
+        months = F.array(*[F.lit(m) for m in SEASON_MONTHS])
+        year, month, day = F.substring_index(key, "-S", 1), F.element_at(months, F.substring_index(key, "-S", -1).cast("int")), 15
+    elif freq == "monthly":
+        year, month, day = F.regexp_extract(key, r"^(-?\d+)-(\d\d)$", 1), F.substring_index(key, "-", -1), 15
+    elif freq == "annual":
+        year, month, day = key, F.lit(7), 1
+    else:
+        raise ValueError(f"unknown frequency {freq!r}, expected one of {FREQUENCIES}")
+    return periods.withColumns({"year": year.cast("int"), "month": month.cast("int"), "day": F.lit(day)})
+
+
 def month_chain(start: Column, end: Column) -> Column:
     """Dates from ``start`` to ``end`` one month apart, each stepped from the one before.
 

@@ -64,6 +64,14 @@ def axes_status(grid_vars: DataFrame, rule: str = "crop") -> DataFrame:
     return file_axes(grid_vars, rule).select("file_id", "ok", "message")
 
 
+def time_axes(grid_vars: DataFrame, values: DataFrame) -> DataFrame:
+    """The time axis of each file that has one, decoded: ``time_value``, units, calendar, parts and ``time_status``."""
+    headers = grid_vars.join(axes.resolve_time(grid_vars), "file_id").where(F.col("var_name") == F.col("time_var"))
+    headers = stage(headers.select("file_id", "var_name", "units", F.col("attrs")["calendar"].alias("calendar")), "time-headers")
+    steps = values.where(F.size("pos") == 1).join(headers, ["file_id", "var_name"])
+    return cftime.decode_times(steps.select("file_id", F.get("pos", F.lit(0)).alias("idx"), F.col("value").alias("time_value"), "units", "calendar"))
+
+
 def _axis_arrays(files: DataFrame, values: DataFrame) -> DataFrame:
     """(file_id, var_name, steps): the values of each axis variable in order, times as calendar parts."""
     named = F.filter("variables", lambda v: (F.size(v["dims"]) == 1) & (v["var_name"] == F.get(v["dims"], F.lit(0))))

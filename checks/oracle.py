@@ -425,6 +425,41 @@ add(
         GROUP BY file_id, variable, lat, lon, levels, year, month""",
 )
 
+# the files' own time axes after aggregation
+def _own_axis(variable: str, period: str, reduce: str, year: str, month: str, freq: str, method: str) -> str:
+    return f"""
+        SELECT file_id, variable, lat, lon, levels, period, units, calendar, aggregation_details, state, value,
+               CAST(CASE file_id WHEN 'raw_0' THEN date_diff('day', DATE '1992-01-01', make_date({year}, {month}, 15))
+                    WHEN 'raw_1' THEN ({year} - 1992) * 365 + date_diff('day', DATE '1993-01-01', make_date(1993, {month}, 15))
+                    ELSE ({year} - 1992) * 360 + ({month} - 1) * 30 + 14 END AS DOUBLE) AS time_value
+        FROM (SELECT file_id, variable, lat, lon, levels, {period} AS period, 'days since 1992-01-01' AS units,
+                     CASE file_id WHEN 'raw_0' THEN 'julian' WHEN 'raw_1' THEN 'noleap' ELSE '360_day' END AS calendar,
+                     'Method: {method}, Frequency: {freq}' AS aggregation_details,
+                     CASE WHEN count(value) = 0 THEN 'masked' ELSE 'ok' END AS state, round({reduce}(value), 6) AS value
+              FROM ({_raw_cells('crop')}) WHERE year IS NOT NULL AND variable = '{variable}' GROUP BY ALL)"""
+
+
+add(
+    "agg_monthly_axis",
+    _own_axis("tas", "lpad(CAST(year AS VARCHAR), 4, '0') || '-' || lpad(CAST(month AS VARCHAR), 2, '0')", "avg",
+              "CAST(left(period, 4) AS BIGINT)", "CAST(right(period, 2) AS BIGINT)", "monthly", "mean"),
+)
+add(
+    "agg_seasonal_axis",
+    _own_axis("zg", "CAST(CASE WHEN month > 2 THEN year ELSE year - 1 END AS VARCHAR) || '-S' || CAST((month % 12 + 3) // 3 AS VARCHAR)", "median",
+              "CAST(left(period, 4) AS BIGINT)", "[2, 5, 8, 11][CAST(right(period, 1) AS INTEGER)]", "seasonal", "median"),
+)
+add(
+    "aggregate_status",
+    """SELECT 'raw_' || f AS file_id, asked, message = 'ok' AS ok, message FROM (
+         SELECT f, asked, CASE WHEN f = 5 OR asked = 'nlat annual sum'
+                               THEN 'Required time or variable ''' || split_part(asked, ' ', 1) || ''' not found'
+                               WHEN f = 3 THEN 'Unknown time unit' WHEN asked = 'zg weekly mean' THEN 'Unsupported frequency ''weekly'''
+                               WHEN asked = 'zg annual mode' THEN 'Unsupported method ''mode''' ELSE 'ok' END AS message
+         FROM (SELECT DISTINCT l_orderkey % 6 AS f FROM lineitem),
+              (VALUES ('tas monthly mean'), ('nlat annual sum'), ('zg weekly mean'), ('zg annual mode')) AS a(asked))""",
+)
+
 # coordinates and crop
 _CROP_LAT = "CASE WHEN standard_name IS NOT NULL THEN standard_name = 'latitude' ELSE lower(var_name) IN ('lat', 'latitude') END"
 _CROP_LON = "CASE WHEN standard_name IS NOT NULL THEN standard_name = 'longitude' ELSE lower(var_name) IN ('lon', 'longitude') END"

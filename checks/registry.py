@@ -418,7 +418,7 @@ def agg_monthly_mean_across_files(spark, sf_dir):
 @query
 def median_by_ranges(spark, sf_dir):
     """The median of the whole record of each variable."""
-    return _out(agg.group_median(v.cells(spark, sf_dir).select("variable", "value"), ["variable"]))
+    return _out(agg.group_median(v.cells(spark, sf_dir).select("variable", "value"), ["variable"], small=1000))
 
 
 def _with_levels(spark, sf_dir):
@@ -451,6 +451,32 @@ def agg_monthly_mean_calendar(spark, sf_dir):
     return _out(agg.aggregate(cells, "monthly", "mean"), 3)
 
 
+def _with_axis(freq: str, method: str, variable: str) -> Query:
+    def run(spark, sf_dir):
+        headers, values = v.raw_vars(spark, sf_dir), v.raw_values(spark, sf_dir)
+        times = gridding.time_axes(headers, values)
+        rows, _ = agg.aggregate_files(gridding.cells_from_axes(headers, values, variable), headers, times, variable, freq, method)
+        return _out(_levels_text(rows))
+
+    return run
+
+
+QUERIES["agg_monthly_axis"] = _with_axis("monthly", "mean", "tas")
+QUERIES["agg_seasonal_axis"] = _with_axis("seasonal", "median", "zg")
+
+
+@query
+def aggregate_status(spark, sf_dir):
+    """Files without a time axis, with an odd time unit, or without the variable; unknown methods and frequencies."""
+    headers = v.raw_vars(spark, sf_dir)
+    times = gridding.time_axes(headers, v.raw_values(spark, sf_dir))
+    asked = [("tas", "monthly", "mean"), ("nlat", "annual", "sum"), ("zg", "weekly", "mean"), ("zg", "annual", "mode")]
+    each = [
+        agg.aggregate_status(headers, times, *a).select("file_id", F.lit(" ".join(a)).alias("asked"), "ok", "message") for a in asked
+    ]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
 @query
 def period_keys(spark, sf_dir):
     t = F.col("time")

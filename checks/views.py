@@ -410,10 +410,10 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Axes of the raw files: (file, latitude variable, its dimension, its standard name, the same of the
-# longitude, dimensions of tas in order, calendar). File 3 has no longitude, file 4 a latitude in two
-# dimensions, file 5 no time.
+# longitude, dimensions of tas in order, calendar). File 3 has no longitude and an odd time unit, file 4 a
+# latitude in two dimensions, file 5 no time.
 RAW_FILES = [
-    (0, "lat", "lat", None, "lon", "lon", None, ["time", "lat", "lon"], "standard"),
+    (0, "lat", "lat", None, "lon", "lon", None, ["time", "lat", "lon"], "julian"),
     (1, "y", "y", "latitude", "x", "x", "longitude", ["x", "y", "time"], "noleap"),
     (2, "Latitude", "nlat", None, "LON", "nlon", None, ["time", "nlat", "nlon"], "360_day"),
     (3, "lat", "lat", None, "east", "east", None, ["time", "lat", "east"], "standard"),
@@ -440,7 +440,8 @@ def raw_vars(spark: SparkSession, sf_dir: str) -> DataFrame:
             ("height", [], None, "m", {}),
         ]
         if f != 5:
-            found.append(("time", ["time"], None, "days since 1992-01-01", {"axis": "T", "calendar": calendar}))
+            unit = "fortnights" if f == 3 else "days"
+            found.append(("time", ["time"], None, f"{unit} since 1992-01-01", {"axis": "T", "calendar": calendar}))
         if f != 2:
             found.append(("plev", ["plev"], None, "hPa", {}))
         rows += [(f"raw_{f}", k, n, "double", d, fill, units, attrs) for k, (n, d, fill, units, attrs) in enumerate(found)]

@@ -7,13 +7,13 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row as gridding_row, functions as F
 
 from cellweave.constants import DEMO_BOX
 from cellweave.functions.reducers import REDUCERS
 from cellweave.functions import calendar
-from cellweave.operators import aggregate, availability, axes, catalog, clip, convert, crop, expand, search
-from cellweave.schemas import SEARCH_DOC
+from cellweave.operators import aggregate, availability, axes, catalog, clip, convert, crop, expand, gridding, search
+from cellweave.schemas import GRID_VARS, SEARCH_DOC
 from cellweave.sources import boundaries
 
 NAN = float("nan")
@@ -261,19 +261,94 @@ def test_monthly_literal_case(spark):
         aggregate.aggregate(cells, "monthly", "mode")
 
 
-@pytest.mark.parametrize("passes", [1, 2, 3])
-def test_median_of_groups_of_any_size(spark, passes):
-    """One group far larger than the rest, fill values far apart, ties and NULL keys."""
+@pytest.mark.parametrize("small", [2, 500, 100_000])
+def test_median_of_groups_of_any_size(spark, small):
+    """One group far larger than the rest, 10,000 distinct values, fill values far apart, infinities, ties and NULL keys."""
     rng = random.Random(3)
     groups = {"hot": [rng.choice([1.0, 2.5, rng.gauss(0, 1e6)]) for _ in range(3000)], None: [rng.random() for _ in range(81)],
               "tie": [5.0] * 60, "few": [1.0, NAN, 4.0], "nan": [NAN], "masked": [None], "neg": [-1e300, 1e300, -2.0, 0.0],
-              "fill": [1e-30, 1e20, 9.97e36] * 400 + [280 + rng.random() for _ in range(5001)]}
+              "fill": [1e-30, 1e20, 9.97e36] * 400 + [280 + rng.random() for _ in range(5001)], "two": [-0.0, 1e-320, 5e-324, 1e-310],
+              "many": [rng.gauss(0, 1) * 10.0 ** rng.randrange(-300, 300) for _ in range(10_000)] + [NAN, None] * 40,
+              "inf": [math.inf] * 4 + [-math.inf, 1.0, 2.0], "even": [1.0, 2.0] * 700, "near": [1 + k * 2**-52 for k in range(4001)]}
     df = spark.createDataFrame([(k, x) for k, xs in groups.items() for x in xs], "k string, value double").repartition(5)
-    got = {r["k"]: r["value"] for r in aggregate.group_median(df, ["k"], passes).collect()}
+    out = aggregate.group_median(df, ["k"], small)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["k"]: r["value"] for r in out.collect()}
     assert set(got) == set(groups)
     assert got["masked"] is None and math.isnan(got["nan"])
-    for k in ("hot", None, "tie", "few", "neg", "fill"):
-        assert got[k] == pytest.approx(np.nanmedian(groups[k]), rel=1e-15), k
+    for k in set(groups) - {"masked", "nan"}:
+        assert got[k] == pytest.approx(np.nanmedian([x for x in groups[k] if x is not None]), rel=1e-15), k
+
+
+RAW_HEADERS = [
+    ("a", 0, "lat", ["lat"], None, {}), ("a", 1, "lon", ["lon"], None, {}), ("a", 2, "time", ["time"], None, {"calendar": "360_day"}),
+    ("a", 3, "plev", ["plev"], None, {}), ("a", 4, "ta", ["time", "plev", "lat", "lon"], -9.0, {}), ("a", 5, "area", ["lon", "lat"], None, {}),
+    ("a", 6, "height", [], None, {}), ("a", 7, "ens", ["member", "time"], None, {}),
+    ("b", 0, "Lat", ["y"], None, {}), ("b", 1, "x", ["x"], None, {"standard_name": "longitude"}), ("b", 2, "ta", ["y", "x"], None, {}),
+    ("c", 0, "lat", ["lat"], None, {}), ("c", 1, "ta", ["lat"], None, {}),
+    ("d", 0, "lat", ["j", "i"], None, {}), ("d", 1, "lon", ["j", "i"], None, {}), ("d", 2, "ta", ["j", "i"], None, {}),
+]
+RAW_VALUES = [
+    ("a", "lat", [0], 10.0), ("a", "lat", [1], 20.0), ("a", "lon", [0], 350.0), ("a", "time", [0], 59.0), ("a", "time", [1], 60.0),
+    ("a", "plev", [0], 850.0), ("a", "ta", [1, 0, 1, 0], 7.0), ("a", "ta", [0, 0, 0, 0], -9.0), ("a", "ta", [0, 0, 5, 0], 1.0),
+    ("a", "area", [0, 1], 3.0), ("a", "height", [], 2.0), ("a", "ens", [4, 1], 6.0),
+    ("b", "Lat", [0], 1.0), ("b", "x", [0], 2.0), ("b", "ta", [0, 0], 5.0), ("c", "lat", [0], 1.0), ("c", "ta", [0], 5.0), ("d", "ta", [0, 0], 5.0),
+]
+
+
+@pytest.fixture(scope="module")
+def raw(spark):
+    headers = [(f, k, n, "double", d, fill, "days since 2000-01-01" if n == "time" else "1", attrs) for f, k, n, d, fill, attrs in RAW_HEADERS]
+    return spark.createDataFrame(headers, GRID_VARS), spark.createDataFrame(RAW_VALUES, "file_id string, var_name string, pos array<int>, value double")
+
+
+def test_cells_from_axes(raw):
+    got = sorted(map(repr, (tuple(r) for r in gridding.cells_from_axes(*raw).drop("seconds").collect())))
+    level = lambda *xs: [gridding_row(dim=d, value=v) for d, v in xs]
+    want = [
+        ("a", "ta", 2000, 3, 1, 20.0, 350.0, level(("plev", 850.0)), 7.0), ("a", "ta", 2000, 2, 30, 10.0, 350.0, level(("plev", 850.0)), None),
+        ("a", "ta", 2000, 2, 30, None, 350.0, level(("plev", 850.0)), 1.0), ("a", "area", None, None, None, 20.0, 350.0, [], 3.0),
+        ("a", "height", None, None, None, None, None, [], 2.0), ("a", "ens", 2000, 3, 1, None, None, level(("member", 4.0)), 6.0),
+        ("b", "ta", None, None, None, 1.0, 2.0, [], 5.0),
+    ]
+    assert got == sorted(map(repr, want))
+    clipped = gridding.cells_from_axes(*raw, variable="ta", rule="clip").collect()
+    assert sorted((r["file_id"], r["value"]) for r in clipped if r["value"]) == [("a", 1.0), ("a", 7.0)]
+    status = {rule: {r["file_id"]: r["message"] for r in gridding.axes_status(raw[0], rule).collect()} for rule in gridding.RULES}
+    flat, none = gridding.NOT_FLAT, "No coordinates found"
+    assert status == {"crop": {"a": "ok", "b": "ok", "c": "Missing coordinate variables", "d": flat}, "clip": {"a": "ok", "b": none, "c": none, "d": flat}}
+
+
+def test_cells_from_axes_feed_crop_and_aggregate(raw):
+    cells = crop.crop(gridding.cells_from_axes(*raw), {"min_lat": 15, "max_lat": 30, "min_lon": -20, "max_lon": 0})
+    out = aggregate.aggregate(cells, "monthly", "max").collect()
+    assert sorted((r["variable"], r["period"], r["lat"], r["value"]) for r in out if r["lat"]) == [("ta", "2000-03", 20.0, 7.0)]
+    plan = gridding.cells_from_axes(*raw)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "SortMergeJoin" not in plan
+
+
+def test_aggregated_files_keep_their_axis_and_report_failures(raw):
+    headers, values = raw
+    times = gridding.time_axes(headers, values)
+    rows, status = aggregate.aggregate_files(gridding.cells_from_axes(headers, values), headers, times, "ta", "monthly", "max")
+    got = sorted((r["period"], r["time_value"], r["lat"], r["aggregation_details"]) for r in rows.collect() if r["lat"])
+    details = "Method: max, Frequency: monthly"
+    assert got == [("2000-02", 44.0, 10.0, details), ("2000-03", 74.0, 20.0, details)]
+    lost = "Required time or variable 'ta' not found"
+    assert {r["file_id"]: (r["ok"], r["message"]) for r in status.collect()} == {"a": (True, "ok"), "b": (False, lost), "c": (False, lost), "d": (False, lost)}
+    for freq, method, message in (("weekly", "max", "Unsupported frequency 'weekly'"), ("annual", "mode", "Unsupported method 'mode'")):
+        rows, status = aggregate.aggregate_files(gridding.cells_from_axes(headers, values), headers, times, "ta", freq, method)
+        assert rows.count() == 0 and status.where("file_id = 'a'").first()["message"] == message
+
+
+@pytest.mark.parametrize("calendar,freq,period,want", [
+    ("julian", "annual", "2000", 181.0 + 1), ("noleap", "annual", "2001", 365 + 181.0), ("360_day", "seasonal", "1999-S1", -360 + 44.0),
+    ("standard", "seasonal", "2000-S4", 319.0), ("standard", "monthly", "12000-02", None), ("all_leap", "monthly", "-001-02", None), ("odd", "annual", "2000", None),
+])
+def test_period_axis(spark, calendar, freq, period, want):
+    df = spark.createDataFrame([(period, "days since 2000-01-01", calendar)], "period string, units string, calendar string")
+    got = aggregate.period_axis(df, freq).first()["time_value"]
+    assert (got == want) if want is not None or calendar == "odd" else got is not None
 
 
 def test_levels_stay_apart(spark):
@@ -287,9 +362,9 @@ def test_levels_stay_apart(spark):
 
 
 def test_years_of_five_digits_stay_whole(spark):
-    df = spark.createDataFrame([(12345, 3), (7, 11)], "y int, m int")
+    df = spark.createDataFrame([(12345, 3), (7, 11), (-5, 1)], "y int, m int")
     got = [r[0] for r in df.select(calendar.period_key_ymd(F.col("y"), F.col("m"), "monthly")).collect()]
-    assert got == ["12345-03", "0007-11"]
+    assert got == ["12345-03", "0007-11", "-0005-01"]
 
 
 # --- catalog, search, manifests ----------------------------------------------------------------
