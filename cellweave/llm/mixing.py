@@ -2,12 +2,14 @@
 
 The sources' targets are their weights' parts of the total, at most twice a source's size; what is
 above goes to the others by weight until none is above (a water level, found in one sort). The total
-is a number of blocks of BLOCK words. Blocks go to the sources by highest quotients target / (2s + 1),
-and a source's blocks to its cells (hash shards of its documents, of bounded rows) in the same way, so
-each cell has an integer quota. In a cell the documents lie on one line of words, in seeded order; the
-line is cut into blocks, a quota takes whole passes over all blocks and a seeded selection of the rest:
-block b is in it if (step * b + shift) mod blocks < rest, with step and blocks coprime, which selects
-exactly ``rest`` of them. A document's taken words are its words in selected blocks.
+is a number of equal blocks: of MOST_BLOCK words, or of fewer so that the least target has LEAST_BLOCKS of
+them, down to single words. Blocks go to the sources by highest quotients target / (2s + 1), and a source's
+blocks to its cells (hash shards of its documents, of bounded rows) in the same way, so each cell has an
+integer quota. In a cell the documents lie on one line of words, in seeded order; the line is cut into
+blocks, a quota takes whole passes over all blocks and a seeded selection of the rest: block b is in it if
+a multiple of blocks / rest lies in (b + shift, b + shift + 1], which selects exactly ``rest`` of them, evenly
+from a seeded shift on. A document's taken words are its words in selected blocks, counted from the blocks
+at its ends and the number between, so a document costs the same whatever the size of a block.
 
 Words are counted once, into (doc_id, source, size) in the shared folder. A source with a third of all
 rows is many cells; no window is larger than a cell. Per-source and per-cell tables are all that is
@@ -21,7 +23,6 @@ empty input gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,9 @@ from cellweave.llm.common import WORD, staged, table, text_or_empty
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
-BLOCK = 64
-CELL_ROWS = 20_000
+MOST_BLOCK = 64
+LEAST_BLOCKS = 100
+CELL_ROWS = 4_000
 SEED = 40_009
 
 
@@ -89,7 +91,9 @@ def _quotas(sources: pd.DataFrame) -> pd.DataFrame:
     weights = np.array([WEIGHTS[i % len(WEIGHTS)] for i in range(len(out))])
     sizes = out["source_size"].to_numpy(np.int64)
     out["target"] = targets(sizes, weights, SHARE * int(sizes.sum()))
-    out["blocks"] = sainte_lague(out["target"].to_numpy(), round(out["target"].sum() / BLOCK))
+    some = out["target"].to_numpy()[out["target"].to_numpy() > 0]
+    out["block"] = block = max(1, min(MOST_BLOCK, int(some.min()) // LEAST_BLOCKS)) if len(some) else 1
+    out["blocks"] = sainte_lague(out["target"].to_numpy(), round(out["target"].sum() / block))
     out["cells"] = np.maximum(1, -(-out["n_rows"] // CELL_ROWS))
     return out.drop(columns="all")
 
@@ -97,7 +101,7 @@ def _quotas(sources: pd.DataFrame) -> pd.DataFrame:
 def source_quotas(records: DataFrame) -> DataFrame:
     """One row per source: its words, target, blocks and number of cells."""
     sums = records.groupBy("no_source", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
-    schema = "no_source boolean, source string, source_size long, n_rows long, target double, blocks long, cells long"
+    schema = "no_source boolean, source string, source_size long, n_rows long, target double, block long, blocks long, cells long"
     return sums.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_quotas, schema)
 
 
@@ -105,19 +109,11 @@ def _cell_quotas(cells: pd.DataFrame) -> pd.DataFrame:
     out = cells.sort_values("cell").reset_index(drop=True)
     words = out["words"].to_numpy(np.int64)
     got = sainte_lague(words.astype(float), int(out["blocks"].iloc[0]))
-    lines = -(-words // BLOCK)
-    whole = np.minimum(got // np.maximum(lines, 1), int(CAP))
-    out["whole"], out["lines"] = whole, np.maximum(lines, 1)
-    out["rest"] = np.where(whole < CAP, got - whole * lines, 0)
-    steps = []
-    for n in out["lines"]:
-        step = max(1, int(n * 0.6180339887) | 1)
-        while math.gcd(step, int(n)) != 1:
-            step += 1
-        steps.append(step)
-    out["step"] = steps
-    out["shift"] = (out["cell"] * 7919 + SEED) % out["lines"]
-    return out[["no_source", "source", "cell", "whole", "rest", "lines", "step", "shift"]]
+    lines = np.maximum(-(-words // int(out["block"].iloc[0])), 1)
+    out["whole"] = np.minimum(got // lines, int(CAP))
+    out["rest"], out["lines"] = np.where(out["whole"] < CAP, got - out["whole"] * lines, 0), lines
+    out["shift"] = (out["cell"] * 7919 + SEED) % lines
+    return out[["no_source", "source", "cell", "whole", "rest", "lines", "shift"]]
 
 
 def mix(records: DataFrame) -> DataFrame:
@@ -126,18 +122,21 @@ def mix(records: DataFrame) -> DataFrame:
     quotas = staged(source_quotas(records), "quotas")
     seeded = F.xxhash64("doc_id", "size", F.lit(SEED))
     celled = records.join(quotas, by).withColumn("cell", F.pmod(seeded, "cells"))
-    words = celled.groupBy(*place).agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
+    words = celled.groupBy(*place).agg(F.sum("size").alias("words"), F.first("block").alias("block"), F.first("blocks").alias("blocks"))
     plans = words.groupBy(*by).applyInPandas(
-        _cell_quotas, "no_source boolean, source string, cell long, whole long, rest long, lines long, step long, shift long"
+        _cell_quotas, "no_source boolean, source string, cell long, whole long, rest long, lines long, shift long"
     )
     line = W.partitionBy(*place).orderBy(F.xxhash64("doc_id", F.lit(SEED + 1)), "doc_id", "size")
     start = F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     laid = celled.withColumn("start", start).join(plans, place)
     end = F.col("start") + F.col("size")
-    blocks = F.sequence(F.floor(F.col("start") / BLOCK), F.floor((end - 1) / BLOCK))
-    inside = lambda b: F.least((b + 1) * BLOCK, end) - F.greatest(b * BLOCK, F.col("start"))
-    chosen = lambda b: F.pmod(F.col("step") * b + F.col("shift"), F.col("lines")) < F.col("rest")
-    extra = F.aggregate(blocks, F.lit(0).cast("long"), lambda got, b: got + F.when(chosen(b), inside(b)).otherwise(0))
+    first, last = F.floor(F.col("start") / F.col("block")), F.floor((end - 1) / F.col("block"))
+    # Selected blocks before block b, as decimals: the product may pass 64 bits.
+    before = lambda b: F.floor((b + F.col("shift")).cast("decimal(20,0)") * F.col("rest") / F.col("lines")).cast("long")
+    chosen = lambda b: before(b + 1) - before(b)
+    inside = lambda b: F.least((b + 1) * F.col("block"), end) - F.greatest(b * F.col("block"), F.col("start"))
+    between = F.when(last > first, (before(last) - before(first + 1)) * F.col("block") + chosen(last) * inside(last)).otherwise(0)
+    extra = chosen(first) * inside(first) + between
     taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") * F.col("size") + extra)
     return laid.select(
         "doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken")
