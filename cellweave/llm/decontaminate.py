@@ -3,10 +3,11 @@
 A document holds an item if some substring of it is within ``budget(m)`` edits of the whole item of
 length m (both lower-cased, white space as one space). By the q-gram lemma such a substring shares at
 least m - q + 1 - q * budget q-grams with the item, and they lie on diagonals (place in the document
-minus place in the item) that differ by the budget at most. So:
+minus place in the item) that differ by the budget at most. q is the largest up to Q for which that
+number is positive (``gram_length``), so items of every length are found. So:
 
-* count: the document's q-grams are looked up among the items'; each hit counts for its item in the
-  two overlapping bands of diagonals it lies in. A band is two budgets wide and starts at every
+* count: the document's q-grams are looked up among the items' of that q; each hit counts for its item
+  in the two overlapping bands of diagonals it lies in. A band is two budgets wide and starts at every
   budget, so that each match lies in one band whole;
 * retain: bands with as many hits as the bound asks for;
 * verify: an exact search, then a banded alignment of the item with the band's stretch of text.
@@ -15,9 +16,10 @@ Nothing within the budget is lost, and all that is reported is verified. Texts a
 The items go to the tasks in blocks of BLOCK_CHARS characters, one pass over the documents each, so
 what a task holds is bounded whatever the size of the benchmark. No shuffle.
 
-Defined results: null or empty texts hold nothing; items of fewer than MIN_CHARS characters (null
-ones too) are no passages and are never found; equal items are each found; repeated rows each give
-their rows; a null doc_id stays null. Other columns are ignored.
+Defined results: null or empty texts hold nothing; null items, and items of white space alone, are
+never found; an item too short for an edit (below 1 / RATE characters) is found where it is written in
+full; equal items are each found; repeated rows each give their rows; a null doc_id stays null. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,6 @@ from cellweave.llm.common import id_text, mix64, pieces, powers, table
 Q = 10
 #: Edits allowed per character of the item.
 RATE = 0.08
-MIN_CHARS = 24
 BLOCK_CHARS = 4 << 20
 CHUNK = 1 << 20
 HITS = 1 << 21
@@ -54,19 +55,24 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def qgrams(code: np.ndarray) -> np.ndarray:
-    """A hash of the Q characters from each place on."""
-    if len(code) < Q:
+def gram_length(m: int) -> int:
+    """The largest q up to Q such that a match of an item of length m shares a q-gram: m - q + 1 > q * budget."""
+    return min(Q, m // (budget(m) + 1))
+
+
+def qgrams(code: np.ndarray, q: int = Q) -> np.ndarray:
+    """A hash of the q characters from each place on."""
+    if len(code) < q:
         return np.zeros(0, np.uint64)
-    base, h, have, done = powers(_BASE, Q + 1), mix64(code), 1, None
-    at, left = 0, Q
+    base, h, have, done = powers(_BASE, q + 1), mix64(code), 1, None
+    at, left = 0, q
     while left:
         if left & 1:
             done, at = (h if done is None else done[: len(h) - at] * base[have] + h[at:][: len(h) - at]), at + have
         left >>= 1
         if left:
             h, have = h[:-have] * base[have] + h[have:], 2 * have
-    return done[: len(code) - Q + 1]
+    return done[: len(code) - q + 1]
 
 
 def aligned(item: np.ndarray, text: np.ndarray, start: int, width: int, most: int) -> tuple[int, int] | None:
@@ -86,33 +92,45 @@ def aligned(item: np.ndarray, text: np.ndarray, start: int, width: int, most: in
     return int(prev[d]), start + len(item) + d
 
 
-class Matcher:
-    """Finds a block of items in texts."""
+class GramIndex:
+    """The q-grams of the items of one q."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.ids = [i for i, _ in items]
-        self.texts = [t for _, t in items]
-        self.codes = [codes(t) for t in self.texts]
-        self.edits = np.array([budget(len(t)) for t in self.texts], np.int64)
-        self.step = np.maximum(self.edits, 1)
-        lengths = np.array([len(t) for t in self.texts], np.int64)
-        self.least = np.maximum(1, lengths - Q + 1 - Q * self.edits)
-        grams = [qgrams(c) for c in self.codes]
+    def __init__(self, q: int, numbers: np.ndarray, code: list[np.ndarray]) -> None:
+        self.q = q
+        grams = [qgrams(code[i], q) for i in numbers]
         count = [len(g) for g in grams]
         gram = np.concatenate(grams)
         order = np.argsort(gram, kind="stable")
         self.gram = gram[order]
-        self.item = np.repeat(np.arange(len(items)), count)[order]
+        self.item = np.repeat(numbers, count)[order]
         self.place = np.concatenate([np.arange(n) for n in count])[order]
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[self.gram >> np.uint64(64 - _BITS)] = True
+
+
+class Matcher:
+    """Finds a block of items in texts."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        self.ids = [i for i, _ in items]
+        self.texts = [t for _, t in items]
+        self.codes = [codes(t) for t in self.texts]
+        lengths = np.array([len(t) for t in self.texts], np.int64)
+        self.edits = np.array([budget(n) for n in lengths], np.int64)
+        self.step = np.maximum(self.edits, 1)
+        q = np.array([gram_length(n) for n in lengths], np.int64)
+        self.least = lengths - q + 1 - q * self.edits
+        self.indexes = [GramIndex(int(k), np.flatnonzero(q == k), self.codes) for k in np.unique(q)]
         self.gap = int(self.edits.max()) + 1
 
     def bands(self, code: np.ndarray) -> list[tuple[int, int]]:
+        return [found for index in self.indexes for found in self._bands(index, code)]
+
+    def _bands(self, index: GramIndex, code: np.ndarray) -> list[tuple[int, int]]:
         """(item, band) with enough q-grams; band b covers the diagonals from b * step on, two steps wide."""
-        grams = qgrams(code)
-        at = np.flatnonzero(self.maybe[grams >> np.uint64(64 - _BITS)])
-        low, high = np.searchsorted(self.gram, grams[at], "left"), np.searchsorted(self.gram, grams[at], "right")
+        grams = qgrams(code, index.q)
+        at = np.flatnonzero(index.maybe[grams >> np.uint64(64 - _BITS)])
+        low, high = np.searchsorted(index.gram, grams[at], "left"), np.searchsorted(index.gram, grams[at], "right")
         hit = high > low
         at, low, count = at[hit], low[hit], (high - low)[hit]
         found: dict[int, int] = {}
@@ -124,8 +142,8 @@ class Matcher:
             end = max(start + 1, int(np.searchsorted(ends, base + HITS, "right")))
             n = count[start:end]
             entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[start:end], n)
-            item = self.item[entry]
-            band = (np.repeat(at[start:end], n) - self.place[entry]) // self.step[item]
+            item = index.item[entry]
+            band = (np.repeat(at[start:end], n) - index.place[entry]) // self.step[item]
             keys, times = np.unique(np.concatenate([item * (2 * shift) + band + shift, item * (2 * shift) + band - 1 + shift]), return_counts=True)
             if start == 0 and end == len(at):
                 enough = times >= self.least[keys // (2 * shift)]
@@ -169,12 +187,12 @@ class Matcher:
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items that are long enough, in blocks of bounded text."""
+    """The items that have text, in blocks of bounded text."""
     block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     for r in rows.toLocalIterator():
         text = normal(r["text"])
-        if len(text) >= MIN_CHARS:
+        if text:
             block.append((r["item_id"], text))
             size += len(text)
             if size >= BLOCK_CHARS:
