@@ -47,7 +47,7 @@ LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MAX = np.uint64((1 << 64) - 1)
-#: A place and its range in one long: start, windows - 1, anchor - start, 16 bits of the text's hash.
+#: A place and its range in one long: start, windows - 1, anchor - start.
 _START, _COUNT, _ANCHOR = 30, 23, 16
 
 
@@ -105,16 +105,16 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush() -> pa.RecordBatch:
-        doc, place, one, two = (np.concatenate(c) for c in zip(*held))
+        doc, check, place, one, two = (np.concatenate(c) for c in zip(*held))
         order = np.lexsort((place, doc, two, one))
-        doc, place, one, two = doc[order], place[order], one[order], two[order]
+        doc, check, place, one, two = doc[order], check[order], place[order], one[order], two[order]
         new = np.ones(len(one), bool)
         new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
         at = np.flatnonzero(new)[np.cumsum(new) - 1]  # the first row of each context
         later = (doc > doc[at]) | ((doc == doc[at]) & (place >> _START > place[at] >> _START))
         one = np.where(later, mix64((doc ^ place).view(np.uint64)).view(np.int64), one)
         place = np.where(later, -place - 1, place)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (one, two, doc, place)], ["anchor", "context", "doc", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (one, two, doc, check, place)], ["anchor", "context", "doc", "check", "place"])
 
     for batch in pieces(batches, "text", CHUNK):
         offs, data = utf8(batch.column("text"))
@@ -126,7 +126,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 found = anchors(offs, data)
             text, start, count, back, one, two = found
-            held.append((doc[text], ((start + s) << _START) | (count << _COUNT) | (back << _ANCHOR) | check[text], one, two))
+            held.append((doc[text], check[text], ((start + s) << _START) | (count << _COUNT) | (back << _ANCHOR), one, two))
         size += len(data)
         if size >= COLLAPSE:
             yield flush()
@@ -145,8 +145,8 @@ def _slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = place.to_numpy()
             start, count = at >> _START, (at >> _COUNT) & 127
             pieces_ = [raw[s : s + c + LENGTH] for s, c in zip(start.tolist(), count.tolist())]
-            doc = pa.array(np.full(len(at), batch.column("doc")[k].as_py(), np.int64))
-            yield pa.RecordBatch.from_arrays([one, doc, place, pa.array(pieces_, pa.binary())], ["anchor", "doc", "place", "bytes"])
+            doc, check = (pa.array(np.full(len(at), batch.column(c)[k].as_py(), np.int64)) for c in ("doc", "check"))
+            yield pa.RecordBatch.from_arrays([one, doc, check, place, pa.array(pieces_, pa.binary())], ["anchor", "doc", "check", "place", "bytes"])
 
 
 def _ranges(doc: np.ndarray, start: np.ndarray, check: np.ndarray) -> list[pa.Array]:
@@ -167,7 +167,7 @@ def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(len(place)), count)
         step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         label = equal_windows(data, offs[row] + step, LENGTH)
-        whose, start, check = doc[row], (place[row] >> _START) + step, place[row] & 0xFFFF
+        whose, start, check = doc[row], (place[row] >> _START) + step, t.column("check").to_numpy()[row]
         order = np.lexsort((start, whose, label))
         new = np.ones(len(order), bool)
         new[1:] = label[order[1:]] != label[order[:-1]]
@@ -206,7 +206,7 @@ def _place(name: str, shift: int, bits: int = 7):
 
 def repeated_ranges(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc, check, s, e): ranges of bytes that start earlier elsewhere. ``texts``: doc_id, doc, check, text."""
-    found = texts.select("doc", "check", "text").mapInArrow(_anchor_rows, "anchor long, context long, doc long, place long")
+    found = texts.select("doc", "check", "text").mapInArrow(_anchor_rows, "anchor long, context long, doc long, check long, place long")
     own = W.partitionBy("anchor", "context").orderBy("doc", "place")
     of_anchor = W.partitionBy("anchor")
     start = F.shiftright("place", _START)
@@ -216,25 +216,24 @@ def repeated_ranges(texts: DataFrame, hot: int = HOT) -> DataFrame:
     )
     later = (F.col("place") < 0) | (F.col("doc") > F.col("doc0")) | ((F.col("doc") == F.col("doc0")) & (start > F.col("start0")))
     place = F.when(F.col("place") < 0, -F.col("place") - 1).otherwise(F.col("place")).alias("place")
-    marks = staged(seen.where(later | F.col("several")).select("anchor", "doc", place, later.alias("later")), "anchors")
+    marks = staged(seen.where(later | F.col("several")).select("anchor", "doc", "check", place, later.alias("later")), "anchors")
 
     s = F.shiftright("place", _START)
-    check = F.col("place").bitwiseAND(F.lit(0xFFFF)).alias("check")
-    whole = marks.where("later").select("doc", check, s.alias("s"), (s + _place("place", _COUNT) + LENGTH).alias("e"))
+    whole = marks.where("later").select("doc", "check", s.alias("s"), (s + _place("place", _COUNT) + LENGTH).alias("e"))
 
     open_ = marks.where("NOT later")
     crowded = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor", F.lit(True).alias("hot"))
     open_ = open_.join(crowded, "anchor", "left")
 
     def contexts(rows: DataFrame) -> DataFrame:
-        wanted = rows.select("doc", check, "anchor", "place").groupBy("doc", "check").agg(F.collect_set(F.struct("anchor", "place")).alias("wanted"))
-        return texts.join(wanted, ["doc", "check"]).mapInArrow(_slice, "anchor long, doc long, place long, bytes binary")
+        wanted = rows.groupBy("doc", "check").agg(F.collect_set(F.struct("anchor", "place")).alias("wanted"))
+        return texts.join(wanted, ["doc", "check"]).mapInArrow(_slice, "anchor long, doc long, check long, place long, bytes binary")
 
     few = contexts(open_.where("hot IS NULL")).repartition("anchor").sortWithinPartitions("anchor")
     sorted_ = few.mapInArrow(_sort_blocks, "doc long, check long, s long, e long")
 
     # Crowded anchors: each window by its own bytes.
-    many = contexts(open_.where("hot")).select("doc", check, "place", "bytes", F.explode(F.sequence(F.lit(0), _place("place", _COUNT).cast("int"))).alias("k"))
+    many = contexts(open_.where("hot")).select("doc", "check", "place", "bytes", F.explode(F.sequence(F.lit(0), _place("place", _COUNT).cast("int"))).alias("k"))
     many = many.select("doc", "check", (F.shiftright("place", _START) + F.col("k")).alias("s"), F.expr(f"substring(bytes, k + 1, {LENGTH})").alias("w"))
     first = many.groupBy("w").agg(F.min(F.struct("doc", "s")).alias("first"))
     crowd = many.join(first, "w").where("struct(doc, s) > first").select("doc", "check", "s", (F.col("s") + LENGTH).alias("e"))
@@ -246,7 +245,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     text = text_or_empty()
     doc_id = F.col("doc_id").cast("long")
     texts = docs.select(
-        doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).alias("check"), text.alias("text")
+        doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("check"), text.alias("text")
     )
     ranges = repeated_ranges(texts, hot).groupBy("doc", "check").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     return texts.join(ranges, ["doc", "check"], "left").mapInArrow(
