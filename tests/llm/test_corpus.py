@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -93,6 +94,18 @@ def test_suffix_dedup(tables, kind, hot, segment, monkeypatch):
     assert collections.Counter(tuple(r) for r in got) == expected
 
 
+def test_many_rows_without_an_id_stay_apart(table_of):
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    rows = []
+    for i in range(1500):
+        at = rng.randrange(3800)
+        rows.append((None if i % 5 else i % 7, "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(60))) + base[at : at + rng.randrange(90, 200)], "en", "s"))
+    want = brute_repeats(rows)
+    expected = collections.Counter((i, *want[(1 << 63) - 1 if i is None else i, t]) for i, t, *_ in rows)
+    assert collections.Counter(tuple(r) for r in suffix_dedup.remove_repeats(table_of(rows).repartition(4)).collect()) == expected
+
+
 @pytest.mark.parametrize("bucket", [64, 1 << 17])
 def test_difference_cover_sorting(bucket, monkeypatch):
     monkeypatch.setattr(difference_cover, "BUCKET", bucket)
@@ -257,9 +270,30 @@ def test_mixing(tables, kind, cell, monkeypatch):
         assert r.source_size == size[r.source] and abs(r.target - target[r.source]) < 1e-6
         assert 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
+    least = min((t for t in target.values() if t > 0), default=0)
+    block = max(1, min(mixing.MOST_BLOCK, int(least) // mixing.LEAST_BLOCKS))
     for s in order:
         cells = -(-sum(r[3] == s for r in rows) // cell)
-        assert abs(taken[s] - target[s]) <= mixing.BLOCK * (2 + 2 * cells)
+        assert abs(taken[s] - target[s]) <= block * (2 + 2 * cells)
+
+
+def test_many_tiny_sources_get_their_targets(table_of):
+    rows = [(i, "one two three four five six seven eight nine ten", "en", f"s{i:02d}") for i in range(60)] + [(100, "word " * 4000, "en", "z")]
+    for part in (rows[:60], rows):
+        got = mixing.mix_documents(table_of(part)).collect()
+        for r in got:
+            assert abs(r.taken - r.target) <= max(0.1 * r.target, 1) and r.taken <= 2 * r.size
+    assert sum(r.taken for r in mixing.mix_documents(table_of(rows[:60])).collect()) == 900
+
+
+def test_a_selection_takes_its_blocks_evenly(table_of):
+    rows = [(i, "w " * (i % 7 + 1), "en", "s") for i in range(3000)] + [(9000, "w " * 50_000, "en", "t"), (9001, "w", "en", "u")]
+    got = mixing.mix_documents(table_of(rows)).collect()
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    assert all(abs(taken[s] - t) <= 2 + 0.02 * t for s, t in target.items())
 
 
 # --- the pipeline

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import random
 import re
 
 import numpy as np
@@ -172,6 +173,24 @@ def edited(rng, text, k):
     return "".join(text)
 
 
+@pytest.mark.parametrize("kind", ["replace", "delete", "insert"])
+def test_items_of_every_length_with_spread_edits(kind):
+    """Evenly spread edits leave the fewest q-grams whole."""
+    rng = random.Random(9)
+    items = [(m, "".join(rng.choice("abcdefghijklmnop") for _ in range(m))) for m in range(1, 121)]
+    texts = []
+    for m, item in items:
+        k, out = decontaminate.budget(m), list(item)
+        assert m - decontaminate.gram_length(m) + 1 > decontaminate.gram_length(m) * k and decontaminate.gram_length(m) > 0
+        for j in range(k):
+            at = (j + 1) * m // (k + 1)
+            out[at] = {"replace": "Z", "delete": "", "insert": out[at] + "Z"}[kind].lower()
+        texts.append("QQQ rstuvw".lower() + "".join(out) + "rstuvw qq")
+    found = {(n, i): e for n, i, e, _ in decontaminate.Matcher(items).find(texts)}
+    for n, (m, _) in enumerate(items):
+        assert found[n, n] <= decontaminate.budget(m)
+
+
 @pytest.mark.parametrize("hits", [1 << 21, 50])
 def test_decontamination_against_alignment(monkeypatch, hits):
     import random
@@ -181,7 +200,6 @@ def test_decontamination_against_alignment(monkeypatch, hits):
     words = "the of and thing reation stour only wher ned".split()
     line = lambda n: " ".join(rng.choice(words) + rng.choice(words) for _ in range(n))
     items = [(i, decontaminate.normal(line(rng.randrange(4, 30)))) for i in range(12)] + [(50, "ab" * 40), (51, "z" * 100)]
-    items = [x for x in items if len(x[1]) >= decontaminate.MIN_CHARS]
     texts = ["", "zzz", "ab" * 300, "z" * 500]
     for _ in range(40):
         item = rng.choice(items)[1]
