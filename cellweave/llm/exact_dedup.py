@@ -3,14 +3,16 @@
 The distinct digests of the historical documents go into shards by hash. Each shard holds a minimal
 perfect hash over its digests: level by level, digests that are alone at their bit stay there and
 the rest go on to the next, smaller level; a digest's slot is the rank of its bit. The slot holds
-the full digest and the locator (doc_id) of the winner. A lookup finds the slot of any digest and
-compares all 32 bytes: equal means a repeat of the winner, anything else is no member. Nonmembers
-are grouped among themselves.
+the full digest, the locator (doc_id) of the winner and the number of rows. A lookup finds the slot of
+any digest and compares all 32 bytes: equal means a repeat, which is counted at its slot and won by its
+locator; anything else is no member, and a group of its own. The lookup alone decides that: the two sides
+are never grouped together.
 
-At scale: a shard is a bounded number of digests, built and probed in one task; both sides of a
-probe are distinct digests (combined on the map side before), so a text that a third of all rows
-share is one row there. Group facts go back to the rows by a join: the groups with a thousandth of
-all rows or more are at most a thousand and are broadcast, all others are too small to skew it.
+At scale: texts are hashed once, into (doc_id, digest) in the shared folder. A shard is a bounded number
+of digests, built and probed in one task; both sides of a probe are distinct digests (combined on the
+map side before), so a text that a third of all rows share is one row there. Group facts go back to the
+rows by a join: the groups with a thousandth of all rows or more are at most a thousand and are
+broadcast, all others are too small to skew it.
 
 Defined results: null text is empty text; a null doc_id loses to any other; rows repeated whole
 each come back; as nothing tells them apart, every row with the keeper's doc_id is kept. Empty input gives an empty result. Other columns are ignored.
@@ -24,14 +26,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cellweave.llm.common import SPACE, join_facts, mix64, table, text_or_empty
+from cellweave.llm.common import SPACE, join_facts, mix64, staged, table, text_or_empty
 
 #: Digests to a shard at most, in expectation.
-SHARD_KEYS = 50_000
+SHARD_KEYS = 4_000
 #: Bits of a level per digest that comes to it.
 GAMMA = 2.0
 
-INDEX = "shard int, n long, levels binary, digests binary, locators binary, nulls binary"
+INDEX = "shard int, n long, levels binary, digests binary, locators binary, nulls binary, counts binary"
+FACTS = "text_sha256 string, keep long, no_keep boolean, group_size long"
 
 
 def normalised(text: Column) -> Column:
@@ -122,81 +125,75 @@ def _build_shard(rows: pd.DataFrame) -> pd.DataFrame:
     levels, slots = mph_build(words)
     digest = np.empty((len(words), 4), ">u8")
     digest[slots] = words
-    locator, null = np.zeros(len(words), "<i8"), np.zeros(len(words), bool)
+    locator, null, counts = np.zeros(len(words), "<i8"), np.zeros(len(words), bool), np.zeros(len(words), "<i8")
     locator[slots] = rows["id"]
     null[slots] = rows["no_id"]
+    counts[slots] = rows["n"]
     return pd.DataFrame(
         {"shard": [rows["shard"].iloc[0]], "n": [len(words)], "levels": [_pack(levels)], "digests": [digest.tobytes()],
-         "locators": [locator.tobytes()], "nulls": [np.packbits(null).tobytes()]}
+         "locators": [locator.tobytes()], "nulls": [np.packbits(null).tobytes()], "counts": [counts.tobytes()]}
     )
 
 
-def shard_count(history_rows: int) -> int:
-    return max(1, -(-history_rows // SHARD_KEYS))
+def shard_count(n_rows: int) -> int:
+    return max(1, -(-n_rows // SHARD_KEYS))
 
 
 def build_index(history: DataFrame, n_shards: int) -> DataFrame:
-    """One row per shard. ``history``: distinct digests with the winner's doc_id."""
-    keyed = history.select(_shard(n_shards), "text_sha256", *_id())
+    """One row per shard. ``history``: distinct digests with the winner's doc_id and the number of rows."""
+    keyed = history.select(_shard(n_shards), "text_sha256", *_id(), "n")
     return keyed.groupBy("shard").applyInPandas(_build_shard, INDEX)
 
 
-def _probe(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    out = rows[["text_sha256", "id", "no_id", "n"]].copy()
-    out["member"], out["winner"], out["no_winner"] = False, 0, True
-    if len(index) and len(rows):
-        words, shard = _words(rows["text_sha256"]), index.iloc[0]
-        slots = mph_slots(_unpack(shard["levels"]), words)
-        held = np.frombuffer(shard["digests"], ">u8").reshape(-1, 4)
-        found = slots >= 0
-        found[found] = (held[slots[found]] == words[found]).all(axis=1)  # every byte of the digest
-        at = np.where(found, slots, 0)
-        out["member"] = found
-        out["winner"] = np.frombuffer(shard["locators"], "<i8")[at]
-        out["no_winner"] = np.unpackbits(np.frombuffer(shard["nulls"], np.uint8), count=len(held)).astype(bool)[at]
-    return out
+def member_slots(index: pd.Series, words: np.ndarray) -> np.ndarray:
+    """The slot of each digest that the shard holds, compared byte by byte; -1 for all others."""
+    slots = mph_slots(_unpack(index["levels"]), words)
+    held = np.frombuffer(index["digests"], ">u8").reshape(-1, 4)
+    found = slots >= 0
+    found[found] = (held[slots[found]] == words[found]).all(axis=1)
+    return np.where(found, slots, -1)
 
 
-def lookup(incoming: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
-    """Distinct incoming digests with ``member`` and the historical ``winner``."""
-    left = incoming.select(_shard(n_shards), "text_sha256", *_id(), "n").groupBy("shard")
-    probed = left.cogroup(index.groupBy("shard")).applyInPandas(
-        _probe, "text_sha256 string, id long, no_id boolean, n long, member boolean, winner long, no_winner boolean"
-    )
-    return probed.select(
-        "text_sha256", F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "n", "member",
-        F.when(F.col("member") & ~F.col("no_winner"), F.col("winner")).alias("winner"),
+def _probe(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+    """Facts of a shard: one row per slot, with the repeats counted there, and one per nonmember."""
+    fresh = rows.rename(columns={"id": "keep", "no_id": "no_keep", "n": "group_size"})[["text_sha256", "keep", "no_keep", "group_size"]]
+    if not len(index):
+        return fresh
+    shard = index.iloc[0]
+    counts = np.frombuffer(shard["counts"], "<i8").copy()
+    if len(rows):
+        slots = member_slots(shard, _words(rows["text_sha256"]))
+        member = slots >= 0
+        counts[slots[member]] += rows["n"].to_numpy()[member]
+        fresh = fresh[~member]
+    digest = shard["digests"].hex()
+    known = pd.DataFrame(
+        {"text_sha256": [digest[64 * k : 64 * k + 64] for k in range(len(counts))], "keep": np.frombuffer(shard["locators"], "<i8"),
+         "no_keep": np.unpackbits(np.frombuffer(shard["nulls"], np.uint8), count=len(counts)).astype(bool), "group_size": counts}
     )
+    return pd.concat([known, fresh], ignore_index=True) if len(fresh) else known
 
 
-def dedup(history: DataFrame, incoming: DataFrame, history_rows: int) -> DataFrame:
+def dedup(history: DataFrame, incoming: DataFrame, n_rows: int) -> DataFrame:
     """Facts of every digest of either side: text_sha256, keep_id, group_size.
 
-    Both inputs have doc_id and text_sha256; a digest of the history is won there, whatever the
-    ids of the incoming rows.
+    Both inputs have doc_id and text_sha256, together ``n_rows`` rows; a digest of the history is won
+    there, whatever the ids of the incoming rows.
     """
-    n_shards = shard_count(history_rows)
-    old = winners(history)
-    probed = lookup(winners(incoming), build_index(old, n_shards), n_shards)
-    repeats = probed.where("member").select("text_sha256", F.col("winner").alias("doc_id"), "n", F.lit(1).alias("old"))
-    fresh = probed.where("NOT member").select("text_sha256", "doc_id", "n", F.lit(0).alias("old"))
-    # Members add to the group of their winner; nonmembers are groups of their own.
-    known = old.select("text_sha256", "doc_id", "n", F.lit(1).alias("old"))
-    return (
-        known.unionByName(repeats).unionByName(fresh).groupBy("text_sha256")
-        .agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    )
+    n_shards = shard_count(n_rows)
+    index = build_index(winners(history), n_shards)
+    left = winners(incoming).select(_shard(n_shards), "text_sha256", *_id(), "n").groupBy("shard")
+    facts = left.cogroup(index.groupBy("shard")).applyInPandas(_probe, FACTS)
+    return facts.select("text_sha256", F.when(~F.col("no_keep"), F.col("keep")).alias("keep_id"), "group_size")
 
 
 def op1_exact_dedup(spark, sf_dir) -> DataFrame:
     """History: the lower half of the doc_id range. It holds the smaller ids, so its winners stay."""
-    docs = table(spark, sf_dir, "documents")
-    n_rows = docs.count()
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    keyed = staged(digests(table(spark, sf_dir, "documents")), "digests")
+    n_rows, low, high = keyed.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
     middle = (low + high) // 2 if low is not None else 0
-    keyed = digests(docs)
     old = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))
-    facts = dedup(keyed.where(old), keyed.where(~old), n_rows)
+    facts = staged(dedup(keyed.where(old), keyed.where(~old), n_rows), "digest-groups")
     return join_facts(keyed, facts, ["text_sha256"], "group_size", n_rows).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
