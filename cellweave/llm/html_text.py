@@ -1,17 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read once into its text nodes in order, each with its root-to-leaf tag path. Per path the
-length of its text and its punctuation are added up over the page; the ratio of a path is text per
-node times punctuation per node. Three steps then pick the content:
+length of its text outside links and its punctuation are added up over the page; the ratio of a path is
+text per node times punctuation per node, on a logarithmic scale. Three steps then pick the content:
 
 * smooth: the ratios, as a series over the nodes in page order, get a Gaussian of three taps, so that
-  a short paragraph between long ones is lifted and a long caption in a menu is not;
-* fuse: a path's smoothed mean is combined with the share of the text that its surroundings hold:
-  the main element is the deepest one with at least ``MAIN_SHARE`` of all ratio-weighted text;
-* threshold: paths whose fused score reaches ``LEVEL`` standard deviations are content.
+  a short paragraph between long ones is lifted and a long caption in a menu is not; a path's score is
+  the mean of its nodes;
+* fuse: a node's score is joined with that of the path it lies in: the mean, by length, of the scores right
+  below that path, or a little less than that of the path above, whichever is more. So a heading or a
+  list item among paragraphs is lifted, and a paragraph among links is not;
+* threshold: nodes whose fused score reaches ``LEVEL`` of the page's mean, by length and prior, are content.
 
-Paths through menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader
-comments (by tag name or by a word of class, id or role) have the ratio 0.
+Tags, roles and words of class or id are priors, factors of the fused score: menus, footers, adverts,
+reader comments and the like count little, words that also occur in articles do so outside an article
+only, and beside an article or main element all else counts less. Scripts, styles and the like have no text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by
 one space. Pages are independent: one pass inside Arrow batches, no shuffle.
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -49,40 +52,57 @@ ENDS_P = frozenset(
 )
 SKIPPED = frozenset("head script style noscript template svg math iframe object canvas select button textarea audio video".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
+_WORDS = r"(?:^|[^a-z])(?:%s)(?:$|[^a-z])"
+#: Words of class or id that mark boilerplate wherever they are.
 BOILER_WORD = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|adsense|banner|breadcrumbs?|comments?|commentlist|disqus|replies|"
-    r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|footer|footnav|copyright|legal|sidebar|side|aside|widget|"
-    r"nav|navbar|navigation|menu|topbar|toolbar|masthead|share|sharing|social|related|recommended|promo|promoted|"
-    r"sponsored|sponsor|newsletter|subscribe|signup|login|search|pagination|pager|tags|hidden|skip)(?:$|[^a-z])"
+    _WORDS % "ads?|adverts?|advertisements?|advertising|adsense|breadcrumbs?|comments?|commentlist|disqus|replies|cookies?|consent|gdpr|"
+    "popup|modal|overlay|footer|footnav|copyright|sidebar|side|aside|widget|nav|navbar|navigation|menu|topbar|toolbar|masthead|"
+    "sponsored|sponsor|newsletter|subscribe|signup|login|search|pagination|pager|hidden|skip"
 )
+#: Words that an article's own parts have as well.
+WEAK_WORD = re.compile(_WORDS % "banner|notices?|alert|legal|share|sharing|social|related|recommended|promo|promoted|tags")
 BOILER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？")
 
-MAIN_SHARE = 0.7
 LEVEL = 0.5
 GAUSS = (0.25, 0.5, 0.25)
+#: The node's own part of the fused score, and what is left of a path's score one step below.
+OWN = 0.3
+BELOW = 0.95
+#: Priors: boilerplate by tag, role or word; a weak word outside and inside an article; beside an article.
+BOILER, WEAK, WEAK_INSIDE, BESIDE = 0.1, 0.1, 0.6, 0.3
 CHUNK = 4 << 20
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "skip", "boiler", "article", "depth", "weight")
+    """An open tag; ``path`` is the number of its tag path, ``block`` the nearest element that is not inline."""
 
-    def __init__(self, tag: str, parent: _Element | None, attrs: dict[str, str | None]) -> None:
-        self.tag, self.parent, self.weight = tag, parent, 0.0
-        self.depth = parent.depth + 1 if parent else 0
+    __slots__ = ("tag", "path", "parent", "skip", "prior", "article", "block", "linked")
+
+    def __init__(self, tag: str, parent: _Element | None, attrs: dict[str, str | None], paths: dict) -> None:
+        self.tag, self.parent = tag, parent
+        inline = tag in INLINE and parent is not None and parent.parent is not None
+        self.block = parent.block if inline else self
+        self.linked = inline and (parent.linked or tag == "a")
+        words = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
+        words = re.sub(r"([a-z])([A-Z])", r"\1-\2", words).lower()
         name = tag
-        words = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
-        words = re.sub(r"([a-z])([A-Z])", r"\1-\2", words)
-        if words.strip() and tag not in INLINE:
+        if words.strip() and not inline:
             name += "." + ".".join(sorted(set(re.sub(r"\d+", "", words).split())))
-        self.path = (parent.path if parent else "") + "/" + name
+        self.path = paths.setdefault((parent.path if parent else 0, name), len(paths) + 1)
         self.article = bool(parent and parent.article) or tag in ("article", "main")
         self.skip = bool(parent and parent.skip) or tag in SKIPPED or "hidden" in attrs
-        own = tag in BOILERPLATE or (tag == "header" and not self.article) or (attrs.get("role") or "").lower() in BOILER_ROLE
+        own = 1.0
+        if tag in BOILERPLATE or (tag == "header" and not self.article) or (attrs.get("role") or "").lower() in BOILER_ROLE:
+            own = BOILER
         # A word of class or id marks an element; on html, body, main and article it names the page's layout.
-        own = own or (tag not in ("html", "body", "main", "article") and bool(words.strip()) and bool(BOILER_WORD.search(words)))
-        self.boiler = bool(parent and parent.boiler) or own
+        elif words.strip() and tag not in ("html", "body", "main", "article"):
+            if BOILER_WORD.search(words):
+                own = BOILER
+            elif WEAK_WORD.search(words):
+                own = WEAK_INSIDE if self.article else WEAK
+        self.prior = min(parent.prior if parent else 1.0, own)
 
 
 class _Page(HTMLParser):
@@ -90,9 +110,19 @@ class _Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.top = self.root = _Element("", None, {})
+        self.paths: dict[tuple[int, str], int] = {}
+        self.top = self.root = _Element("", None, {}, self.paths)
         self.blocks: list[list] = []
         self.open = False
+        self.tags: Counter = Counter()
+
+    def _close(self, element: _Element) -> None:
+        """Ends the open elements up to and with this one."""
+        while self.top is not element:
+            self.tags[self.top.tag] -= 1
+            self.top = self.top.parent
+        self.tags[element.tag] -= 1
+        self.top = element.parent
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -105,7 +135,8 @@ class _Page(HTMLParser):
             self._end_implied(CLOSES[tag], stop=("ul", "ol", "dl", "table", "select"))
         if tag not in INLINE:
             self.open = False
-        self.top = _Element(tag, self.top, dict(attrs))
+        self.top = _Element(tag, self.top, dict(attrs), self.paths)
+        self.tags[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -115,16 +146,20 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def _end_implied(self, names: tuple, stop: tuple) -> None:
+        if not any(self.tags[n] for n in names):
+            return
         e = self.top
         while e.parent is not None and e.tag not in stop:
             if e.tag in names:
-                self.top = e.parent
+                self._close(e)
                 return
             e = e.parent
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.open = False
+        if not self.tags[tag]:
+            return
         e = self.top
         while e.parent is not None and e.tag != tag:
             # An inline end tag without its start inside the block ends nothing.
@@ -132,23 +167,19 @@ class _Page(HTMLParser):
                 return
             e = e.parent
         if e.parent is not None:
-            self.top = e.parent
+            self._close(e)
 
     def handle_data(self, data: str) -> None:
         e = self.top
         if e.skip:
             return
-        block, link = e, False
-        while block.tag in INLINE and block.parent is not None:
-            link |= block.tag == "a"
-            block = block.parent
         if not self.open:
             if not data.strip():
                 return
-            self.blocks.append([block, [], 0])
+            self.blocks.append([e.block, [], 0])
             self.open = True
         self.blocks[-1][1].append(data)
-        if link:
+        if e.linked:
             self.blocks[-1][2] += len(data.strip())
 
     def unknown_decl(self, data: str) -> None:
@@ -168,16 +199,14 @@ def page_nodes(html: str) -> list[tuple[_Element, str, float]]:
     return nodes
 
 
-def path_ratios(nodes: list[tuple[_Element, str, float]]) -> dict[str, float]:
-    """Per tag path: text per node times punctuation per node, less what is inside links."""
-    length, marks, links, count = defaultdict(int), defaultdict(int), defaultdict(float), defaultdict(int)
+def path_ratios(nodes: list[tuple[_Element, str, float]]) -> dict[int, float]:
+    """Per tag path: text outside links per node times punctuation per node, as a logarithm."""
+    length, marks, count = defaultdict(float), defaultdict(int), defaultdict(int)
     for block, text, linked in nodes:
-        if not block.boiler:
-            count[block.path] += 1
-            length[block.path] += len(text)
-            links[block.path] += linked * len(text)
-            marks[block.path] += sum(c in PUNCTUATION for c in text)
-    return {p: (length[p] - links[p]) / n * (0.1 + marks[p] / n) for p, n in count.items()}
+        count[block.path] += 1
+        length[block.path] += len(text) * (1 - linked)
+        marks[block.path] += sum(c in PUNCTUATION for c in text)
+    return {p: math.log1p(length[p] / n * (0.1 + marks[p] / n)) for p, n in count.items()}
 
 
 def smooth(series: list[float]) -> list[float]:
@@ -187,67 +216,48 @@ def smooth(series: list[float]) -> list[float]:
     return [sum(g * padded[i + k] for k, g in enumerate(GAUSS)) for i in range(len(series))]
 
 
-def main_element(nodes: list[tuple[_Element, str, float]], ratios: dict[str, float]) -> _Element | None:
-    """The deepest element that holds most of the ratio-weighted text; an article or main element above it wins."""
-    total = 0.0
+def priors(nodes: list[tuple[_Element, str, float]]) -> list[float]:
+    has_article = any(block.article for block, _, _ in nodes)
+    return [block.prior * (BESIDE if has_article and not block.article else 1.0) for block, _, _ in nodes]
+
+
+def fuse(nodes: list[tuple[_Element, str, float]], scores: dict[int, float]) -> list[float]:
+    """Each node's score joined with that of the path it lies in."""
+    total, weight = defaultdict(float), defaultdict(int)
     for block, text, _ in nodes:
-        w = 0.0 if block.boiler else len(text) * math.log1p(ratios.get(block.path, 0.0))
-        total += w
-        e: _Element | None = block
-        while e is not None:
-            e.weight += w
-            e = e.parent
-    best = None
-    for block, _, _ in nodes:
-        e = block
-        while e is not None and e.weight < MAIN_SHARE * total:
-            e = e.parent
-        if e is not None and not e.boiler and (best is None or e.depth > best.depth):
-            best = e
-    e = best
-    while e is not None:
-        if e.tag in ("article", "main"):
-            return e
-        e = e.parent
-    # A lone paragraph is no container.
-    while best is not None and best.parent is not None and best.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre", "blockquote"):
-        best = best.parent
-    return best
+        if block.parent is not None:
+            total[block.parent.path] += scores[block.path] * len(text)
+            weight[block.parent.path] += len(text)
+    known: dict[int, float] = {}
+
+    def around(element: _Element | None) -> float:
+        above = []
+        while element is not None and element.path not in known:
+            above.append(element.path)
+            element = element.parent
+        value = known[element.path] if element is not None else 0.0
+        for path in reversed(above):
+            value = max(value * BELOW, total[path] / weight[path] if weight[path] else 0.0)
+            known[path] = value
+        return value
+
+    return [OWN * scores[block.path] + (1 - OWN) * around(block.parent) for block, _, _ in nodes]
 
 
 def content(html: str | None) -> str:
     """The main text of one page."""
     nodes = page_nodes(html or "")
-    ratios = path_ratios(nodes)
-    if not any(ratios.values()):
+    if not nodes:
         return ""
-    series = [0.0 if b.boiler else ratios[b.path] for b, _, _ in nodes]
-    smoothed = smooth(series)
-    main = main_element(nodes, ratios)
-    by_path: dict[str, list[float]] = defaultdict(list)
-    for (block, _, _), s in zip(nodes, smoothed):
-        by_path[block.path].append(s)
-    mean = sum(smoothed) / len(smoothed)
-    level = LEVEL * math.sqrt(sum((s - mean) ** 2 for s in smoothed) / len(smoothed))
-    inside = {}
-    for block, _, _ in nodes:
-        e: _Element | None = block
-        while e is not None and e is not main:
-            e = e.parent
-        inside[id(block)] = e is not None and main is not None
-    kept = []
-    for block, text, linked in nodes:
-        if block.boiler:
-            continue
-        fused = sum(by_path[block.path]) / len(by_path[block.path])
-        # Inside the main element a path needs text outside links; elsewhere it must reach the level,
-        # unless the page has an article, which is then all there is.
-        if inside[id(block)]:
-            if ratios[block.path] > 0 or linked < 0.9:
-                kept.append(text)
-        elif main is not None and main.tag not in ("article", "main") and main.article is False and fused >= level and linked < 0.5 and fused > 0.5 * max(ratios.values()):
-            kept.append(text)
-    return " ".join(kept)
+    ratios = path_ratios(nodes)
+    by_path: dict[int, list[float]] = defaultdict(list)
+    for (block, _, _), value in zip(nodes, smooth([ratios[block.path] for block, _, _ in nodes])):
+        by_path[block.path].append(value)
+    prior = priors(nodes)
+    fused = [f * w for f, w in zip(fuse(nodes, {p: sum(v) / len(v) for p, v in by_path.items()}), prior)]
+    weight = [len(text) * w * w for (_, text, _), w in zip(nodes, prior)]
+    mean = sum(f * w for f, w in zip(fused, weight)) / sum(weight)
+    return " ".join(text for f, (_, text, _) in zip(fused, nodes) if f > 0 and f >= LEVEL * mean)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -75,6 +76,40 @@ def test_article(frame):
     assert html_text.content(PAGE % (frame % body)) == want
 
 
+BARE = """<body><div><div><a href=a>Home</a> <a href=b>All the news, every day</a></div><div><a href=c>About</a></div></div>
+<div><div><h1>What was found</h1><p>The first paragraph, long enough to tell, has commas, and stops. It goes on; so it does.</p><p>Short.</p>
+<p>Another one, as long as the first, or longer: it has all that prose has, and more. Does it? It does.</p><ul><li>One</li><li>Two</li><li>Three</li><li>Four</li></ul></div></div>
+<div><b>Call now</b></div><div><p>Offer 1</p><p>Offer 2</p></div><div>Imprint</div></body>"""
+BARE_TEXT = (
+    "What was found The first paragraph, long enough to tell, has commas, and stops. It goes on; so it does. Short. "
+    "Another one, as long as the first, or longer: it has all that prose has, and more. Does it? It does. One Two Three Four"
+)
+
+
+def test_path_scores_decide_where_no_name_tells(monkeypatch):
+    """No article, main, class or id: with flat ratios, no smoothing, no threshold or no fusing another text comes out."""
+    assert html_text.content(BARE) == BARE_TEXT
+    ratios = html_text.path_ratios
+    for name, broken in (("path_ratios", lambda nodes: dict.fromkeys(ratios(nodes), 1.0)), ("LEVEL", 0.0), ("smooth", lambda x: [0.0] * len(x)),
+                         ("fuse", lambda nodes, scores: [scores[b.path] for b, _, _ in nodes])):
+        with monkeypatch.context() as m:
+            m.setattr(html_text, name, broken)
+            assert html_text.content(BARE) != BARE_TEXT, name
+
+
+def test_words_inside_and_beside_an_article():
+    text = "A paragraph, with commas, that is long enough. And one more sentence; so it is."
+    page = f"<body><div class=siteNav><p>{text}</p></div><article><p>{text}</p><p class=notice>{text}</p><section class=related-work><p>{text}</p></section><div class=comments><p>{text}</p></div></article><div class=notice>{text}</div></body>"
+    assert html_text.content(page) == " ".join([text] * 3)
+
+
+def test_deep_and_unbalanced_pages_take_linear_time():
+    start = time.perf_counter()
+    for page in ("<div>" * 30_000 + "x, y.", "<p>" + "<b>" * 30_000 + "x, y." + "<i>a</i>" * 3000 + "</u>" * 30_000, "<p><a>" * 20_000):
+        html_text.content(page)
+    assert time.perf_counter() - start < 20
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, 5), (2, None, "", 5), (3, "u", "<p>", 5), (4, "u", "<div>" * 3000 + "deep, text." , 5), (5, "u", "just text, no tags", 5),
             (6, "u", "<p>un<closed <b>x</p><![if IE]><!-- c <p>y, z.", 5), (6, "u", PAGE % "<article><p>A, b.</p></article>", 5), (None, None, None, None)]
