@@ -57,6 +57,83 @@ def test_secret_spans(table_of):
         assert got[k].spans == "" and got[k].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def spans_of(text):
+    return secrets.structural_spans(text, secrets.patterns())
+
+
+def test_secrets_glued_to_other_text():
+    jwt = ".".join([b64url(json.dumps({"alg": "HS256", "kid": "k" * 90}).encode()), b64url(b'{"sub":1}'), b64url(b"s" * 32)])
+    bare = ".".join([b64url(b'{"alg":"none"}'), b64url(b"{}"), ""])
+    body = re.findall(".{1,64}", base64.b64encode(KEY).decode())
+    ssh = base64.b64encode(SSH).decode()
+    for before, kind, secret in (
+        ("auth.", "jwt", jwt), ("x_", "jwt", jwt), ("a.b.c.", "jwt", jwt), ("eyJ", "jwt", jwt), ("see ", "jwt", bare), ("q.", "jwt", bare),
+        ("/", "der", base64.b64encode(KEY).decode()), ("AAAA", "ssh", ssh), ("x/", "ssh", base64.b64encode(OPENSSH).decode()), ("a", "der", KEY.hex()),
+        ("BEGIN\n    ", "der", "\n    ".join(body)), ("BEGIN\\n", "der", "\\n".join(body)), ("BEGIN\r\n", "der", "\r\n".join(body)), ("0", "ssh", SSH.hex().upper()),
+    ):
+        assert spans_of(f"{before}{secret} end") == [(kind, len(before), len(before) + len(secret))], (before, kind)
+    assert spans_of(jwt + "." + jwt) and spans_of(jwt[:40] + "x" + jwt[40:] + " " + base64.b64encode(KEY[:-1]).decode()) == []
+
+
+def test_long_runs_take_linear_time():
+    start = time.perf_counter()
+    for text in ("a" * 2_000_000 + " .", "eyJ" * 300_000 + ".e30.x", "MI" * 500_000, "30" * 300_000, "A" * 1_000_000, "ab." * 300_000, ("A" * 64 + "\n") * 20_000):
+        spans_of(text)
+    assert time.perf_counter() - start < 30
+
+
+def brute_base(text):
+    """Left to right, character by character."""
+    found, digit = [], "0123456789abcdef"
+    word = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    low = "".join(c.lower() if c < "\x80" else c for c in text)
+
+    def run(at, of):
+        end = at
+        while end < len(text) and text[end] in of:
+            end += 1
+        return end
+
+    at = 0
+    while at < len(text):
+        end = None
+        for name in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if low.startswith(name, at):
+                for k in (1, 0):
+                    p = at + len(name)
+                    if k and not (p < len(text) and text[p] in "\"'"):
+                        continue
+                    p = run(p + k, " ")
+                    if p < len(text) and text[p] in ":=":
+                        p = run(p + 1, " ")
+                        p += p < len(text) and text[p] in "\"'"
+                        if run(p, word) > p:
+                            end = run(p, word)
+                            if end - p >= 12:
+                                found.append(("assign", at, end))
+                            break
+        at = end or at + 1
+    for kind, start, of, least in (("access", "AKIA", word[:26] + "0123456789", 18), ("hex", "", digit, 16)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(start), of) if text.startswith(start, at) else at
+            if end > at + len(start):
+                if end - at >= least:
+                    found.append((kind, at, end))
+                at = end
+            else:
+                at += 1
+    return sorted(found)
+
+
+def test_base_spans_against_brute_force(odd_rows):
+    rng = random.Random(21)
+    bits = ["password", "PassWd", "token", "api_key", "apikey", "secret", '"', "'", " ", ":", "=", "AKIA", "AKIAZ", "0a1b2c3d", "deadbeef", "é", "x", "K9", "-", ".", "A1B2C3D4", "\n", "ſ"]
+    rules = secrets.patterns()
+    for text in ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(3000)] + [r[1] or "" for r in odd_rows if len(r[1] or "") < 20_000]:
+        assert sorted(secrets.base_spans(text, rules)) == brute_base(text), text
+
+
 def test_secrets_of_odd_tables(table_of, odd_rows):
     assert secrets.scan_secrets(table_of(odd_rows)).count() == len(odd_rows)
     assert secrets.scan_secrets(table_of([])).count() == 0
