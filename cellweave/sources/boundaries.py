@@ -68,10 +68,10 @@ def read_geojson_regions(spark: SparkSession, path: str, region_field: str = "na
 
 
 def extent(edges: DataFrame) -> DataFrame:
-    """One row: the bounding box of all edges. (Both ends of every edge belong to some edge's start.)"""
+    """One row: the bounding box of all edges, whichever way they run."""
     return edges.agg(
-        F.min("x1").alias("min_lon"),
-        F.max("x1").alias("max_lon"),
-        F.min("y1").alias("min_lat"),
-        F.max("y1").alias("max_lat"),
+        F.min(F.least("x1", "x2")).alias("min_lon"),
+        F.max(F.greatest("x1", "x2")).alias("max_lon"),
+        F.min(F.least("y1", "y2")).alias("min_lat"),
+        F.max(F.greatest("y1", "y2")).alias("max_lat"),
     )

@@ -527,6 +527,45 @@ add(
 
 # clip
 add("point_in_polygon", "SELECT lat, lon FROM v_inside")
+_ON = "((bx1 - ax1) * ({y} - ay1) - (bz1 - ay1) * ({x} - ax1) = 0 AND {x} BETWEEN ax1 AND bx1 AND {y} BETWEEN least(ay1, bz1) AND greatest(ay1, bz1))"
+_DISSOLVED = f"""
+    WITH e AS (
+      SELECT polygon_id AS p, CASE WHEN forth THEN x1 ELSE x2 END AS ax, CASE WHEN forth THEN y1 ELSE y2 END AS ay,
+             CASE WHEN forth THEN x2 ELSE x1 END AS bx, CASE WHEN forth THEN y2 ELSE y1 END AS bz
+      FROM (SELECT *, x1 < x2 OR (x1 = x2 AND y1 < y2) AS forth FROM v_edges)
+    ), s AS (SELECT DISTINCT ax, ay, bx, bz FROM e),
+    pairs AS (
+      SELECT g.ax AS ax1, g.ay AS ay1, g.bx AS bx1, g.bz AS bz1, h.ax AS ax2, h.ay AS ay2, h.bx AS bx2, h.bz AS bz2,
+             (g.bx - g.ax) * (h.ay - g.ay) - (g.bz - g.ay) * (h.ax - g.ax) AS oa, (g.bx - g.ax) * (h.bz - g.ay) - (g.bz - g.ay) * (h.bx - g.ax) AS ob,
+             (h.bx - h.ax) * (g.ay - h.ay) - (h.bz - h.ay) * (g.ax - h.ax) AS ga, (h.bx - h.ax) * (g.bz - h.ay) - (h.bz - h.ay) * (g.bx - h.ax) AS gb,
+             (g.ax, g.ay, g.bx, g.bz) < (h.ax, h.ay, h.bx, h.bz) AS lesser
+      FROM s g, s h WHERE g <> h
+    ), points AS (
+      SELECT ax1, ay1, bx1, bz1, ax2 AS x, ay2 AS y FROM pairs WHERE {_ON.format(x='ax2', y='ay2')}
+      UNION SELECT ax1, ay1, bx1, bz1, bx2, bz2 FROM pairs WHERE {_ON.format(x='bx2', y='bz2')}
+      UNION SELECT ax1, ay1, bx1, bz1, CASE WHEN lesser THEN ax1 + (bx1 - ax1) * (ga / (ga - gb)) ELSE ax2 + (bx2 - ax2) * (oa / (oa - ob)) END,
+                   CASE WHEN lesser THEN ay1 + (bz1 - ay1) * (ga / (ga - gb)) ELSE ay2 + (bz2 - ay2) * (oa / (oa - ob)) END
+            FROM pairs WHERE sign(oa) * sign(ob) < 0 AND sign(ga) * sign(gb) < 0
+      UNION SELECT ax, ay, bx, bz, ax, ay FROM s UNION SELECT ax, ay, bx, bz, bx, bz FROM s
+    ), parts AS (
+      SELECT ax1, ay1, bx1, bz1, x, y, lead(x) OVER w AS qx, lead(y) OVER w AS qy FROM points WINDOW w AS (PARTITION BY ax1, ay1, bx1, bz1 ORDER BY x, y)
+    ), borders AS (
+      SELECT p, x AS ax, y AS ay, qx AS bx, qy AS bz FROM e JOIN parts ON ax = ax1 AND ay = ay1 AND bx = bx1 AND bz = bz1
+      WHERE qx IS NOT NULL GROUP BY ALL HAVING count(*) % 2 = 1
+    ), each AS (SELECT DISTINCT ax, ay, bx, bz, (ax + bx) / 2 AS mx, (ay + bz) / 2 AS my FROM borders),
+    passed AS (
+      SELECT m.ax, m.ay, m.bx, m.bz, f.p, count(*) FILTER (WHERE (f.ax, f.ay, f.bx, f.bz) <> (m.ax, m.ay, m.bx, m.bz)) AS before,
+             bool_or((f.ax, f.ay, f.bx, f.bz) = (m.ax, m.ay, m.bx, m.bz)) AS own
+      FROM each m JOIN borders f ON (f.ax, f.ay, f.bx, f.bz) = (m.ax, m.ay, m.bx, m.bz)
+        OR CASE WHEN m.ay <> m.bz THEN f.ay <> f.bz AND least(f.ay, f.bz) <= m.my AND m.my < greatest(f.ay, f.bz)
+                       AND f.ax + (m.my - f.ay) * (f.bx - f.ax) / (f.bz - f.ay) < m.mx
+                ELSE f.ax <> f.bx AND f.ax <= m.mx AND m.mx < f.bx AND f.ay + (m.mx - f.ax) * (f.bz - f.ay) / (f.bx - f.ax) < m.my END
+      GROUP BY ALL
+    )
+    SELECT ax, ay, bx, bz FROM passed GROUP BY ALL HAVING bool_or(before % 2 = 1) <> bool_or((before % 2 = 1) <> own)"""
+add("dissolved_edges", f"SELECT round(ax, 6) AS x1, round(ay, 6) AS y1, round(bx, 6) AS x2, round(bz, 6) AS y2 FROM ({_DISSOLVED})")
+add("point_in_dissolved", "SELECT lat, lon FROM v_inside")
+
 _IN = f"(lat, {_LON}) IN (SELECT (lat, lon) FROM v_inside)"
 add(
     "clip_mask",

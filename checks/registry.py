@@ -14,7 +14,7 @@ from cellweave.constants import AREAS_OF_INTEREST, DEMO_BOX
 from cellweave.functions import calendar, coords as fc, naming
 from cellweave.functions.reducers import value_state
 from cellweave.operators import aggregate as agg
-from cellweave.operators import availability, axes, catalog, cftime, clip, convert, crop, expand, gridding, search
+from cellweave.operators import availability, axes, catalog, cftime, clip, convert, crop, dissolve, expand, gridding, search
 from cellweave.plans import workflows
 from cellweave.schemas import MANIFEST
 from cellweave.session import scratch_path
@@ -295,6 +295,20 @@ def point_in_polygon(spark, sf_dir):
     return clip.inside_points(points, v.edges(spark, sf_dir))
 
 
+@query
+def dissolved_edges(spark, sf_dir):
+    """The outline of all polygons together."""
+    return dissolve.dissolved_edges(v.edges(spark, sf_dir), load=32).select(
+        *[F.round(c, 6).alias(n) for c, n in zip(dissolve.ENDS, ("x1", "y1", "x2", "y2"))]
+    )
+
+
+@query
+def point_in_dissolved(spark, sf_dir):
+    """The points inside the dissolved region: those inside any polygon."""
+    return clip.inside_points(clip.grid_points(v.cells(spark, sf_dir)), dissolve.dissolve(v.edges(spark, sf_dir)))
+
+
 @query
 def clip_mask(spark, sf_dir):
     cells = v.cells(spark, sf_dir).withColumn("fill_value", F.when(F.col("variable") != "pr", -999.0))

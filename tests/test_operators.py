@@ -12,7 +12,7 @@ from pyspark.sql import Row as gridding_row, functions as F
 from cellweave.constants import DEMO_BOX
 from cellweave.functions.reducers import REDUCERS
 from cellweave.functions import calendar
-from cellweave.operators import aggregate, availability, axes, catalog, clip, convert, crop, expand, gridding, search
+from cellweave.operators import aggregate, availability, axes, catalog, clip, convert, crop, dissolve, expand, gridding, search
 from cellweave.schemas import GRID_VARS, SEARCH_DOC
 from cellweave.sources import boundaries
 
@@ -367,6 +367,63 @@ def test_years_of_five_digits_stay_whole(spark):
     assert got == ["12345-03", "0007-11", "-0005-01"]
 
 
+# --- dissolved regions -------------------------------------------------------------------------
+
+
+def outline(spark, polygons, load=256):
+    return sorted(tuple(r) for r in dissolve.dissolved_edges(edges_of(spark, polygons), load).collect())
+
+
+def box(x0, y0, x1, y1):
+    return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+
+
+@pytest.mark.parametrize("load", [256, 2])
+def test_dissolved_borders(spark, load):
+    shared = outline(spark, [[box(0, 0, 2, 2)], [box(2, 0, 4, 2)]], load)
+    assert (2, 0, 2, 2) not in shared and len(shared) == 6
+    partly = outline(spark, [[box(0, 0, 2, 4)], [box(2, 1, 4, 3)]], load)  # ends on the other's side
+    assert (2, 1, 2, 3) not in partly and {(2, 0, 2, 1), (2, 3, 2, 4)} <= set(partly) and len(partly) == 8
+    assert outline(spark, [[box(0, 0, 9, 9)], [box(2, 2, 4, 4)]], load) == outline(spark, [[box(0, 0, 9, 9)]], load)
+    assert outline(spark, [[box(0, 0, 3, 3)]] * 2, load) == outline(spark, [[box(0, 0, 3, 3)]], load)
+    ring = outline(spark, [[box(0, 0, 9, 9), box(2, 2, 6, 6)], [box(2, 2, 4, 6)]], load)  # a hole half filled
+    assert (4, 2, 4, 6) in ring and (2, 2, 2, 6) not in ring and (4, 2, 6, 2) in ring and (2, 2, 4, 2) not in ring
+    crossed = outline(spark, [[[(0, 0), (4, 0), (2, 4)]], [[(0, 2), (4, 2), (2, -2)]]], load)
+    assert len(crossed) == 6 * 2 and (1, 2, 3, 2) not in crossed and (0, 2, 1, 2) in crossed
+    assert outline(spark, [], load) == []
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_points_in_the_dissolved_region(spark, seed):
+    """Inside the outline is inside any polygon; on shared borders too, on the outline not."""
+    rng = random.Random(seed)
+    polygons = []
+    for _ in range(14):
+        x, y, w, h = rng.randrange(12), rng.randrange(12), rng.randrange(1, 6), rng.randrange(1, 6)
+        polygons.append([box(x, y, x + w, y + h) if rng.random() < 0.6 else [(x, y), (x + 2 * w, y), (x + w, y + h)]])
+    points = [(x / 2, y / 2) for x in range(-2, 48) for y in range(-2, 40)]
+    df = spark.createDataFrame([(float(y), float(x)) for x, y in points], "lat double, lon double")
+    whole = dissolve.dissolve(edges_of(spark, polygons), load=8)
+    got = {tuple(r) for r in clip.inside_points(df, whole).collect()}
+    assert got == {tuple(r) for r in clip.inside_points(df, edges_of(spark, polygons)).collect()}
+
+
+def test_rings_of_a_dissolved_region(spark):
+    stairs = [[box(i, i, i + 2, i + 2)] for i in range(12)]  # one long ring
+    got = dissolve.dissolve(edges_of(spark, [*stairs, [box(100, 0, 103, 3), box(101, 1, 102, 2)]])).collect()
+    rings = [sorted(r["seg"] for r in got if r["ring_id"] == ring) for ring in {r["ring_id"] for r in got}]
+    assert sorted(map(len, rings)) == [4, 4, sum(r["x1"] < 90 for r in got)]
+    assert all(ring == list(range(len(ring))) for ring in rings)
+
+
+def test_a_crowded_tile_is_split(spark):
+    """A thousand short edges in one place, a few long ones elsewhere: no leaf holds much more than the load."""
+    rows = [(k / 1000, 0.0, (k + 1) / 1000, 0.001) for k in range(1000)] + [(10.0 * k, 5.0, 10.0 * k + 9, 6.0) for k in range(100)]
+    boxes = spark.createDataFrame(rows, "x0 double, y0 double, x1 double, y1 double")
+    sizes = [r["count"] for r in dissolve.quadtree(boxes, 20).groupBy("level", "tile_x", "tile_y").count().collect()]
+    assert max(sizes) <= 24 and len(sizes) > 50
+
+
 # --- catalog, search, manifests ----------------------------------------------------------------
 
 
