@@ -88,24 +88,54 @@ def month_chain(start: Column, end: Column) -> Column:
     return F.filter(chain, lambda d: d <= end)
 
 
+# Words of a date text that mean nothing by themselves.
+_FILLERS = ("at", "on", "and", "ad", "m", "t", "of", "st", "nd", "rd", "th")
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+_CLOCK = r"(?i)(?:^|(?<=\d)t|\s+)(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:[.,]\d+)?)?\s*([ap]m)?\s*(?:z|utc|gmt|(?:utc|gmt)?[+-]\d{1,2}(?::?\d{2})?)?\s*$"
+_DIGITS = r"(?i)^\s*(\d{4})(\d{2})(\d{2})(?:[t\s]?(\d{2})(\d{2})(\d{2})?)?\s*z?\s*$"
+
+
+def date_text(text: Column) -> Column:
+    """The time that a date text names, without a zone; NULL if it names none.
+
+    A text is a date and perhaps a clock time with an offset, which is not applied. The date's words and
+    numbers are read by what they are: a month's name, fillers and weekdays, a number of four digits
+    as the year; without a name the month comes before the day, unless it is above 12. Eight, twelve or
+    fourteen digits alone are year, month, day and so on.
+    """
+    names = {short: k + 1 for k, m in enumerate(_MONTHS) for short in (m, m[:3])} | {"sept": 9}
+    month_of = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    idle = [*_FILLERS, *_WEEKDAYS, *[w[:3] for w in _WEEKDAYS]]
+
+    def clock(i: int) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(text, _CLOCK, i), F.lit("")).cast("int"), F.lit(0))
+
+    def digits(i: int) -> Column:
+        return F.nullif(F.regexp_extract(text, _DIGITS, i), F.lit("")).cast("int")
+
+    day = F.regexp_replace(text, _CLOCK, "")
+    words = F.filter(F.regexp_extract_all(F.lower(day), F.lit("([a-z]+)"), F.lit(1)), lambda w: ~w.isin(idle))
+    numbers = F.regexp_extract_all(day, F.lit(r"(\d+)"), F.lit(1))
+    number = lambda k: F.get(numbers, F.lit(k)).cast("int")
+    size = lambda k: F.length(F.get(numbers, F.lit(k)))
+    month = F.try_element_at(month_of, F.get(words, F.lit(0)))
+    named = (F.size(words) == 1) & (F.size(numbers) == 2)
+    plain = (F.size(words) == 0) & (F.size(numbers) == 3)
+    first = size(0) == 4
+    one, two = F.when(first, number(1)).otherwise(number(0)), F.when(first, number(2)).otherwise(number(1))
+    year = F.when(named, F.when(first, number(0)).when(size(1) == 4, number(1))).when(plain, F.when(first, number(0)).when(size(2) == 4, number(2)))
+    months = F.when(named, month).otherwise(F.when(one > 12, two).otherwise(one))
+    days = F.when(named, F.when(first, number(1)).otherwise(number(0))).otherwise(F.when(one > 12, one).otherwise(two))
+    half = F.lower(F.regexp_extract(text, _CLOCK, 4))
+    hour = F.when(half == "pm", clock(1) % 12 + 12).when(half == "am", clock(1) % 12).otherwise(clock(1))
+    readable = day.rlike(r"^[0-9A-Za-z\s,.;/'-]*$") & text.isNotNull()
+    spelled = F.when(readable, F.try_make_timestamp_ntz(year, months, days, hour, clock(2), clock(3)))
+    zero = lambda i: F.coalesce(digits(i), F.lit(0))
+    compact = F.try_make_timestamp_ntz(digits(1), digits(2), digits(3), zero(4), zero(5), zero(6))
+    return F.coalesce(F.when(text.rlike(_DIGITS), compact), spelled)
+
+
 def iso_utc(text: Column) -> Column:
-    """Date text as ``YYYY-MM-DDTHH:MM:SSZ``; text that is no date comes back as it is."""
-    parsed = F.coalesce(
-        *[
-            F.try_to_timestamp(text, F.lit(fmt))
-            for fmt in (
-                "yyyy-MM-dd",
-                "yyyy-MM-dd HH:mm:ss",
-                "yyyy-MM-dd'T'HH:mm:ss",
-                "yyyy-MM-dd'T'HH:mm:ss'Z'",
-                "yyyy/MM/dd",
-                "yyyyMMdd",
-                "MM/dd/yyyy",
-                "d MMM yyyy",
-                "MMM d, yyyy",
-                "d MMMM yyyy",
-                "MMMM d, yyyy",
-            )
-        ]
-    )
-    return F.coalesce(F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss'Z'"), text)
+    """Date text as ``YYYY-MM-DDTHH:MM:SSZ``, the clock as written; text that is no date comes back as it is."""
+    return F.coalesce(F.date_format(date_text(text), "yyyy-MM-dd'T'HH:mm:ss'Z'"), text)

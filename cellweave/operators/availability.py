@@ -94,7 +94,12 @@ def usgs_keys(tiles: DataFrame, listing: DataFrame) -> DataFrame:
 
 def verify_checksums(manifest: DataFrame, bodies: DataFrame, key: str) -> DataFrame:
     """Manifest rows with ``ok``. Bodies are hashed where they are read: only digests are shuffled."""
-    digests = bodies.select(key, F.md5("content").alias("_md5"), F.sha2("content", 256).alias("_sha256"))
+    return verify_digests(manifest, bodies.select(key, F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256")), key)
+
+
+def verify_digests(manifest: DataFrame, digests: DataFrame, key: str) -> DataFrame:
+    """Manifest rows with ``ok``, by ``md5`` and ``sha256`` of each file (``body_digests``); an unreadable or missing file is not ok."""
+    digests = digests.select(key, F.col("md5").alias("_md5"), F.col("sha256").alias("_sha256"))
     kind = F.lower(F.coalesce("checksum_type", F.lit("sha256")))
     digest = F.when(kind == "md5", F.col("_md5")).otherwise(F.col("_sha256"))
     ok = F.when(F.coalesce("checksum", F.lit("")) == "", True).otherwise(

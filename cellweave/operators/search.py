@@ -189,3 +189,50 @@ def granule_search(
     if flight_direction:
         granules = granules.where(F.col("flight_direction") == flight_direction)
     return granules
+
+
+def page_spans(pages: DataFrame) -> DataFrame:
+    """(node, query, start, found, until) of saved pages: ``node``, ``query`` and the ``page`` text.
+
+    ``found`` is the number of documents that the page says there are, ``until`` where its own documents end.
+    """
+    parsed = pages.select("node", "query", F.from_json("page", "response struct<numFound:long,start:long,docs:array<string>>")["response"].alias("r"))
+    start = F.coalesce("r.start", F.lit(0).cast("long"))
+    held = F.greatest(F.coalesce(F.size("r.docs"), F.lit(0)), F.lit(0))
+    return parsed.select("node", "query", start.alias("start"), F.coalesce("r.numFound", F.lit(0).cast("long")).alias("found"), (start + held).alias("until"))
+
+
+def search_gaps(pages: DataFrame) -> DataFrame:
+    """What pages of a search miss or hold twice: (node, query, kind, first, last), positions from 0, inclusive.
+
+    A lost page, a short page and a missing end are all ``missing``; documents that an earlier page has as
+    well are ``repeated``. A search ends at the largest number of documents any of its pages says. Pages are
+    put in order per node and query, one row each, so a search of any length is one sorted scan.
+    """
+    spans = page_spans(pages)
+    ends = spans.groupBy("node", "query").agg(F.max("found").alias("found"))
+    end = ends.select("node", "query", F.col("found").alias("start"), F.col("found").alias("until"), F.lit(True).alias("is_end"))
+    rows = spans.select("node", "query", "start", "until", F.lit(False).alias("is_end")).unionByName(end)
+    before = Window.partitionBy("node", "query").orderBy("start", "is_end", "until").rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumn("covered", F.coalesce(F.max("until").over(before), F.lit(0).cast("long")))
+    missing = F.when(F.col("start") > F.col("covered"), F.struct(F.lit("missing").alias("kind"), F.col("covered").alias("first"), (F.col("start") - 1).alias("last")))
+    shared = F.least("covered", "until")
+    repeated = F.when(
+        ~F.col("is_end") & (shared > F.col("start")), F.struct(F.lit("repeated").alias("kind"), F.col("start").alias("first"), (shared - 1).alias("last"))
+    )
+    return seen.select("node", "query", F.explode(F.array_compact(F.array(missing, repeated))).alias("g")).select("node", "query", "g.*")
+
+
+def search_status(pages: DataFrame) -> DataFrame:
+    """(node, query, found, missing, repeated, complete) of each search."""
+    gaps = search_gaps(pages).withColumn("n", F.col("last") - F.col("first") + 1)
+    sums = gaps.groupBy("node", "query").agg(
+        F.sum(F.when(F.col("kind") == "missing", F.col("n")).otherwise(0)).alias("missing"),
+        F.sum(F.when(F.col("kind") == "repeated", F.col("n")).otherwise(0)).alias("repeated"),
+    )
+    every = page_spans(pages).groupBy("node", "query").agg(F.max("found").alias("found")).join(sums, ["node", "query"], "left")
+    zero = F.lit(0).cast("long")
+    return every.select(
+        "node", "query", "found", F.coalesce("missing", zero).alias("missing"), F.coalesce("repeated", zero).alias("repeated"),
+        (F.coalesce("missing", zero) == 0).alias("complete"),
+    )

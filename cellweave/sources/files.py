@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -34,6 +38,43 @@ def read_bodies(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame
     )
 
 
+#: Bytes of a body that a task holds at once.
+BLOCK = 8 << 20
+
+
+def body_digests(spark: SparkSession, root: str, pattern: str = "*", block: int = BLOCK) -> DataFrame:
+    """``name, path, length, md5, sha256, error`` of every matching file, read block by block in the tasks.
+
+    Bodies of any size are hashed in bounded memory; one that can't be read gives a row with its error and
+    does not stop the others. Only the listing is Spark's: bodies are streamed by Arrow's file systems (local
+    and mounted folders, HDFS, object stores). :func:`read_bodies` reads through Spark alone, below 2 GB.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    paths = listed.select(last_segment(F.col("path")).alias("name"), "path", "length")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                md5, sha256, error = hashlib.md5(), hashlib.sha256(), None
+                try:
+                    # Spark writes a local path as file:/..., Arrow wants two slashes more.
+                    system, at = fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and path[5:7] != "//" else path)
+                    with system.open_input_stream(at, compression=None) as stream:
+                        while part := stream.read(block):
+                            md5.update(part)
+                            sha256.update(part)
+                except Exception as e:  # noqa: BLE001 - one file's failure is its row
+                    error = f"{type(e).__name__}: {e}"
+                rows.append((None, None, error) if error else (md5.hexdigest(), sha256.hexdigest(), None))
+            found = [pa.array([r[k] for r in rows], pa.string()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], ["name", "path", "length", "md5", "sha256", "error"])
+
+    return paths.mapInArrow(digests, "name string, path string, length long, md5 string, sha256 string, error string")
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """The cell table; with a filter on ``variable`` only that variable's folders are listed."""
     return spark.read.parquet(path)

@@ -823,13 +823,39 @@ add(
 )
 add(
     "date_normalize",
-    """SELECT o_orderkey AS row_key,
-              CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
-                   WHEN 2 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 3 THEN strftime(o_orderdate, '%Y%m%d')
-                   ELSE 'about ' || year(o_orderdate) END AS raw,
-              CASE o_orderkey % 5 WHEN 4 THEN 'about ' || year(o_orderdate)
-                   ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS normalized
-       FROM orders""",
+    """SELECT k AS row_key, raw, CASE WHEN k % 12 = 11 THEN raw ELSE strftime(CASE WHEN k % 12 IN (1, 5, 6, 7, 8) THEN t ELSE date_trunc('day', t) END, '%Y-%m-%dT%H:%M:%SZ') END AS normalized
+       FROM (SELECT k, t, CASE k % 12 WHEN 0 THEN strftime(t, '%Y-%m-%d') WHEN 1 THEN strftime(t, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(t, '%Y/%m/%d')
+                            WHEN 3 THEN strftime(t, '%Y%m%d') WHEN 4 THEN year(t) || '-' || month(t) || '-' || day(t) WHEN 5 THEN strftime(t, '%Y-%m-%dT%H:%M') || ':00+02:00'
+                            WHEN 6 THEN day(t) || ' ' || strftime(t, '%B %Y %H:%M') WHEN 7 THEN strftime(t, '%b ') || day(t) || strftime(t, ', %Y %I:%M %p')
+                            WHEN 8 THEN strftime(t, '%Y%m%dT%H%M%S') WHEN 9 THEN strftime(t, '%a ') || day(t) || 'th of ' || strftime(t, '%b %Y')
+                            WHEN 10 THEN strftime(t, '%m/%d/%Y') ELSE 'about ' || year(t) END AS raw
+             FROM (SELECT o_orderkey AS k, CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS INTEGER)) + to_minutes(CAST(o_orderkey % 60 AS INTEGER)) AS t FROM orders))""",
+)
+
+_PAGES = """
+    SELECT ['DKRZ', 'CEDA', 'LLNL', 'IPSL', 'NCI'][k % 5 + 1] AS node, 'q' || (k // 5 % 7) AS query, (k // 35) * 100 AS start, (max(k) OVER () // 35) * 100 + 70 AS found,
+           (k // 35) * 100 + CASE WHEN k % 29 = 0 THEN 130 WHEN k % 31 = 0 THEN 60 ELSE 100 END AS until
+    FROM (SELECT o_orderkey AS k FROM orders) QUALIFY k % 23 <> 0"""
+_GAPS = f"""
+    SELECT node, query, kind, first, last FROM (
+      WITH p AS ({_PAGES}), r AS (
+        SELECT node, query, start, until, false AS is_end FROM p UNION ALL SELECT node, query, max(found), max(found), true FROM p GROUP BY node, query
+      ), s AS (
+        SELECT *, coalesce(max(until) OVER (PARTITION BY node, query ORDER BY start, is_end, until ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS covered FROM r
+      )
+      SELECT node, query, 'missing' AS kind, covered AS first, start - 1 AS last FROM s WHERE start > covered
+      UNION ALL SELECT node, query, 'repeated', start, least(covered, until) - 1 FROM s WHERE NOT is_end AND least(covered, until) > start)"""
+add("search_gaps", _GAPS)
+add(
+    "search_status",
+    f"""SELECT node, query, found, coalesce(missing, 0) AS missing, coalesce(repeated, 0) AS repeated, coalesce(missing, 0) = 0 AS complete
+        FROM (SELECT node, query, max(found) AS found FROM ({_PAGES}) GROUP BY ALL)
+        LEFT JOIN (SELECT node, query, CAST(sum(CASE kind WHEN 'missing' THEN last - first + 1 ELSE 0 END) AS BIGINT) AS missing,
+                          CAST(sum(CASE kind WHEN 'repeated' THEN last - first + 1 ELSE 0 END) AS BIGINT) AS repeated FROM ({_GAPS}) GROUP BY ALL) USING (node, query)""",
+)
+add(
+    "verify_checksum_blocks",
+    """SELECT 'body_' || g AS title, g % 5 = 0 OR (g % 3 <> 0 AND g % 7 <> 0) AS ok FROM (SELECT DISTINCT doc_id % 40 AS g FROM documents)""",
 )
 
 # catalog

@@ -99,6 +99,17 @@ def _saved_pages(spark, sf_dir):
     return src.read_search_pages(spark, path)
 
 
+@query
+def search_gaps(spark, sf_dir):
+    """Lost, short and overlapping pages per node and query."""
+    return search.search_gaps(v.search_pages(spark, sf_dir))
+
+
+@query
+def search_status(spark, sf_dir):
+    return search.search_status(v.search_pages(spark, sf_dir))
+
+
 @query
 def search_docs(spark, sf_dir):
     return _saved_pages(spark, sf_dir).select(
@@ -542,15 +553,16 @@ def cf_encode_time(spark, sf_dir):
 
 @query
 def date_normalize(spark, sf_dir):
-    d = F.col("o_orderdate")
+    """Twelve ways to write a day or a time; one of them is none."""
     k = F.col("o_orderkey")
-    text = (
-        F.when(k % 5 == 0, F.date_format(d, "yyyy-MM-dd"))
-        .when(k % 5 == 1, F.date_format(d, "yyyy-MM-dd HH:mm:ss"))
-        .when(k % 5 == 2, F.date_format(d, "yyyy/MM/dd"))
-        .when(k % 5 == 3, F.date_format(d, "yyyyMMdd"))
-        .otherwise(F.concat(F.lit("about "), F.date_format(d, "yyyy")))
-    )
+    t = F.timestamp_add("MINUTE", k % 24 * 60 + k % 60, F.col("o_orderdate").cast("timestamp_ntz"))
+    shown = lambda pattern: F.date_format(t, pattern)
+    ways = [
+        shown("yyyy-MM-dd"), shown("yyyy-MM-dd HH:mm:ss"), shown("yyyy/MM/dd"), shown("yyyyMMdd"), shown("yyyy-M-d"),
+        F.concat(shown("yyyy-MM-dd'T'HH:mm"), F.lit(":00+02:00")), shown("d MMMM yyyy HH:mm"), shown("MMM d, yyyy hh:mm a"),
+        shown("yyyyMMdd'T'HHmmss"), shown("E d'th of' MMM yyyy"), shown("MM/dd/yyyy"), F.concat(F.lit("about "), shown("yyyy")),
+    ]
+    text = F.element_at(F.array(*ways), (k % 12 + 1).cast("int"))
     return v.table(spark, sf_dir, "orders").select(k.alias("row_key"), text.alias("raw")).withColumn(
         "normalized", calendar.iso_utc(F.col("raw"))
     )
@@ -709,6 +721,15 @@ def verify_checksum(spark, sf_dir):
     return availability.verify_checksums(v.checksums(spark, sf_dir), v.bodies(spark, sf_dir), "title").select("title", "ok")
 
 
+@query
+def verify_checksum_blocks(spark, sf_dir):
+    """Digests of written files, read a few hundred bytes at a time."""
+    root = scratch_path(spark, "bodies")
+    expected = v.written_bodies(spark, sf_dir, root)
+    digests = src.body_digests(spark, root, "*.txt", block=300).withColumn("title", F.regexp_extract("path", "title=([^/]+)", 1))
+    return availability.verify_digests(expected, digests, "title").select("title", "ok")
+
+
 @query
 def retry_set(spark, sf_dir):
     manifest = v.checksums(spark, sf_dir)

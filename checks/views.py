@@ -353,6 +353,38 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def written_bodies(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """Forty bodies made of the documents, written as files; expected digests, some wrong, some missing."""
+    g = F.col("doc_id") % 40
+    body = F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), "-")
+    files = table(spark, sf_dir, "documents").groupBy(g.alias("g")).agg(body.alias("value"))
+    title = F.concat(F.lit("body_"), F.col("g").cast("string")).alias("title")
+    files.select(title, "value").write.partitionBy("title").option("lineSep", "#").text(root)
+    written = F.concat("value", F.lit("#"))
+    right = F.when(F.col("g") % 2 == 0, F.md5(written)).otherwise(F.sha2(written, 256))
+    wrong = (F.col("g") % 3 == 0) | (F.col("g") % 7 == 0)
+    return files.select(
+        title,
+        F.when(F.col("g") % 5 == 0, "").when(wrong, F.reverse(right)).otherwise(right).alias("checksum"),
+        F.when(F.col("g") % 2 == 0, "MD5").otherwise("sha256").alias("checksum_type"),
+    )
+
+
+def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a hundred documents from five nodes and seven queries: some lost, some short, some overlapping."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    last = orders.agg(F.max(whole(k, 35)).alias("last")).scalar()
+    held = F.when(k % 29 == 0, 130).when(k % 31 == 0, 60).otherwise(100)
+    page = F.concat(
+        F.lit('{"response": {"numFound": '), (last * 100 + 70).cast("string"), F.lit(', "start": '), (whole(k, 35) * 100).cast("string"),
+        F.lit(', "docs": ['), F.array_join(F.array_repeat(F.lit("{}"), held), ","), F.lit("]}}"),
+    )
+    return orders.where(k % 23 != 0).select(
+        pick(["DKRZ", "CEDA", "LLNL", "IPSL", "NCI"], k % 5).alias("node"), F.concat(F.lit("q"), (whole(k, 5) % 7).cast("string")).alias("query"), page.alias("page")
+    )
+
+
 def cf_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber") % 4
     return table(spark, sf_dir, "lineitem").select(

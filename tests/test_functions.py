@@ -84,10 +84,28 @@ def test_month_chain_stays_clamped(spark):
         ("5 Jan 2024", "2024-01-05T00:00:00Z"),
         ("January 5, 2024", "2024-01-05T00:00:00Z"),
         ("soon", "soon"),
+        ("2024-01-05T10:00", "2024-01-05T10:00:00Z"),
+        ("2024-1-5", "2024-01-05T00:00:00Z"),
+        ("2024-01-05T10:00:00+02:00", "2024-01-05T10:00:00Z"),
+        ("2024-01-05T10:00:00.250Z", "2024-01-05T10:00:00Z"),
+        ("5 January 2024 10:00", "2024-01-05T10:00:00Z"),
+        ("Jan 5 2024", "2024-01-05T00:00:00Z"),
+        ("Friday, 5th of Jan. 2024 at 9:07 pm UTC", "2024-01-05T21:07:00Z"),
+        ("2024 Jan 5 12:30 am", "2024-01-05T00:30:00Z"),
+        ("20240105T102030", "2024-01-05T10:20:30Z"),
+        ("202401051020", "2024-01-05T10:20:00Z"),
+        ("13/01/2024", "2024-01-13T00:00:00Z"),
+        ("01/13/2024 -0500", "01/13/2024 -0500"),
+        ("2024-02-30", "2024-02-30"),
+        ("Janus 5 2024", "Janus 5 2024"),
+        ("5 Jan 2024 25:00", "5 Jan 2024 25:00"),
+        ("1 2 3 2024", "1 2 3 2024"),
+        ("", ""),
+        (None, None),
     ],
 )
 def test_iso_utc(spark, raw, want):
-    assert one(spark, cal.iso_utc(F.lit(raw))) == want
+    assert one(spark, cal.iso_utc(F.lit(raw).cast("string"))) == want
 
 
 @pytest.mark.parametrize(

@@ -1,5 +1,6 @@
 """Readers and writers on temporary folders, workflows, and the operators on a stream."""
 
+import hashlib
 import json
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cellweave import session
 from cellweave.constants import DEMO_BOX
-from cellweave.operators import catalog, clip, convert, crop
+from cellweave.operators import availability, catalog, clip, convert, crop, search
 from cellweave.plans import workflows
 from cellweave.schemas import GRID_CELLS
 from cellweave.sources import boundaries, files, sinks
@@ -152,3 +153,45 @@ def test_stream_equals_batch(spark, cells, tmp_path):
     got = spark.read.schema(GRID_CELLS).parquet(out).select(cells.columns)
     want = steps(cells)
     assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_digests_of_bodies_read_in_blocks(spark, tmp_path):
+    bodies = {"a.nc": b"x" * 10_007, "b.nc": b"", "c.nc": bytes(range(256)) * 64, "d.nc": b"locked"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    listed = files.body_digests(spark, str(tmp_path), "*.nc", block=64)
+    lost = spark.read.format("binaryFile").load(str(tmp_path / "d.nc")).count()
+    got = {r["name"]: r for r in listed.collect()}
+    for name in ("a.nc", "c.nc", "d.nc"):
+        assert (got[name]["md5"], got[name]["sha256"], got[name]["error"]) == (hashlib.md5(bodies[name]).hexdigest(), hashlib.sha256(bodies[name]).hexdigest(), None)
+    assert lost == 1
+    expected = spark.createDataFrame([("a.nc", got["a.nc"]["md5"], "MD5"), ("c.nc", "0", None), ("d.nc", None, None), ("e.nc", "1", None)], "name string, checksum string, checksum_type string")
+    assert {r["name"]: r["ok"] for r in availability.verify_digests(expected, listed, "name").collect()} == {"a.nc": True, "c.nc": False, "d.nc": True, "e.nc": False}
+
+
+def test_an_unreadable_body_is_a_row(spark, tmp_path):
+    for name in ("a.nc", "b.nc"):
+        (tmp_path / name).write_bytes(b"body")
+    listed = files.body_digests(spark, str(tmp_path), "*.nc")
+    rows = listed.collect()
+    assert len(rows) == 2
+    (tmp_path / "b.nc").unlink()
+    (tmp_path / "b.nc").mkdir()  # there when listed, no file when read
+    got = {r["name"]: r for r in listed.collect()}
+    assert got["a.nc"]["error"] is None
+    assert "b.nc" not in got or got["b.nc"]["error"] is not None
+
+
+def test_search_gaps(spark):
+    def page(start, held, found):
+        return json.dumps({"response": {"numFound": found, "start": start, "docs": [{}] * held}})
+
+    rows = [("n", "whole", page(0, 10, 25)), ("n", "whole", page(10, 10, 25)), ("n", "whole", page(20, 5, 25)), ("n", "none", page(0, 0, 0)),
+            ("n", "lost", page(20, 10, 45)), ("n", "lost", page(0, 10, 45)), ("n", "lost", page(25, 10, 45)), ("n", "lost", page(25, 10, 45)),
+            ("m", "lost", page(0, 3, 10)), ("m", "odd", "not json")]
+    pages = spark.createDataFrame(rows, "node string, query string, page string")
+    got = sorted(tuple(r) for r in search.search_gaps(pages).collect())
+    assert got == [("m", "lost", "missing", 3, 9), ("n", "lost", "missing", 10, 19), ("n", "lost", "missing", 35, 44),
+                   ("n", "lost", "repeated", 25, 29), ("n", "lost", "repeated", 25, 34)]
+    status = {(r["node"], r["query"]): (r["found"], r["missing"], r["repeated"], r["complete"]) for r in search.search_status(pages).collect()}
+    assert status == {("n", "whole"): (25, 0, 0, True), ("n", "none"): (0, 0, 0, True), ("n", "lost"): (45, 20, 15, False), ("m", "lost"): (10, 7, 0, False), ("m", "odd"): (0, 0, 0, True)}
