@@ -67,6 +67,28 @@ def equal_area_y(lat: Column) -> Column:
     return q * (WGS84_A / (2 * _K0))
 
 
+def metres_to_lon(metres: float) -> float:
+    """Degrees of longitude of a distance east, as a number."""
+    return math.degrees(metres / (WGS84_A * _K0))
+
+
+def lat_to_metres(lat: float) -> float:
+    """:func:`equal_area_y` of a number."""
+    s = math.sin(math.radians(lat))
+    es = s * _ECC
+    q = (1 - _ECC**2) * (s / (1 - es * es) - math.log((1 - es) / (1 + es)) / (2 * _ECC))
+    return q * WGS84_A / (2 * _K0)
+
+
+def lat_of_metres(y: float) -> float:
+    """The latitude at so many equal-area metres north, by halving; beyond a pole, the pole."""
+    low, high = -90.0, 90.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if lat_to_metres(middle) < y else (low, middle)
+    return low if y < 0 else high
+
+
 def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Distance from a point to the closed segment, in the units of the inputs."""
     dx, dy = x2 - x1, y2 - y1

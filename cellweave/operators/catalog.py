@@ -5,16 +5,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from cellweave.constants import CATALOG_ATTRS, REQUIRED_ATTRS
 from cellweave.functions.naming import base_filename, is_plain
 
 
-def file_attributes(files: DataFrame) -> DataFrame:
-    """The five catalog attributes as columns; absent ones and those of unreadable files are NULL."""
+def file_attributes(files: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """The five catalog attributes as columns, beside ``more``; absent ones and those of unreadable files are NULL."""
     readable = F.col("error").isNull()
     return files.select(
+        *more,
         "file_id",
         "name",
         *[F.when(readable, F.try_element_at("attrs", F.lit(a))).alias(a) for a in CATALOG_ATTRS],
@@ -124,3 +125,21 @@ def summary(files: DataFrame) -> DataFrame:
         F.lit("duplicate").alias("status"), "files"
     )
     return judged.groupBy("status").agg(F.count("*").alias("files")).unionByName(copies)
+
+
+def write_catalog_counted(files: DataFrame, path: str) -> dict[str, int]:
+    """Write the flat list of included files and return the counts of the run: included, skipped, duplicate.
+
+    The counts are taken from the rows on their way to the files, so the files are read and resolved once.
+    """
+    counts = Observation("catalog-run")
+    judged = missing_attributes(file_attributes(deduplicate(files), more=("copies",)))
+    fine = F.col("error").isNull() & (F.col("missing") == "")
+    seen = judged.observe(
+        counts,
+        F.count_if(fine).alias("included"),
+        F.count_if(~fine).alias("skipped"),
+        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate"),
+    )
+    seen.where(fine).drop("copies", "missing", "error").write.parquet(path)
+    return counts.get

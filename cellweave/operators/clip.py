@@ -15,7 +15,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cellweave.functions.coords import equal_area_x, equal_area_y, normalize_lon, segment_distance
+from cellweave.functions.coords import (
+    equal_area_x,
+    equal_area_y,
+    lat_in_box,
+    lat_of_metres,
+    lat_to_metres,
+    lon_near_box,
+    metres_to_lon,
+    normalize_lon,
+    segment_distance,
+)
 from cellweave.session import stage as stage_table
 from cellweave.sources.boundaries import extent
 
@@ -234,6 +244,26 @@ def covered_points(points: DataFrame, edges: DataFrame, buffer_km: float = 0.0)
     return inside.unionByName(near_points(points, edges, buffer_km)).distinct()
 
 
+def grown_extent(edges: DataFrame, buffer_km: float = 0.0) -> dict | None:
+    """The bounding box of the edges, grown by the buffer in equal-area metres; nothing without edges."""
+    box = extent(edges).first().asDict()
+    if box["min_lat"] is None:
+        return None
+    if buffer_km > 0:
+        reach = buffer_km * 1000.0 * (1 + 1e-9)
+        for side, sign in (("min", -1), ("max", 1)):
+            box[f"{side}_lon"] += sign * metres_to_lon(reach)
+            box[f"{side}_lat"] = lat_of_metres(lat_to_metres(box[f"{side}_lat"]) + sign * reach)
+    return box
+
+
+def points_in_reach(cells: DataFrame, box: dict | None) -> DataFrame:
+    """The distinct points of a cube inside a box. The box is made of literals, so the reader skips what lies outside."""
+    if box is None:
+        return grid_points(cells).limit(0)
+    return grid_points(cells.where(lat_in_box(F.col("lat"), box)).where(lon_near_box(F.col("lon"), box)))
+
+
 def region_mask(cells: DataFrame, edges: DataFrame, buffer_km: float = 0.0, points: DataFrame | None = None) -> DataFrame:
     """The covered points of a cube, computed once and written to the shared scratch folder.
 
@@ -244,19 +274,21 @@ def region_mask(cells: DataFrame, edges: DataFrame, buffer_km: float = 0.0, poin
     # Staged as well: points and edges are read several times below, the cube and the boundary texts
     # should be read once.
     edges = stage_table(edges, "edges")
-    points = stage_table(grid_points(cells), "points") if points is None else points
+    points = stage_table(points_in_reach(cells, grown_extent(edges, buffer_km)), "points") if points is None else points
     return stage_table(covered_points(points, edges, buffer_km), "mask")
 
 
 def clip_filter(cells: DataFrame, mask: DataFrame) -> DataFrame:
     """Only the rows whose grid point is in the mask.
 
-    The mask's range of latitudes is a filter on the stored column, so the reader skips what lies
-    outside it; a point of the mask has a latitude of the cube, unchanged.
+    The mask's ranges are filters on the stored columns, so the reader skips what lies outside them; a point
+    of the mask has a latitude of the cube, unchanged, and a longitude on -180..180.
     """
     m = mask.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    span = mask.agg(F.min("lat").alias("low"), F.max("lat").alias("high"))
-    cells = cells.where((F.col("lat") >= span.select("low").scalar()) & (F.col("lat") <= span.select("high").scalar()))
+    span = mask.agg(F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"), F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon")).first()
+    if span["min_lat"] is None:
+        return cells.limit(0)
+    cells = cells.where(lat_in_box(F.col("lat"), span.asDict())).where(lon_near_box(F.col("lon"), span.asDict()))
     return cells.join(m, (F.col("lat") == F.col("_lat")) & (normalize_lon(F.col("lon")) == F.col("_lon")), "left_semi")
 
 

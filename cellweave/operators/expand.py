@@ -18,6 +18,7 @@ from cellweave.constants import (
     USGS_REGION,
 )
 from cellweave.functions.calendar import month_chain
+from cellweave.functions.naming import split_list
 from cellweave.functions.naming import (
     copernicus_lat,
     copernicus_lon,
@@ -83,6 +84,11 @@ def era5_expand(requests: DataFrame) -> DataFrame:
     )
 
 
+def era5_requests(requests: DataFrame) -> DataFrame:
+    """Requests with a comma list of ``variables`` as one request per ``variable``; empty entries drop out."""
+    return requests.withColumn("variable", F.explode(split_list(F.col("variables")))).drop("variables")
+
+
 def era5_unknown(requests: DataFrame) -> DataFrame:
     """Requests whose variable is not in the map."""
     code = era5_code(F.col("variable"))

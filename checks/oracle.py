@@ -374,8 +374,19 @@ add(
 add(
     "era5_list_variables",
     """SELECT code, CASE WHEN count(*) > 1 THEN '[Composite] ' ELSE '' END || string_agg(descr, ' & ' ORDER BY part) AS description,
-              string_agg(file_code, ' + ' ORDER BY part) AS file_code
-       FROM v_era5 WHERE code IN (SELECT code FROM v_era5_requests) GROUP BY code""",
+              string_agg(file_code, ' + ' ORDER BY part) AS file_code, any_value(requests) AS requests
+       FROM v_era5 JOIN (SELECT lower(code) AS code, count(*) AS requests FROM v_era5_requests GROUP BY 1) USING (code) GROUP BY code""",
+)
+add(
+    "run_summary_written",
+    """SELECT CASE WHEN error IS NULL AND variant_label <> '' THEN 'included' ELSE 'skipped' END AS status, count(*) AS files FROM v_kept GROUP BY 1
+       UNION ALL SELECT 'duplicate', count(*) FROM v_ranked_files WHERE rn > 1
+       UNION ALL SELECT 'written', count(*) FROM v_kept WHERE error IS NULL AND variant_label <> ''""",
+)
+add(
+    "grid_sink",
+    f"""SELECT file_id, variable, {_TIME}, lat, lon, {_STATE}, {_value()},
+               CASE WHEN file_id = 'file_0' THEN '' ELSE 'run' || right(file_id, 1) || '/' END || file_id || '.v1_cropped.nc' AS output FROM v_cells""",
 )
 
 # cells of raw arrays, computed without axes
@@ -973,6 +984,14 @@ add("retry_set", "SELECT title, size_bytes FROM v_verified WHERE NOT ok")
 
 # expected files
 add("era5_expand", "SELECT * FROM v_era5_expected")
+_CODES = ERA5_CODES + UNKNOWN_CODES
+add(
+    "era5_expand_list",
+    f"""SELECT * FROM v_era5_expected UNION ALL
+        SELECT request_id, code, part, descr, CAST(year(m) AS INTEGER), CAST(month(m) AS INTEGER), folder || '/' || strftime(m, '%Y%m') || '/' || folder || '.' || file_code || '.'
+        FROM (SELECT request_id, v.*, unnest(generate_series(date_trunc('month', start_day), CAST(end_day AS TIMESTAMP), INTERVAL 1 MONTH)) AS m
+              FROM v_era5_requests r JOIN v_era5 v ON lower({_list(_CODES)}[(request_id + 3) % {len(_CODES)} + 1]) = v.code)""",
+)
 add("era5_unknown", "SELECT request_id, code FROM v_era5_requests WHERE code NOT IN (SELECT code FROM v_era5)")
 add("prism_expand", "SELECT * FROM v_prism")
 add(

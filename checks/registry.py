@@ -193,10 +193,30 @@ def run_summary(spark, sf_dir):
     return catalog.summary(v.files(spark, sf_dir)).unionByName(crop_rows)
 
 
+@query
+def run_summary_written(spark, sf_dir):
+    """Counts taken while the catalog is written, beside the rows that were."""
+    path = scratch_path(spark, "flat-catalog")
+    counts = catalog.write_catalog_counted(v.files(spark, sf_dir), path)
+    seen = spark.createDataFrame(sorted(counts.items()), "status string, files long")
+    return seen.unionByName(spark.read.parquet(path).select(F.lit("written").alias("status")).groupBy("status").agg(F.count("*").alias("files")))
+
+
+@query
+def grid_sink(spark, sf_dir):
+    """Cells written by output file, in the input's folder, and read back."""
+    cells, path = v.cells(spark, sf_dir), scratch_path(spark, "grids")
+    number = F.regexp_extract("file_id", r"(\d+)$", 1)
+    files = cells.select("file_id").distinct().select("file_id", F.concat("file_id", F.lit(".v1.nc")).alias("name"), F.when(number != "0", F.concat(F.lit("run"), number)).otherwise("").alias("rel_dir"))
+    sinks.write_grids(cells, files, path, "cropped")
+    return _out(spark.read.parquet(path).withColumn("time", _text(F.col("time"))))
+
+
 @query
 def era5_list_variables(spark, sf_dir):
-    wanted = v.era5_requests(spark, sf_dir).select(expand.era5_code(F.col("variable")).alias("code")).distinct()
-    return expand.era5_listing(expand.era5_variables(spark)).join(wanted, "code", "left_semi")
+    """The variables that are asked for, described, and how often."""
+    asked = v.era5_requests(spark, sf_dir).groupBy(expand.era5_code(F.col("variable")).alias("code")).agg(F.count("*").alias("requests"))
+    return expand.era5_listing(expand.era5_variables(spark)).join(asked, "code")
 
 
 # --- coordinates and crop ----------------------------------------------------------------------
@@ -745,6 +765,12 @@ def era5_expand(spark, sf_dir):
     return expand.era5_expand(v.era5_requests(spark, sf_dir)).drop("bucket")
 
 
+@query
+def era5_expand_list(spark, sf_dir):
+    """Requests that name several variables in one comma list."""
+    return expand.era5_expand(expand.era5_requests(v.era5_list_requests(spark, sf_dir))).drop("bucket")
+
+
 @query
 def era5_unknown(spark, sf_dir):
     return expand.era5_unknown(v.era5_requests(spark, sf_dir)).select("request_id", "code")

@@ -233,6 +233,12 @@ def era5_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def era5_list_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a comma list: the variable, nothing, and the third code from it."""
+    third = F.upper(pick(ERA5_CODES + UNKNOWN_CODES, (F.col("request_id") + 3) % len(ERA5_CODES + UNKNOWN_CODES)))
+    return era5_requests(spark, sf_dir).withColumn("variables", F.concat(F.col("variable"), F.lit(" , ,"), third)).drop("variable")
+
+
 def era5_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects over the variable map and the months of 2021, several per prefix as the table grows."""
     p = F.col("p_partkey")

@@ -162,3 +162,14 @@ def test_paths_default_to_unknown(spark):
 
 def test_split_list(spark):
     assert one(spark, naming.split_list(F.lit(" a, ,b ,"))) == ["a", "b"]
+
+
+@pytest.mark.parametrize("lat", [-90.0, -60.5, 0.0, 12.25, 89.0, 90.0])
+def test_equal_area_latitudes_go_back(spark, lat):
+    from cellweave.functions import coords
+
+    y = coords.lat_to_metres(lat)
+    assert coords.lat_of_metres(y) == pytest.approx(lat, abs=1e-6)
+    assert one(spark, coords.equal_area_y(F.lit(lat))) == pytest.approx(y, abs=1e-6)
+    assert one(spark, coords.equal_area_x(F.lit(coords.metres_to_lon(5000.0)))) == pytest.approx(5000.0)
+    assert coords.lat_of_metres(1e9) == 90 and coords.lat_of_metres(-1e9) == -90

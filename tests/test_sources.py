@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,67 @@ def test_search_gaps(spark):
                    ("n", "lost", "repeated", 25, 29), ("n", "lost", "repeated", 25, 34)]
     status = {(r["node"], r["query"]): (r["found"], r["missing"], r["repeated"], r["complete"]) for r in search.search_status(pages).collect()}
     assert status == {("n", "whole"): (25, 0, 0, True), ("n", "none"): (0, 0, 0, True), ("n", "lost"): (45, 20, 15, False), ("m", "lost"): (10, 7, 0, False), ("m", "odd"): (0, 0, 0, True)}
+
+
+def test_the_point_scan_of_a_clip_is_pruned(spark, cells, tmp_path):
+    path = str(tmp_path / "cells")
+    sinks.write_cells(cells, path)
+    read = files.read_cells(spark, path)
+    square = [[(-115.0, 23.0), (-100.0, 23.0), (-100.0, 33.0), (-115.0, 33.0)]]
+    rows = [("R", 0, 0, i, *square[0][i], *square[0][(i + 1) % 4]) for i in range(4)]
+    edges = spark.createDataFrame(rows, "region_id string, polygon_id long, ring_id int, seg int, x1 double, y1 double, x2 double, y2 double")
+    for buffer_km in (0.0, 100.0):
+        box = clip.grown_extent(edges, buffer_km)
+        pushed = clip.points_in_reach(read, box)._jdf.queryExecution().executedPlan().toString()
+        pushed = pushed[pushed.index("PushedFilters") :].split("ReadSchema")[0]
+        assert "GreaterThanOrEqual(lat" in pushed and "(lon" in pushed
+        mask = clip.region_mask(read, edges, buffer_km)
+        everything = clip.covered_points(clip.grid_points(read), edges, buffer_km)
+        assert sorted(map(tuple, mask.collect())) == sorted(map(tuple, everything.collect())) != []
+        plan = clip.clip_filter(read, mask)._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(lat" in plan and "GreaterThanOrEqual(lon" in plan
+        assert clip.clip_filter(read, mask).count() == 6 * mask.count()
+    nothing = clip.region_mask(read, edges.limit(0))
+    assert nothing.count() == 0 and clip.clip_filter(read, nothing).count() == 0
+
+
+def test_grid_sink_is_laid_out_for_crops(spark, tmp_path):
+    cells = spark.range(40_000).selectExpr(
+        "'f' || id % 2 AS file_id", "'tas' AS variable", "timestamp_ntz '2000-01-01' + make_interval(0, id % 24) AS time",
+        "CAST(id * 7919 % 180 - 90 AS double) AS lat", "CAST(id * 104729 % 360 AS double) AS lon", "CAST(id AS double) AS value",
+    )
+    names = spark.createDataFrame([("f0", "tas_1.nc", "run/a"), ("f1", "tas_2.nc", None)], "file_id string, name string, rel_dir string")
+    path = str(tmp_path / "grids")
+    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    sinks.write_grids(cells, names, path, "cropped")
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    one = sinks.read_grid(spark, path, "run/a/tas_1_cropped.nc")
+    assert one.select(cells.columns).exceptAll(cells.where("file_id = 'f0'")).count() == 0 and one.count() == 20_000
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(output" in plan
+    met = total = 0
+    for file in tmp_path.glob("grids/*/*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            stats = {meta.schema.column(c).name: meta.row_group(g).column(c).statistics for c in range(meta.num_columns)}
+            total += 1
+            met += stats["lat"].min <= 40 and stats["lat"].max >= 30 and stats["lon"].min <= 20 and stats["lon"].max >= 10
+    assert total >= 50 and met <= total / 5
+    flat = str(tmp_path / "flat")
+    sinks.write_grids(cells, names, flat, "clipped", keep_dirs=False)
+    assert sorted(r[0] for r in spark.read.parquet(flat).select("output").distinct().collect()) == ["tas_1_clipped.nc", "tas_2_clipped.nc"]
+
+
+def test_counts_come_from_the_write(spark, tmp_path):
+    attrs = {"activity_id": "A", "source_id": "S", "variant_label": "r", "variable_id": "tas"}
+    rows = [("d/tas_1.nc", "tas_1.nc", attrs, None), ("e/CMIP6_tas_1.nc", "CMIP6_tas_1.nc", attrs, None), ("f/tas_1.nc", "tas_1.nc", attrs, None),
+            ("g/pr_1.nc", "pr_1.nc", {}, None), ("h/pr_2.nc", "pr_2.nc", attrs, "Read error"), ("i/pr_3.nc", "pr_3.nc", attrs, None)]
+    df = spark.createDataFrame(rows, "file_id string, name string, attrs map<string,string>, error string")
+    counts = catalog.write_catalog_counted(df, str(tmp_path / "catalog"))
+    assert counts == {"included": 2, "skipped": 2, "duplicate": 2}
+    assert {r["file_id"] for r in spark.read.parquet(str(tmp_path / "catalog")).collect()} == {"d/tas_1.nc", "i/pr_3.nc"}
+    assert catalog.write_catalog_counted(df.limit(0), str(tmp_path / "none")) == {"included": 0, "skipped": 0, "duplicate": 0}
