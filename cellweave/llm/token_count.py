@@ -37,15 +37,16 @@ SCHEMA = "doc_id long, n_chars long, n_tokens long, score double"
 
 
 def load_vocabulary(path: str = MODEL) -> list[tuple[str, float]]:
-    """Entries with exact scores, in the order of their ids. Executors read the file where it is installed."""
+    """Pieces with exact scores, in the order of their ids. Executors read the file where it is installed.
+
+    Control, unknown and byte pieces are no text: one that is written out is counted like any other text.
+    """
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
     out, rank = [], 0
     for i in range(model.vocab_size()):
-        if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
-            out.append((model.id_to_piece(i), 0.0))
-        else:
+        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             out.append((model.id_to_piece(i), -round(math.log(rank + 2) * UNIT) / UNIT))
             rank += 1
     return out
