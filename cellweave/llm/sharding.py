@@ -4,13 +4,16 @@ Records are put in the order of a key (a hash of the text, then doc_id), so that
 by side. Splitters come from a size-weighted sample of the keys: a record is drawn with a probability
 in proportion to its bytes, and the sample's quantiles cut the key space into ranges. Ranges are then
 measured over all records. A key that alone is larger than a range gets a range of its own and is
-subdivided by doc_id; any other overfull range is subdivided by key. With the bytes and rows in front
+subdivided by doc_id (rows without one by their place in the input); any other overfull range is
+subdivided by key, into as many parts as its rows ask for. The number of ranges is fixed, so the cuts are a
+bounded list whatever the input. With the bytes and rows in front
 of each range known, every record's place in the whole order is exact, and shard boundaries fall at
 equal bytes of it: the law is ``bytes``. Texts of one group stay together unless they had to be
 subdivided.
 
-Column functions only. The text is read once, into (doc_id, size, CRC, key) in the shared folder; no
-window is larger than a range, whose number grows with the rows.
+Column functions only. The text is read once, into (doc_id, size, CRC, key) in the shared folder. A
+window is a part of a range: about RANGE_ROWS rows, or the copies of one text that is smaller than a range.
+The facts of ranges with a thousandth of the rows go to their rows by a checked broadcast.
 
 Defined results: null text has 0 bytes and the CRC of nothing; a null doc_id sorts first; rows
 repeated whole take consecutive slots; empty input gives an empty result. Other columns are ignored.
@@ -20,10 +23,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cellweave.llm.common import staged, table, text_or_empty
+from cellweave.llm.common import join_facts, staged, table, text_or_empty
 
 N_SHARDS = 16
-#: Ranges: this many for each shard, and more so that one has about RANGE_ROWS rows.
+#: Ranges for each shard, and rows of a part of a range.
 RANGES_PER_SHARD = 32
 RANGE_ROWS = 20_000
 #: Expected draws for each range.
@@ -32,13 +35,14 @@ SEED = 20_011
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the key."""
+    """doc_id, size, text_crc32, the key and a number of the row."""
     text = text_or_empty()
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
@@ -65,10 +69,10 @@ def range_of(key: Column, cuts: list[int]) -> Column:
 
 
 def placed(records: DataFrame, n_shards: int) -> DataFrame:
-    """``records`` (doc_id, size, text_crc32, key) with shard and slot."""
+    """``records`` (doc_id, size, text_crc32, key, row) with shard and slot."""
     facts = records.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).first()
     n_rows, total = facts["n"], facts["b"] or 1
-    n_ranges = max(n_shards * RANGES_PER_SHARD, -(-n_rows // RANGE_ROWS))
+    n_ranges = n_shards * RANGES_PER_SHARD
     cuts = splitters(records, n_ranges, total)
     ranged = records.withColumn("range", range_of(F.col("key"), cuts))
 
@@ -77,13 +81,14 @@ def placed(records: DataFrame, n_shards: int) -> DataFrame:
         F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min("key").alias("low"), F.max("key").alias("high")
     )
     parts = F.ceil(F.greatest(F.col("bytes") * n_ranges / total, F.col("rows") / RANGE_ROWS) / 2)
-    stats = stats.select("range", "low", "high", F.greatest(parts, F.lit(1)).alias("parts"))
+    stats = staged(stats.select("range", "low", "high", "rows", F.greatest(parts, F.lit(1)).alias("parts")), "ranges")
     span = F.col("high").cast("double") - F.col("low").cast("double") + 1
     by_key = F.floor((F.col("key").cast("double") - F.col("low").cast("double")) / span * F.col("parts"))
-    part = F.when(F.col("low") == F.col("high"), F.pmod(F.xxhash64("doc_id", F.lit(SEED)), "parts")).otherwise(
+    unique = F.when(F.col("doc_id").isNull(), F.xxhash64("row", F.lit(SEED))).otherwise(F.xxhash64("doc_id", F.lit(SEED)))
+    part = F.when(F.col("low") == F.col("high"), F.pmod(unique, "parts")).otherwise(
         F.least(F.greatest(by_key, F.lit(0)), F.col("parts") - 1)
     )
-    cut = ranged.join(stats, "range").select("doc_id", "size", "text_crc32", "key", "range", part.alias("part"),
+    cut = join_facts(ranged, stats, ["range"], "rows", n_rows).select("doc_id", "size", "text_crc32", "key", "range", part.alias("part"),
                                              (F.col("low") == F.col("high")).alias("one_key"))
 
     # What lies in front of each part: one row per part, few against the records.
