@@ -287,10 +287,11 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(docs: DataFrame, classes: DataFrame, member: DataFrame, family: int = FAMILY) -> DataFrame:
     """Edges (u, v) between classes, as structs of their hashes, that connect all similar pairs."""
     sizes = member.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / family).alias("blocks"))
-    dealt = member.join(sizes, "leader").join(classes.select("h1", "rep"), "h1")
+    dealt = member.join(sizes, "leader").join(classes.select("h1", "rep", "rep_hash"), "h1")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("h1"), "blocks"))
-    wanted = dealt.groupBy("rep").agg(F.collect_set(F.struct("leader", "blocks", "block")).alias("places"))
-    texts = id_text(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
+    # Rows that share an id, or have none, are told apart by their text's hash.
+    wanted = dealt.groupBy("rep", "rep_hash").agg(F.collect_set(F.struct("leader", "blocks", "block")).alias("places"))
+    texts = id_text(docs).withColumn("hash", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("hash") == F.col("rep_hash")))
     placed = texts.select("text", F.explode("places").alias("p")).select("text", "p.*")
     # A class of block b is needed for the pairs (b, k) and (k, b).
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
@@ -306,8 +307,11 @@ def similar_groups(docs: DataFrame, family: int = FAMILY) -> DataFrame:
     counts = np.zeros(1 << COUNT_BITS, np.int64)
     for r in sketch.toLocalIterator():
         counts[r["bucket"]] = r["n"]
-    of_class = [F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n")]
-    classes = staged(rows.where("n > 0").groupBy("h1", "h2").agg(*of_class), "classes")
+    # Of the rows with the least id, and of those without one, the least hash.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    of_class = [first, F.count(F.lit(1)).alias("rows"), F.first("n").alias("n")]
+    classes = rows.where("n > 0").groupBy("h1", "h2").agg(*of_class)
+    classes = staged(classes.select("h1", "h2", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), "rows", "n"), "classes")
     member = staged(families(prefix_tokens(docs, counts), classes), "families")
     roots = components(links(docs, classes, member, family)).select("node.h1", "node.h2", "root")
     linked = roots.join(classes, ["h1", "h2"]).select("h1", "h2", "root", "rep", "rows")
