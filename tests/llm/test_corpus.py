@@ -235,6 +235,18 @@ def test_sharding_subdivides_a_hot_key_and_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
 
 
+def test_sharding_subdivides_a_hot_text_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 200)
+    docs = spark.createDataFrame([(None, "one hot text")] * 3000 + [(i, f"text {i}") for i in range(900)], "doc_id long, text string").repartition(6)
+    got = sharding.shard_documents(docs).collect()
+    shards = collections.defaultdict(list)
+    for r in got:
+        shards[r.shard].append(r)
+    sizes = [sum(r.size for r in rows) for rows in shards.values()]
+    assert len(got) == 3900 and len(sizes) == 16 and max(sizes) < 1.05 * min(sizes)
+    assert all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in shards.values())
+
+
 def test_range_of(spark):
     cuts = [-5, 0, 3, 9, 11]
     df = spark.createDataFrame([(k,) for k in range(-8, 14)], "k long")
@@ -306,6 +318,29 @@ def test_a_selection_takes_its_blocks_evenly(table_of):
     assert all(abs(taken[s] - t) <= 2 + 0.02 * t for s, t in target.items())
 
 
+def test_rows_without_an_id_ship_their_own_text_only(table_of):
+    """Near copies without ids: a text goes to the places of its own class, not to those of all."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        words[rng.randrange(120)] = f"x{i}"
+        rows.append((None, " ".join(words), "en", "s"))
+    docs = table_of(rows)
+    facts, sketch = ngram_join.document_facts(docs)
+    got = ngram_join.similar_groups(docs).collect()
+    assert len(got) == 60 and {r.component_id for r in got} == {None}
+    counts = np.zeros(1 << ngram_join.COUNT_BITS, np.int64)
+    for r in sketch.collect():
+        counts[r["bucket"]] = r["n"]
+    classes = facts.where("n > 0").groupBy("h1", "h2").agg(ngram_join.F.min("doc_id").alias("rep"), ngram_join.F.min("text_hash").alias("rep_hash"), ngram_join.F.first("n").alias("n"))
+    member = ngram_join.families(ngram_join.prefix_tokens(docs, counts), classes)
+    found = ngram_join.links(docs, classes, member)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "rep_hash" in plan and found.count() >= 59  # the texts are met by their hash as well
+
+
 # --- the pipeline
 
 

@@ -202,10 +202,11 @@ def test_token_counts_match_the_library(spark, table_of, odd_rows):
     from tokenizers import Tokenizer, models, normalizers
 
     vocabulary = token_count.load_vocabulary()
-    library = Tokenizer(models.Unigram(vocabulary, 0, True))
+    special = [("<unk>", 0.0), *((f"<0x{b:02X}>", 0.0) for b in range(256))]  # for the byte fallback
+    library = Tokenizer(models.Unigram(special + vocabulary, 0, True))
     mark = token_count.SPACE_MARK
     library.normalizer = normalizers.Sequence([normalizers.Prepend(mark), normalizers.Replace(" ", mark)])
-    texts = ["", " ", "  a  b ", "aaaa" * 40, "日本語 ሰላም x\n\ny", "<0x0A> <s>", "𝕏𝕐 zz", "é​� ﷽", "ab" * 3000]
+    texts = ["", " ", "  a  b ", "aaaa" * 40, "日本語 ሰላም x\n\ny", "𝕏𝕐 zz", "é​� ﷽", "ab" * 3000]
     sample = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
     counter = token_count.Counter(vocabulary)
     for text in texts + [r.text for r in sample]:
@@ -215,6 +216,12 @@ def test_token_counts_match_the_library(spark, table_of, odd_rows):
     assert all(r.n_tokens == 0 and r.score == 0 for r in got if r.doc_id in (90, 91))
 
 
+def test_written_control_and_byte_pieces_are_text():
+    counter = token_count.Counter(token_count.load_vocabulary())
+    plain = lambda text: counter.viterbi(token_count.SPACE_MARK + text)[0]
+    assert counter("a<0x0A>b")[0] == plain("a<0x0A>b") > 4 and counter("<s>")[0] > 2 and counter("</s>")[0] > 2
+
+
 def test_ties_go_to_the_earliest_start():
     counter = token_count.Counter([("<unk>", -9.0), ("a", -1.0), ("aa", -2.0), ("▁", -1.0), ("ab", -3.0), ("b", -1.0)])
     assert counter.viterbi("aa") == (1, -2.0)  # one piece from the start, not two of the same score
