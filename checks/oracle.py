@@ -152,6 +152,9 @@ _CTE = {
     "v_points": f"SELECT DISTINCT lat, {_LON} AS lon FROM v_cells",
     "v_all_points": f"SELECT DISTINCT lat, {_LON} AS lon FROM v_file_points WHERE lat IS NOT NULL",
     "v_inside": "{inside:v_points}",
+    "v_fine_points": """
+      SELECT DISTINCT CAST((l_partkey % 6144) * 0.00390625 + 22.001953125 AS DOUBLE) AS lat, CAST((l_suppkey * 37 % 1024) * 0.0625 - 128 AS DOUBLE) AS lon FROM lineitem""",
+    "v_fine_inside": "{inside:v_fine_points}",
     "v_all_inside": "{inside:v_all_points}",
     "v_files": """
       SELECT 'd' || p_partkey || '/' || name AS file_id, name, base, rel_dir, variable_id, activity_id, source_id,
@@ -276,6 +279,7 @@ def _inside(points: str) -> str:
 
 _CTE["v_inside"] = _inside("v_points")
 _CTE["v_all_inside"] = _inside("v_all_points")
+_CTE["v_fine_inside"] = _inside("v_fine_points")
 
 
 def _needed(text: str, seen: list[str]) -> list[str]:
@@ -538,6 +542,7 @@ add(
 
 # clip
 add("point_in_polygon", "SELECT lat, lon FROM v_inside")
+add("point_in_polygon_fine", "SELECT lat, lon FROM v_fine_inside")
 _ON = "((bx1 - ax1) * ({y} - ay1) - (bz1 - ay1) * ({x} - ax1) = 0 AND {x} BETWEEN ax1 AND bx1 AND {y} BETWEEN least(ay1, bz1) AND greatest(ay1, bz1))"
 _DISSOLVED = f"""
     WITH e AS (

@@ -326,6 +326,13 @@ def point_in_polygon(spark, sf_dir):
     return clip.inside_points(points, v.edges(spark, sf_dir))
 
 
+@query
+def point_in_polygon_fine(spark, sf_dir):
+    """The same on a grid of thousands of latitudes that grows with the tables."""
+    edges = v.edges(spark, sf_dir)
+    return clip.region_mask(v.fine_cells(spark, sf_dir), edges)
+
+
 @query
 def dissolved_edges(spark, sf_dir):
     """The outline of all polygons together."""
