@@ -33,8 +33,10 @@ OUTSIDE_EXTENT = "Outside bounds"
 NO_POINT_INSIDE = "No intersection"
 NO_COORDS = "No coordinates found"
 
-# Height in degrees of the latitude bands that edges and latitudes are matched on.
+# Height in degrees of the latitude bands that edges and latitudes are matched on, if nothing is measured, and
+# how many bands an edge of mean height spans where it is (``band_height``).
 BAND = 0.25
+BANDS_OF_AN_EDGE = 4
 # Width in degrees of the longitude blocks that split the points of one latitude.
 BLOCK = 1.0
 
@@ -66,7 +68,12 @@ def _polygon_key(edges: DataFrame) -> list[str]:
     return [c for c in ("region_id", "polygon_id", "part_id") if c in edges.columns]
 
 
-def _crossings(lats: DataFrame, edges: DataFrame) -> DataFrame:
+def band_height(box: dict) -> float:
+    """Bands that suit the edges: a coast of short ones is cut into low bands, so none holds very many of them."""
+    return max(box["mean_height"] / BANDS_OF_AN_EDGE, (box["max_lat"] - box["min_lat"]) / (1 << 20)) or BAND
+
+
+def _crossings(lats: DataFrame, edges: DataFrame, height: float = BAND) -> DataFrame:
     """Where edges cross each latitude: ``lat, scan, <polygon>, x, lean``.
 
     Equi-join on latitude bands. ``scan`` is +1 just above the latitude and -1 just below.
@@ -80,9 +87,9 @@ def _crossings(lats: DataFrame, edges: DataFrame) -> DataFrame:
         F.when(up, F.col("x2")).otherwise(F.col("x1")).alias("xb"),
         F.when(up, F.col("y2")).otherwise(F.col("y1")).alias("yb"),
     )
-    banded = oriented.withColumn("band", F.explode(F.sequence(F.floor(F.col("ya") / BAND), F.floor(F.col("yb") / BAND))))
+    banded = oriented.withColumn("band", F.explode(F.sequence(F.floor(F.col("ya") / height), F.floor(F.col("yb") / height))))
     lat = F.col("lat")
-    met = lats.withColumn("band", F.floor(lat / BAND)).join(banded, "band").where(
+    met = lats.withColumn("band", F.floor(lat / height)).join(banded, "band").where(
         (lat >= F.col("ya")) & (lat <= F.col("yb"))
     )
     scans = F.array_compact(
@@ -112,13 +119,13 @@ _PLACE = ["strip", "lat", "block"]
 _COUNTS = ["up", "down", "up_dip", "down_dip"]
 
 
-def _events(lats: DataFrame, edges: DataFrame) -> DataFrame:
+def _events(lats: DataFrame, edges: DataFrame, height: float = BAND) -> DataFrame:
     """One row per latitude and crossing longitude.
 
     ``up``/``down``: change of the number of open polygons in the upper and lower scan;
     ``up_dip``/``down_dip``: lowest value reached while passing, relative to the count before.
     """
-    crossings = _crossings(lats, edges)
+    crossings = _crossings(lats, edges, height)
     along = Window.partitionBy("lat", "scan", *_polygon_key(edges)).orderBy("x", "lean")
     # Odd crossings of a polygon open it, even ones close it: all rings together, so holes drop out.
     opened = crossings.withColumn("delta", F.when(F.row_number().over(along) % 2 == 1, 1).otherwise(-1))
@@ -136,11 +143,11 @@ def _events(lats: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def inside_points(points: DataFrame, edges: DataFrame) -> DataFrame:
+def inside_points(points: DataFrame, edges: DataFrame, height: float = BAND) -> DataFrame:
     """The distinct ``(lat, lon)`` of ``points`` strictly inside the union of the polygons."""
     near = within_extent(points, edges)
     none = [F.lit(0).cast("long").alias(c) for c in _COUNTS]
-    events = _events(near.select("lat").distinct(), edges)
+    events = _events(near.select("lat").distinct(), edges, height)
     marks = (
         events.select(*_PLACE, "x", *_COUNTS, F.lit(False).alias("is_point"))
         .unionByName(
@@ -236,17 +243,17 @@ def near_points(points: DataFrame, edges: DataFrame, buffer_km: float, tile_km:
     )
 
 
-def covered_points(points: DataFrame, edges: DataFrame, buffer_km: float = 0.0) -> DataFrame:
+def covered_points(points: DataFrame, edges: DataFrame, buffer_km: float = 0.0, height: float = BAND) -> DataFrame:
     """Points inside the polygons, or inside them grown by ``buffer_km``."""
-    inside = inside_points(points, edges)
+    inside = inside_points(points, edges, height)
     if buffer_km <= 0:
         return inside
     return inside.unionByName(near_points(points, edges, buffer_km)).distinct()
 
 
 def grown_extent(edges: DataFrame, buffer_km: float = 0.0) -> dict | None:
-    """The bounding box of the edges, grown by the buffer in equal-area metres; nothing without edges."""
-    box = extent(edges).first().asDict()
+    """The bounding box of the edges, grown by the buffer in equal-area metres, and their ``mean_height``; nothing without edges."""
+    box = extent(edges, F.avg(F.abs(F.col("y2") - F.col("y1"))).alias("mean_height")).first().asDict()
     if box["min_lat"] is None:
         return None
     if buffer_km > 0:
@@ -274,8 +281,9 @@ def region_mask(cells: DataFrame, edges: DataFrame, buffer_km: float = 0.0, poin
     # Staged as well: points and edges are read several times below, the cube and the boundary texts
     # should be read once.
     edges = stage_table(edges, "edges")
-    points = stage_table(points_in_reach(cells, grown_extent(edges, buffer_km)), "points") if points is None else points
-    return stage_table(covered_points(points, edges, buffer_km), "mask")
+    box = grown_extent(edges, buffer_km)
+    points = stage_table(points_in_reach(cells, box), "points") if points is None else points
+    return stage_table(covered_points(points, edges, buffer_km, band_height(box) if box else BAND), "mask")
 
 
 def clip_filter(cells: DataFrame, mask: DataFrame) -> DataFrame:

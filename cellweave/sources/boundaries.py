@@ -67,11 +67,12 @@ def read_geojson_regions(spark: SparkSession, path: str, region_field: str = "na
     return boundary_edges(shapes, geojson_polygons(F.col("geometry")))
 
 
-def extent(edges: DataFrame) -> DataFrame:
-    """One row: the bounding box of all edges, whichever way they run."""
+def extent(edges: DataFrame, *more: Column) -> DataFrame:
+    """One row: the bounding box of all edges, whichever way they run, and ``more`` aggregates of them."""
     return edges.agg(
         F.min(F.least("x1", "x2")).alias("min_lon"),
         F.max(F.greatest("x1", "x2")).alias("max_lon"),
         F.min(F.least("y1", "y2")).alias("min_lat"),
         F.max(F.greatest("y1", "y2")).alias("max_lat"),
+        *more,
     )

@@ -408,6 +408,14 @@ def test_points_in_the_dissolved_region(spark, seed):
     assert got == {tuple(r) for r in clip.inside_points(df, edges_of(spark, polygons)).collect()}
 
 
+@pytest.mark.parametrize("height", [0.01, 0.7, 5.0])
+def test_band_heights_do_not_change_what_is_inside(spark, height):
+    shapes = [[box(0, 0, 9, 9), box(2, 2, 6, 6)], [[(1, 1), (9, 3), (4, 12)]], [box(-3, 8, 2, 10)]]
+    points = spark.createDataFrame([(y / 4, x / 4) for x in range(-16, 44) for y in range(-4, 52)], "lat double, lon double")
+    edges = edges_of(spark, shapes)
+    assert set(clip.inside_points(points, edges, height).collect()) == set(clip.inside_points(points, edges).collect())
+
+
 def test_rings_of_a_dissolved_region(spark):
     stairs = [[box(i, i, i + 2, i + 2)] for i in range(12)]  # one long ring
     got = dissolve.dissolve(edges_of(spark, [*stairs, [box(100, 0, 103, 3), box(101, 1, 102, 2)]])).collect()
