@@ -1,18 +1,15 @@
 """SimHash groups, collocations and the Merkle manifest, against brute force, SQL and odd tables."""
 
 import collections
-import glob
 import hashlib
-import os
 import re
 import zlib
 
-import duckdb
 import numpy as np
 import pytest
 import xxhash
 
-from cellweave.llm import merkle, phrases, queries, simhash
+from cellweave.llm import merkle, phrases, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -236,18 +233,3 @@ def test_a_changed_row_is_noticed(fields):
     got = merkle.prove(changed.where("doc_id = 11"), nodes, n_trees, root).collect()
     assert [r.verified for r in got] == [False]
     assert all(r.verified for r in merkle.prove(changed.where("doc_id = 12"), nodes, n_trees, root).collect())
-
-
-# --- SQL
-
-
-@pytest.mark.parametrize("name", ["op12_phrases", "op13_merkle_manifest"])
-def test_sql(spark, name):
-    con = duckdb.connect()
-    for path in glob.glob(f"{SF}/*.parquet"):
-        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
-    cur = con.execute(queries.SQL[name])
-    names = [d[0] for d in cur.description]
-    got = queries.QUERIES[name](spark, SF)
-    assert sorted(got.columns) == sorted(names)
-    assert collections.Counter(tuple(r[c] for c in names) for r in got.collect()) == collections.Counter(cur.fetchall())
