@@ -153,7 +153,7 @@ _CTE = {
     "v_all_points": f"SELECT DISTINCT lat, {_LON} AS lon FROM v_file_points WHERE lat IS NOT NULL",
     "v_inside": "{inside:v_points}",
     "v_fine_points": """
-      SELECT DISTINCT CAST((l_partkey % 6144) * 0.00390625 + 22.001953125 AS DOUBLE) AS lat, CAST((l_suppkey * 37 % 1024) * 0.0625 - 128 AS DOUBLE) AS lon FROM lineitem""",
+      SELECT DISTINCT CAST((l_partkey * 31 % 6144) * 0.00390625 + 22.001953125 AS DOUBLE) AS lat, CAST((l_suppkey * 37 % 1024) * 0.0625 - 128 AS DOUBLE) AS lon FROM lineitem""",
     "v_fine_inside": "{inside:v_fine_points}",
     "v_all_inside": "{inside:v_all_points}",
     "v_files": """
@@ -435,7 +435,7 @@ add(
     "agg_from_axes",
     f"""SELECT file_id, variable, lat, lon, levels, lpad(CAST(year AS VARCHAR), 4, '0') || '-' || lpad(CAST(month AS VARCHAR), 2, '0') AS period,
                CASE WHEN count(value) = 0 THEN 'masked' ELSE 'ok' END AS state, round(avg(value), 6) AS value
-        FROM ({_raw_cells('crop')}) WHERE year IS NOT NULL AND (lat IS NULL OR lat BETWEEN -50 AND 20)
+        FROM ({_raw_cells('crop')}) WHERE year IS NOT NULL AND (lat IS NULL OR lat BETWEEN -59.5 AND 20)
           AND (lon IS NULL OR CASE WHEN lon > 180 THEN lon - 360 ELSE lon END BETWEEN -170 AND 170)
         GROUP BY file_id, variable, lat, lon, levels, year, month""",
 )

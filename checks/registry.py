@@ -267,7 +267,7 @@ def axes_status(spark, sf_dir):
 @query
 def agg_from_axes(spark, sf_dir):
     """Raw arrays to cells, cropped and averaged by month."""
-    box = {"min_lat": -50, "max_lat": 20, "min_lon": -170, "max_lon": 170}
+    box = {"min_lat": -59.5, "max_lat": 20, "min_lon": -170, "max_lon": 170}
     return _out(_levels_text(agg.aggregate(crop.crop(_placed(spark, sf_dir), box), "monthly", "mean")))
 
 
