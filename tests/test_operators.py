@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -14,6 +15,7 @@ from cellweave.functions.reducers import REDUCERS
 from cellweave.functions import calendar
 from cellweave.operators import aggregate, availability, axes, catalog, clip, convert, crop, dissolve, expand, gridding, search
 from cellweave.schemas import GRID_VARS, SEARCH_DOC
+from cellweave.session import stage
 from cellweave.sources import boundaries
 
 NAN = float("nan")
@@ -319,6 +321,22 @@ def test_cells_from_axes(raw):
     assert status == {"crop": {"a": "ok", "b": "ok", "c": "Missing coordinate variables", "d": flat}, "clip": {"a": "ok", "b": none, "c": none, "d": flat}}
 
 
+@pytest.mark.parametrize("short,broadcast", [(0, 500_000), (1, 500_000), (0, 0)])
+def test_long_axes_give_the_same_cells(raw, short, broadcast, monkeypatch):
+    want = sorted(map(repr, gridding.cells_from_axes(*raw).collect()))
+    monkeypatch.setattr(gridding, "SHORT", short)
+    monkeypatch.setattr(gridding, "BROADCAST_STEPS", broadcast)
+    assert sorted(map(repr, gridding.cells_from_axes(*raw).collect())) == want
+
+
+def test_a_long_axis_is_not_copied_with_every_element(spark):
+    headers = [("a", k, n, "double", d, None, "1", {}) for k, (n, d) in enumerate([("lat", ["lat"]), ("lon", ["lon"]), ("ta", ["lat", "lon"])])]
+    values = [("a", "lat", [i], i / 4) for i in range(200)] + [("a", "lon", [0], 5.0)] + [("a", "ta", [i, 0], float(i)) for i in range(200)]
+    cells = gridding.cells_from_axes(spark.createDataFrame(headers, GRID_VARS), spark.createDataFrame(values, "file_id string, var_name string, pos array<int>, value double"))
+    assert cells._jdf.queryExecution().executedPlan().toString().count("Join") == 2  # the variables, and the latitudes
+    assert sorted((r["value"], r["lat"], r["lon"]) for r in cells.collect()) == [(float(i), i / 4, 5.0) for i in range(200)]
+
+
 def test_cells_from_axes_feed_crop_and_aggregate(raw):
     cells = crop.crop(gridding.cells_from_axes(*raw), {"min_lat": 15, "max_lat": 30, "min_lon": -20, "max_lon": 0})
     out = aggregate.aggregate(cells, "monthly", "max").collect()
