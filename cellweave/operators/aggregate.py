@@ -189,7 +189,10 @@ def aggregate_files(
     axis = stage(axis.join(status.where("ok").select("file_id"), "file_id"), "file-time-axes")
     if freq not in FREQUENCIES or method not in REDUCERS:  # every file failed
         return cells.limit(0).select("file_id", "variable", "lat", "lon", F.lit("").alias("period"), "value", F.lit(0.0).alias("time_value"), details), status
-    rows = aggregate(cells.join(axis.select("file_id"), "file_id", "left_semi"), freq, method, variable)
+    cells = cells.join(axis.select("file_id"), "file_id", "left_semi").where(F.col("variable") == variable)
+    if method == "median":  # reads its samples more than once
+        cells = stage(cells, "median-cells")
+    rows = stage(aggregate(cells, freq, method, variable), "period-rows")
     periods = stage(rows.select("file_id", "period").distinct(), "file-periods")
     stamped = period_axis(periods.join(axis, "file_id"), freq).select("file_id", "period", "units", "calendar", "time_value")
     return rows.join(stamped, ["file_id", "period"]).select("*", details), status
