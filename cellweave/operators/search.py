@@ -196,9 +196,9 @@ def page_spans(pages: DataFrame) -> DataFrame:
 
     ``found`` is the number of documents that the page says there are, ``until`` where its own documents end.
     """
-    parsed = pages.select("node", "query", F.from_json("page", "response struct<numFound:long,start:long,docs:array<string>>")["response"].alias("r"))
+    parsed = pages.select("node", "query", F.from_json("page", "response struct<numFound:long,start:long,docs:string>")["response"].alias("r"))
     start = F.coalesce("r.start", F.lit(0).cast("long"))
-    held = F.greatest(F.coalesce(F.size("r.docs"), F.lit(0)), F.lit(0))
+    held = F.coalesce(F.json_array_length("r.docs"), F.lit(0))
     return parsed.select("node", "query", start.alias("start"), F.coalesce("r.numFound", F.lit(0).cast("long")).alias("found"), (start + held).alias("until"))
 
 
@@ -209,7 +209,11 @@ def search_gaps(pages: DataFrame) -> DataFrame:
     well are ``repeated``. A search ends at the largest number of documents any of its pages says. Pages are
     put in order per node and query, one row each, so a search of any length is one sorted scan.
     """
-    spans = page_spans(pages)
+    return _gaps(stage(page_spans(pages), "page-spans"))
+
+
+def _gaps(spans: DataFrame) -> DataFrame:
+    """The gaps of spans that are staged, since they are read twice."""
     ends = spans.groupBy("node", "query").agg(F.max("found").alias("found"))
     end = ends.select("node", "query", F.col("found").alias("start"), F.col("found").alias("until"), F.lit(True).alias("is_end"))
     rows = spans.select("node", "query", "start", "until", F.lit(False).alias("is_end")).unionByName(end)
@@ -225,12 +229,13 @@ def search_gaps(pages: DataFrame) -> DataFrame:
 
 def search_status(pages: DataFrame) -> DataFrame:
     """(node, query, found, missing, repeated, complete) of each search."""
-    gaps = search_gaps(pages).withColumn("n", F.col("last") - F.col("first") + 1)
+    spans = stage(page_spans(pages), "page-spans")  # each text is parsed once
+    gaps = _gaps(spans).withColumn("n", F.col("last") - F.col("first") + 1)
     sums = gaps.groupBy("node", "query").agg(
         F.sum(F.when(F.col("kind") == "missing", F.col("n")).otherwise(0)).alias("missing"),
         F.sum(F.when(F.col("kind") == "repeated", F.col("n")).otherwise(0)).alias("repeated"),
     )
-    every = page_spans(pages).groupBy("node", "query").agg(F.max("found").alias("found")).join(sums, ["node", "query"], "left")
+    every = spans.groupBy("node", "query").agg(F.max("found").alias("found")).join(sums, ["node", "query"], "left")
     zero = F.lit(0).cast("long")
     return every.select(
         "node", "query", "found", F.coalesce("missing", zero).alias("missing"), F.coalesce("repeated", zero).alias("repeated"),

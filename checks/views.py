@@ -388,10 +388,11 @@ def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     orders = table(spark, sf_dir, "orders")
     last = orders.agg(F.max(whole(k, 35)).alias("last")).scalar()
-    held = F.when(k % 29 == 0, 130).when(k % 31 == 0, 60).otherwise(100)
+    held = {n: ",".join(["{}"] * n) for n in (60, 100, 130)}
+    docs = F.when(k % 29 == 0, held[130]).when(k % 31 == 0, held[60]).otherwise(held[100])
     page = F.concat(
         F.lit('{"response": {"numFound": '), (last * 100 + 70).cast("string"), F.lit(', "start": '), (whole(k, 35) * 100).cast("string"),
-        F.lit(', "docs": ['), F.array_join(F.array_repeat(F.lit("{}"), held), ","), F.lit("]}}"),
+        F.lit(', "docs": ['), docs, F.lit("]}}"),
     )
     return orders.where(k % 23 != 0).select(
         pick(["DKRZ", "CEDA", "LLNL", "IPSL", "NCI"], k % 5).alias("node"), F.concat(F.lit("q"), (whole(k, 5) % 7).cast("string")).alias("query"), page.alias("page")

@@ -198,6 +198,16 @@ def test_search_gaps(spark):
     assert status == {("n", "whole"): (25, 0, 0, True), ("n", "none"): (0, 0, 0, True), ("n", "lost"): (45, 20, 15, False), ("m", "lost"): (10, 7, 0, False), ("m", "odd"): (0, 0, 0, True)}
 
 
+def test_pages_of_a_search_are_parsed_once(spark):
+    page = lambda docs: '{"response": {"numFound": 9, "start": 2, "docs": %s}}' % docs
+    texts = [page('[{}, {"a": [1, 2]}, null]'), page("[]"), page("null"), page('{"a": 1}'), page("[{}"), '{"response": {"numFound": 4}}', None]
+    pages = spark.createDataFrame([(str(i), "q", t) for i, t in enumerate(texts)], "node string, query string, page string")
+    got = sorted((r["node"], r["start"], r["found"], r["until"]) for r in search.page_spans(pages).collect())
+    assert got == [("0", 2, 9, 5), ("1", 2, 9, 2), ("2", 2, 9, 2), ("3", 2, 9, 2), ("4", 0, 0, 0), ("5", 0, 4, 0), ("6", 0, 0, 0)]
+    for query in (search.search_gaps, search.search_status):
+        assert "from_json" not in query(pages)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_the_point_scan_of_a_clip_is_pruned(spark, cells, tmp_path):
     path = str(tmp_path / "cells")
     sinks.write_cells(cells, path)
