@@ -12,8 +12,9 @@
    bigrams first, then 3- and 4-grams whose bigrams are among these. A hash that two n-grams share only
    keeps too much. Hashes are dealt over parts whose number grows with the words, so a part is bounded
    (a frequent n-gram is one number per shard).
-4. The last round writes out the n-grams that are left as text; their sums are exact, and the scores,
-   extensions and ranks are joins and aggregates over them. All of it is integer arithmetic.
+4. The last round writes out the n-grams that are left as text, a list per shard, length and part; the sums
+   of a part over these texts are exact, and the scores, extensions and ranks are joins and aggregates over
+   them. All of it is integer arithmetic.
 
 Defined results: null and empty texts have no words; the null language is ``und``, together with one of
 that name; text of separators alone gives nothing; repeated rows count each time; a piece of any length
@@ -27,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -214,12 +216,18 @@ def _kept(shard: Shard, g: Grams, keys: np.ndarray) -> Grams:
     return g.where(keys[at] == own if len(keys) else np.zeros(len(own), bool))
 
 
-def _dealt(shard: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Keys and counts as one row per part; a part is a range of the keys."""
+def _ranges(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the keys, the part that each one in order belongs to, and where parts begin; a part is a range of the keys."""
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    part = ((keys[order] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    return order, part, first
+
+
+def _dealt(shard: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Keys and counts as one row per part."""
+    order, part, first = _ranges(keys, parts)
+    keys, counts = keys[order], counts[order]
     ends = [*first[1:].tolist(), len(part)]
     columns = [part[first], np.full(len(first), shard)]
     blobs = [[x[a:b].tobytes() for a, b in zip(first.tolist(), ends)] for x in (keys, counts.astype(np.uint32))]
@@ -282,13 +290,31 @@ def _long(parts: int):
     return work
 
 
-def _texts(number: int, shard: Shard, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-    one = shard.unigrams()
-    two = _kept(shard, shard.left(one), keys)
-    for g in (one, two, *shard.longer(two)):
-        g = _kept(shard, g, keys)
-        size = len(g.count)
-        yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * size, pa.string()), pa.array(shard.phrases(g), pa.string()), pa.array(np.full(size, g.words.shape[1], np.int32)), pa.array(g.count.astype(np.int64))], ["lang", "phrase", "words", "f"])
+def _texts(parts: int):
+    def work(number: int, shard: Shard, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        one = shard.unigrams()
+        two = _kept(shard, shard.left(one), keys)
+        for g in (one, two, *shard.longer(two)):
+            g = _kept(shard, g, keys)
+            order, part, first = _ranges(shard.keys(g), parts)
+            offsets, order = pa.array(np.append(first, len(part)).astype(np.int32)), pa.array(order)
+            lists = [pa.ListArray.from_arrays(offsets, x.take(order)) for x in (pa.array(shard.phrases(g), pa.string()), pa.array(g.count.astype(np.int64)))]
+            yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array([shard.lang] * len(first), pa.string()), *lists], ["part", "lang", "phrases", "counts"])
+
+    return work
+
+
+def _sum_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per part: the phrases that reach LEAST, each once, with the sum of their counts."""
+    for t, at in whole_groups(batches, ["part"], 1):
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            own = t.slice(a, b - a).combine_chunks()
+            lists = own.column("phrases")
+            listed = {"lang": own.column("lang").take(pc.list_parent_indices(lists)), "phrase": pc.list_flatten(lists), "f": pc.list_flatten(own.column("counts"))}
+            sums = pa.table(listed).group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")])
+            sums = sums.filter(pc.greater_equal(sums.column("f_sum"), LEAST))
+            words = pc.add(pc.count_substring(sums.column("phrase"), " "), 1).cast(pa.int32())
+            yield from pa.table({"lang": sums.column("lang"), "phrase": sums.column("phrase"), "words": words, "f": sums.column("f_sum")}).to_batches()
 
 
 def frequent(rows: DataFrame) -> DataFrame:
@@ -302,9 +328,9 @@ def frequent(rows: DataFrame) -> DataFrame:
 
     short = staged(summed(_with_keys(rows).mapInArrow(_per_shard(_short(parts), 2), packed)), "frequent-bigrams")
     long = staged(summed(_with_keys(rows, short).mapInArrow(_per_shard(_long(parts), DEPTH), packed)), "frequent-longer")
-    found = _with_keys(rows, short, long).mapInArrow(_per_shard(_texts, DEPTH), "lang string, phrase string, words int, f long")
-    sums = found.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("f").alias("f"))
-    return staged(sums.where(F.col("f") >= LEAST), "frequent-phrases")
+    found = _with_keys(rows, short, long).mapInArrow(_per_shard(_texts(parts), DEPTH), "part long, lang string, phrases array<string>, counts array<long>")
+    sums = found.repartition("part").sortWithinPartitions("part").mapInArrow(_sum_texts, "lang string, phrase string, words int, f long")
+    return staged(sums, "frequent-phrases")
 
 
 def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:

@@ -134,6 +134,17 @@ def test_collocations(tables, repeated, kind, shard, part, top, monkeypatch):
     assert got or kind != "repeated"
 
 
+def test_texts_of_a_shard_are_a_row_per_length_and_part():
+    ids = np.array([0, *[1, 2, 3, 4] * 50, 0], np.int32)
+    shard = phrases.Shard("en", b"a\nb\nc\nd", ids.tobytes(), 4)
+    two = shard.left(shard.unigrams())
+    every = [shard.unigrams(), two, *shard.longer(two)]
+    batches = list(phrases._texts(2)(0, shard, np.sort(np.concatenate([shard.keys(g) for g in every]))))
+    assert sum(b.num_rows for b in batches) <= 4 * 2 < sum(len(g.count) for g in every)
+    got = {p: n for b in batches for ps, ns in zip(b.column("phrases").to_pylist(), b.column("counts").to_pylist()) for p, n in zip(ps, ns)}
+    assert got == {p: n for g in every for p, n in zip(shard.phrases(g), g.count.tolist())}
+
+
 def test_intervals_of_both_indexes():
     rng = np.random.default_rng(6)
     pieces = [rng.integers(1, 6, rng.integers(1, 9)) for _ in range(200)]
