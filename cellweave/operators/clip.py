@@ -26,7 +26,7 @@ from cellweave.functions.coords import (
     normalize_lon,
     segment_distance,
 )
-from cellweave.session import stage as stage_table
+from cellweave.session import dealt, stage as stage_table
 from cellweave.sources.boundaries import extent
 
 OUTSIDE_EXTENT = "Outside bounds"
@@ -74,9 +74,11 @@ def band_height(box: dict) -> float:
 
 
 def _crossings(lats: DataFrame, edges: DataFrame, height: float = BAND) -> DataFrame:
-    """Where edges cross each latitude: ``lat, scan, <polygon>, x, lean``.
+    """Where edges cross each latitude: ``part, lat, scan, <polygon>, x, lean``.
 
-    Equi-join on latitude bands. ``scan`` is +1 just above the latitude and -1 just below.
+    Equi-join on latitude bands. ``scan`` is +1 just above the latitude and -1 just below. ``part`` is a whole
+    number for band and polygon together that edges are shuffled by: where the latitudes measure small they are
+    broadcast, so the crossings of a polygon arise in one place and need no shuffle of their own.
     """
     up = F.col("y1") < F.col("y2")
     # Both uses of a border shared by two polygons get the same end first, hence the same rounding.
@@ -89,20 +91,20 @@ def _crossings(lats: DataFrame, edges: DataFrame, height: float = BAND) -> DataF
     )
     banded = oriented.withColumn("band", F.explode(F.sequence(F.floor(F.col("ya") / height), F.floor(F.col("yb") / height))))
     lat = F.col("lat")
-    met = lats.withColumn("band", F.floor(lat / height)).join(banded, "band").where(
-        (lat >= F.col("ya")) & (lat <= F.col("yb"))
-    )
+    banded = dealt(banded.withColumn("part", F.xxhash64("band", *_polygon_key(edges))), "part")
+    met = banded.join(lats.withColumn("band", F.floor(lat / height)), "band").where((lat >= F.col("ya")) & (lat <= F.col("yb")))
     scans = F.array_compact(
         F.array(F.when(lat < F.col("yb"), F.lit(1)), F.when(lat > F.col("ya"), F.lit(-1)))
     )
     dx, dy = F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")
     return met.select(
+        "part",
         "lat",
         *_polygon_key(edges),
         (dx * (lat - F.col("ya")) / dy + F.col("xa")).alias("x"),
         (dx / dy).alias("slope"),
         F.explode(scans).alias("scan"),
-    ).select("lat", "scan", *_polygon_key(edges), "x", (F.col("slope") * F.col("scan")).alias("lean"))
+    ).select("part", "lat", "scan", *_polygon_key(edges), "x", (F.col("slope") * F.col("scan")).alias("lean"))
 
 
 def _strip(x: Column) -> list[Column]:
@@ -126,11 +128,12 @@ def _events(lats: DataFrame, edges: DataFrame, height: float = BAND) -> DataFram
     ``up_dip``/``down_dip``: lowest value reached while passing, relative to the count before.
     """
     crossings = _crossings(lats, edges, height)
-    along = Window.partitionBy("lat", "scan", *_polygon_key(edges)).orderBy("x", "lean")
+    along = Window.partitionBy("part", "lat", "scan", *_polygon_key(edges)).orderBy("x", "lean")
     # Odd crossings of a polygon open it, even ones close it: all rings together, so holes drop out.
     opened = crossings.withColumn("delta", F.when(F.row_number().over(along) % 2 == 1, 1).otherwise(-1))
-    placed = opened.select("lat", *_strip(F.col("x")), "x", "scan", "lean", "delta").repartition("strip")
-    sectors = placed.groupBy(*_PLACE, "x", "scan", "lean").agg(F.sum("delta").alias("delta"))
+    placed = opened.select("part", "lat", *_strip(F.col("x")), "x", "scan", "lean", "delta")
+    here = placed.groupBy("part", *_PLACE, "x", "scan", "lean").agg(F.sum("delta").alias("delta"))  # in place: borders that polygons share
+    sectors = here.repartition("strip").groupBy(*_PLACE, "x", "scan", "lean").agg(F.sum("delta").alias("delta"))
     turn = Window.partitionBy(*_PLACE, "x", "scan").orderBy("lean").rowsBetween(Window.unboundedPreceding, 0)
     passing = sectors.withColumn("reached", F.sum("delta").over(turn))
     above, below = F.col("scan") == 1, F.col("scan") == -1
@@ -147,7 +150,7 @@ def inside_points(points: DataFrame, edges: DataFrame, height: float = BAND) ->
     """The distinct ``(lat, lon)`` of ``points`` strictly inside the union of the polygons."""
     near = within_extent(points, edges)
     none = [F.lit(0).cast("long").alias(c) for c in _COUNTS]
-    events = _events(near.select("lat").distinct(), edges, height)
+    events = _events(stage_table(near.select("lat").distinct(), "latitudes"), edges, height)
     marks = (
         events.select(*_PLACE, "x", *_COUNTS, F.lit(False).alias("is_point"))
         .unionByName(

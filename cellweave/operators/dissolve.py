@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cellweave.session import stage
+from cellweave.session import dealt, stage
 
 #: Edges that a tile of the quadtree may hold, and halvings of a tile at most.
 LOAD = 256
@@ -129,11 +129,12 @@ def pieces(edges: DataFrame, load: int = LOAD) -> DataFrame:
     return stage(odd.select("polygon", *ENDS), "border-pieces")
 
 
-def _sides(borders: DataFrame, along: str, across: str) -> DataFrame:
-    """Pieces not parallel to the ray, and whether the union covers their near and far side.
+def _sides(borders: DataFrame, asked: DataFrame, along: str, across: str) -> DataFrame:
+    """Pieces asked for, not parallel to the ray, and whether the union covers their near and far side.
 
     The ray runs towards lesser ``along`` at the middle of the piece's ``across`` range. Pieces meet in bands
-    of ``across`` that are as high as pieces are on average, twice.
+    of ``across`` that are as high as pieces are on average, twice. All that a polygon has in a band is in one
+    ``part``; pieces that measure small are broadcast, so what they pass is counted where it is found.
     """
     a0, a1, c0, c1 = f"a{along}", f"b{along}", f"a{across}", f"b{across}"
     lesser, greater = F.least(c0, c1), F.greatest(c0, c1)
@@ -142,12 +143,13 @@ def _sides(borders: DataFrame, along: str, across: str) -> DataFrame:
     spans = slanted.select("polygon", *[F.col(c).alias(f"f_{c}") for c in ENDS], lesser.alias("low"), greater.alias("high"))
     spans = spans.withColumn("band", F.explode(F.sequence(F.floor(F.col("low") / height), F.floor(F.col("high") / height))))
     middle = (F.col(c0) + F.col(c1)) / 2
-    pieces_ = slanted.select(*ENDS).distinct().withColumns({"at": middle, "place": (F.col(a0) + F.col(a1)) / 2})
-    met = pieces_.withColumn("band", F.floor(F.col("at") / height)).join(spans, "band")
+    spans = dealt(spans.withColumn("part", F.xxhash64("polygon", "band")), "part")
+    pieces_ = asked.withColumns({"at": middle, "place": (F.col(a0) + F.col(a1)) / 2})
+    met = spans.join(pieces_.withColumn("band", F.floor(F.col("at") / height)), "band")
     met = met.where((F.col("low") <= F.col("at")) & (F.col("at") < F.col("high")))
     x = F.col(f"f_{a0}") + (F.col("at") - F.col(f"f_{c0}")) * (F.col(f"f_{a1}") - F.col(f"f_{a0}")) / (F.col(f"f_{c1}") - F.col(f"f_{c0}"))
     same = F.struct(*[F.col(f"f_{c}") for c in ENDS]) == F.struct(*ENDS)
-    passed = met.where(same | (x < F.col("place"))).groupBy(*ENDS, "polygon").agg(
+    passed = met.where(same | (x < F.col("place"))).groupBy("part", *ENDS, "polygon").agg(
         F.count_if(~same).alias("before"), F.max(same.cast("int")).alias("own")
     )
     odd = F.col("before") % 2 == 1
@@ -157,8 +159,9 @@ def _sides(borders: DataFrame, along: str, across: str) -> DataFrame:
 def dissolved_edges(edges: DataFrame, load: int = LOAD) -> DataFrame:
     """The edges of the union of all polygons: ax, ay, bx, by, from the lesser end to the greater one."""
     borders = pieces(edges, load)
-    upright = _sides(borders, "x", "y")
-    level = _sides(borders, "y", "x").where("ay = by")
+    distinct = stage(borders.select(*ENDS).distinct(), "distinct-pieces")
+    upright = _sides(borders, distinct.where("ay <> by"), "x", "y")
+    level = _sides(borders, distinct.where("ay = by"), "y", "x")
     return upright.unionByName(level).where("near <> far").select(*ENDS)
 
 

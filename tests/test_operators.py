@@ -609,3 +609,17 @@ def test_usgs_edition(spark):
     listing = spark.createDataFrame([(k, 1) for k in keys], "key string, size long")
     got = {r["tile_id"]: r["key"] for r in availability.usgs_keys(tiles, listing).collect()}
     assert got == {"n42w093": key("current", "n42w093"), "n43w093": key("historical", "n43w093")}
+
+
+def test_crossings_are_found_and_ordered_in_one_place(spark):
+    lats = stage(spark.createDataFrame([(float(i),) for i in range(1, 9)], "lat double"), "lats")
+    plan = clip._events(lats, edges_of(spark, [SQUARE]), 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(part" in plan and "hashpartitioning(lat" not in plan
+
+
+def test_what_a_piece_passes_is_counted_in_one_place(spark):
+    borders = stage(spark.createDataFrame([(1, 0.0, 0.0, 0.0, 2.0), (1, 2.0, 0.0, 2.0, 2.0)], "polygon long, ax double, ay double, bx double, by double"), "borders")
+    sides = dissolve._sides(borders, borders.select(*dissolve.ENDS), "x", "y")
+    assert sorted((r["ax"], r["near"], r["far"]) for r in sides.collect()) == [(0.0, False, True), (2.0, True, False)]
+    plan = sides._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(part" in plan and not re.search(r"hashpartitioning\([^)]*polygon", plan)
