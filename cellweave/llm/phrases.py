@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from cellweave.llm.common import mix64, staged, table, text_or_empty, whole_groups
+from cellweave.llm.common import mix64, pieces, staged, table, text_or_empty, whole_groups
 
 DEPTH = 4
 LEAST = 30
@@ -45,6 +45,8 @@ SHARD = 1 << 21
 PART = 1 << 22
 #: A phrase's rank is first taken among so many portions of its language.
 PORTIONS = 64
+#: Bytes of text that are cut into words at once.
+TEXT = 1 << 22
 
 _MARK = 255  # never a byte of UTF-8
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -55,42 +57,50 @@ _TABLE = _BYTES.tobytes()
 SHARDS = "lang string, seq long, words long, vocabulary binary, ids binary"
 
 
-class _Numbers(dict):
-    """Numbers from 1 in the order of first use; the mark is 0."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and bytes of the words and marks of the texts, each text closed by a mark."""
+    mark = bytes([_MARK])
+    raw = b" " + mark.join([*texts, b""])
+    raw = np.frombuffer(raw.translate(_TABLE).replace(mark, b" " + mark + b" "), np.uint8)
+    inside = raw != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return (edges[1::2] - edges[::2]).astype(np.int32), raw[inside]
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    mark = bytes([_MARK])
-    spaced = b" " + mark + b" "
-    open_: dict[str, tuple[_Numbers, list[int]]] = {}
+    begin = np.ones(1, np.int32), np.full(1, _MARK, np.uint8)
+    open_: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    held: dict[str, int] = {}
 
     def closed(lang: str) -> pa.RecordBatch:
-        numbers, ids = open_.pop(lang)
-        ids = np.array(ids, np.int32)
-        columns = [[lang], [0], [int(np.count_nonzero(ids))], [b"\n".join(list(numbers)[1:])], [ids.tobytes()]]
+        lengths, data = map(np.concatenate, zip(*open_.pop(lang)))
+        del held[lang]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths, dtype=np.int64)])
+        words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        numbers = words.dictionary_encode()  # in the order of first use, so the mark is 0
+        ids = numbers.indices.to_numpy().astype(np.int32)
+        columns = [[lang], [0], [int(np.count_nonzero(ids))], [b"\n".join(numbers.dictionary.to_pylist()[1:])], [ids.tobytes()]]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "seq", "words", "vocabulary", "ids"])
 
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.large_binary())):
-            tokens = text.as_py().translate(_TABLE).replace(mark, spaced).split()
-            at = 0
-            while at < len(tokens):
-                numbers, ids = open_.setdefault(lang, (_Numbers({mark: 0}), [0]))
-                room = max(SHARD - len(ids), 1)
-                end = len(tokens)
-                if end - at > room:  # cut at the next mark
-                    try:
-                        end = tokens.index(mark, at + room - 1) + 1
-                    except ValueError:
-                        pass
-                ids += map(numbers.__getitem__, tokens[at:end])
-                ids.append(0)
-                at = end
-                if len(ids) >= SHARD:
+    for batch in pieces(batches, "text", TEXT):
+        texts: dict[str, list[bytes]] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist()):
+            texts.setdefault(lang, []).append(text)
+        for lang, own in texts.items():
+            lengths, data = _tokens(own)
+            ends = np.cumsum(lengths, dtype=np.int64)
+            marks = np.flatnonzero(data[ends - 1] == _MARK)
+            at = byte = 0
+            while at < len(lengths):
+                parts = open_.setdefault(lang, [begin])
+                room = max(SHARD - held.setdefault(lang, 1), 1)
+                end = len(lengths)
+                if end - at > room:  # cut at the next mark; the last one ends the texts
+                    end = int(marks[np.searchsorted(marks, at + room - 1)]) + 1
+                parts.append((lengths[at:end], data[byte : ends[end - 1]]))
+                held[lang] += end - at
+                at, byte = end, int(ends[end - 1])
+                if held[lang] >= SHARD:
                     yield closed(lang)
     for lang in list(open_):
         yield closed(lang)
@@ -103,32 +113,44 @@ def shards(docs: DataFrame) -> DataFrame:
     return made.withColumnRenamed("seq", "shard")
 
 
+def _ordered(code: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of codes below ``kinds``, and the codes in it; one sort of codes with their places, where both fit 64 bits."""
+    bits = len(code).bit_length()
+    if int(kinds).bit_length() + bits > 64:
+        order = np.argsort(code)
+        return order, code[order]
+    both = (code.astype(np.uint64) << np.uint64(bits)) | np.arange(len(code), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << bits) - 1)).astype(np.int64), (both >> np.uint64(bits)).astype(np.int64)
+
+
 class FMIndex:
-    """The Burrows-Wheeler transform of an array of numbers that begins and ends with 0, and its ranks."""
+    """The sorted suffixes of an array of numbers that begins and ends with 0, and the transform's way from last to first.
+
+    Suffixes that agree to ``depth`` symbols stand in any order, so intervals are those of up to ``depth`` symbols.
+    """
 
     def __init__(self, text: np.ndarray, symbols: int, depth: int) -> None:
-        self.size = size = len(text)
+        size = len(text)
         rank, length, kinds = text.astype(np.int64), 1, symbols
         while length < depth:  # ranks of twice the length
             ahead = np.zeros(size, np.int64)
             ahead[:-length] = rank[length:]
-            code = rank * (kinds + 1) + ahead
-            order = np.argsort(code, kind="stable")
+            order, code = _ordered(rank * (kinds + 1) + ahead, kinds * (kinds + 1))
             length *= 2
             if length < depth:
-                new = code[order]
-                new = np.cumsum(np.concatenate([[False], new[1:] != new[:-1]]))
-                rank = np.empty(size, np.int64)
-                rank[order] = new
-                kinds = int(new[-1]) + 1
-        self.starts = np.searchsorted(text[order], np.arange(symbols + 1))
-        self.last = text[order - 1].astype(np.int64)  # text[-1] is 0, as is text[0]
-        #: Where each symbol stands in the transform, ascending; the ranks are searched in it.
-        self.places = np.sort(self.last * (size + 1) + np.arange(size))
-
-    def rank(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each symbol stands before a place of the transform."""
-        return np.searchsorted(self.places, symbols * (self.size + 1) + at) - self.starts[symbols]
+                code = np.cumsum(np.concatenate([[False], code[1:] != code[:-1]]))
+                rank[order] = code
+                kinds = int(code[-1]) + 1
+        counts = np.bincount(text, minlength=symbols)
+        self.starts = np.concatenate([[0], np.cumsum(counts)])
+        #: The symbol that each suffix begins with.
+        self.first = np.repeat(np.arange(symbols), counts)
+        #: Where the suffix stands that is longer by one symbol to the left.
+        place = np.empty(size, np.int64)
+        place[order] = np.arange(size)
+        self.before = place[order - 1]  # text[-1] is 0, as is text[0]
+        self.bits = size.bit_length()
 
     def extend(self, low: np.ndarray, high: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
         """All one-symbol extensions of intervals [low, high), whose intervals in the other index begin at ``other``.
@@ -136,16 +158,19 @@ class FMIndex:
         Gives (interval extended, symbol, count, low, low in the other index).
         """
         sizes = high - low
+        begins = np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(len(low)), sizes)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        code = np.sort(owner * len(self.starts) + self.last[low[owner] + within])
-        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        code = (owner << self.bits) | self.before[np.arange(len(owner)) + np.repeat(low - begins, sizes)]
+        code.sort()
+        of, at = code >> self.bits, code & ((1 << self.bits) - 1)
+        symbol = self.first[at]
+        first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (symbol[1:] != symbol[:-1])])) if len(code) else np.zeros(0, np.int64)
         count = np.diff(np.concatenate([first, [len(code)]]))
-        of, symbol = np.divmod(code[first], len(self.starts))
-        smaller = first - (np.cumsum(sizes) - sizes)[of]
+        of, symbol, at = of[first], symbol[first], at[first]
+        smaller = first - begins[of]
         real = symbol > 0
-        of, symbol, count, smaller = of[real], symbol[real], count[real], smaller[real]
-        return of, symbol, count, self.starts[symbol] + self.rank(symbol, low[of]), other[of] + smaller
+        of, symbol, count, at, smaller = of[real], symbol[real], count[real], at[real], smaller[real]
+        return of, symbol, count, at, other[of] + smaller
 
 
 class Grams:
@@ -216,10 +241,20 @@ def _kept(shard: Shard, g: Grams, keys: np.ndarray) -> Grams:
     return g.where(keys[at] == own if len(keys) else np.zeros(len(own), bool))
 
 
+def _bigrams(shard: Shard, keys: np.ndarray) -> Grams:
+    """The bigrams whose key, and whose words' keys, are among the sorted ones."""
+    one = _kept(shard, shard.unigrams(), keys)
+    known = np.zeros(len(shard.vocabulary), bool)
+    known[one.words[:, 0]] = True
+    two = shard.left(one)
+    return _kept(shard, two.where(known[two.words[:, 0]]), keys)
+
+
 def _ranges(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of the keys, the part that each one in order belongs to, and where parts begin; a part is a range of the keys."""
-    order = np.argsort(keys)
-    part = ((keys[order] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    """The order of the keys by part, the part that each one in order belongs to, and where parts begin; a part is a range of the keys."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")
+    part = part[order]
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
     return order, part, first
 
@@ -243,10 +278,14 @@ def _sum_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             every = np.concatenate(keys)
             counts = np.concatenate([np.frombuffer(c, np.uint32) for c in t.column("counts").slice(a, b - a).to_pylist()])
             order = np.argsort(every)
-            key, first = np.unique(every[order], return_index=True)
-            key = key[np.add.reduceat(counts[order].astype(np.int64), first) >= LEAST]
-            told = [(s, k[np.isin(k, key, assume_unique=False)].tobytes()) for s, k in zip(owners, keys)] if len(key) else []
-            told = [x for x in told if x[1]]
+            key = every[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            enough = np.zeros(len(every), bool)
+            if len(key):
+                reach = np.add.reduceat(counts[order].astype(np.int64), first) >= LEAST
+                enough[order] = np.repeat(reach, np.diff(np.concatenate([first, [len(key)]])))
+            ends = np.cumsum([len(k) for k in keys])[:-1]
+            told = [(s, k[e].tobytes()) for s, k, e in zip(owners, keys, np.split(enough, ends)) if e.any()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in told], pa.int64()), pa.array([x[1] for x in told], pa.binary())], ["shard", "keys"])
 
 
@@ -284,7 +323,7 @@ def _short(parts: int):
 
 def _long(parts: int):
     def work(number: int, shard: Shard, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        three, four = shard.longer(_kept(shard, shard.left(shard.unigrams()), keys))
+        three, four = shard.longer(_bigrams(shard, keys))
         yield _dealt(number, np.concatenate([shard.keys(three), shard.keys(four)]), np.concatenate([three.count, four.count]), parts)
 
     return work
@@ -292,9 +331,8 @@ def _long(parts: int):
 
 def _texts(parts: int):
     def work(number: int, shard: Shard, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        one = shard.unigrams()
-        two = _kept(shard, shard.left(one), keys)
-        for g in (one, two, *shard.longer(two)):
+        two = _bigrams(shard, keys)
+        for g in (shard.unigrams(), two, *shard.longer(two)):
             g = _kept(shard, g, keys)
             order, part, first = _ranges(shard.keys(g), parts)
             offsets, order = pa.array(np.append(first, len(part)).astype(np.int32)), pa.array(order)

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -145,6 +146,48 @@ def test_texts_of_a_shard_are_a_row_per_length_and_part():
     assert got == {p: n for g in every for p, n in zip(shard.phrases(g), g.count.tolist())}
 
 
+def test_only_words_that_were_told_are_extended(monkeypatch):
+    ids = np.array([0, *[1, 2, 3] * 40, 0, *range(4, 104), 0], np.int32)
+    shard = phrases.Shard("en", b"\n".join(b"w%d" % i for i in range(1, 104)), ids.tobytes(), 4)
+    one, two = shard.unigrams(), shard.left(shard.unigrams())
+    told = np.sort(np.concatenate([shard.keys(g.where(g.count >= 30)) for g in (one, two)]))
+    asked, extend = [], phrases.FMIndex.extend
+
+    def counted(self, low, high, other):
+        asked.append(int((high - low).sum()))
+        return extend(self, low, high, other)
+
+    monkeypatch.setattr(phrases.FMIndex, "extend", counted)
+    list(phrases._long(1)(0, shard, told))
+    assert asked[0] == 120  # of 220 words
+    found = phrases._bigrams(shard, told)
+    assert {tuple(w): c for w, c in zip(found.words.tolist(), found.count.tolist())} == {(1, 2): 40, (2, 3): 40, (3, 1): 39}
+
+
+def test_order_of_codes_that_do_not_fit_with_their_places():
+    code = np.random.default_rng(3).integers(0, 50, 999)
+    for kinds in (50, 1 << 62):
+        order, ordered = phrases._ordered(code, kinds)
+        assert sorted(order.tolist()) == list(range(999)) and (code[order] == ordered).all() and (np.diff(ordered) >= 0).all()
+
+
+@pytest.mark.parametrize("shard,text", [(1 << 21, 1 << 22), (7, 1 << 22), (7, 10), (1, 1)])
+def test_shards_hold_every_word_between_marks(shard, text, monkeypatch):
+    monkeypatch.setattr(phrases, "SHARD", shard)
+    monkeypatch.setattr(phrases, "TEXT", text)
+    rows = [("en", "A b\tB. c"), ("fr", ""), ("en", "one two three four five six seven eight nine ten"), ("de", " \t "), ("en", "..!"), ("fr", "\u00c9t\u00e9 x\x0by\xa0z,q"), ("en", "a b")]
+    batches = [pa.record_batch({"lang": [r[0] for r in part], "text": [r[1] for r in part]}) for part in (rows[:4], rows[4:])]
+    got = collections.defaultdict(list)
+    for b in phrases._shards(iter(batches)):
+        for r in b.to_pylist():
+            words, ids = ["|", *r["vocabulary"].decode().split("\n")], np.frombuffer(r["ids"], np.int32).tolist()
+            assert ids[0] == ids[-1] == 0 and len(set(words)) == len(words) and r["words"] == sum(map(bool, ids))
+            got[r["lang"]] += "\0".join(words[i] for i in ids).split("|")
+    pieces = lambda ps: sorted("\0".join(p.split("\0")).strip("\0") for p in ps if p.strip("\0"))
+    assert pieces(got["en"]) == sorted(["a\0b\0b", "c", "\0".join("one two three four five six seven eight nine ten".split()), "a\0b"])
+    assert pieces(got["fr"]) == sorted(["\u00c9t\u00e9\0x", "y\xa0z", "q"]) and pieces(got["de"]) == []
+
+
 def test_intervals_of_both_indexes():
     rng = np.random.default_rng(6)
     pieces = [rng.integers(1, 6, rng.integers(1, 9)) for _ in range(200)]
