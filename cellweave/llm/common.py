@@ -32,11 +32,11 @@ def id_text(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *more)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: work done once, kept when executors are lost."""
+def staged(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write to the shared folder, with the writer's options, and read back: work done once, kept when executors are lost."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     if _ACCOUNT is not None:
         _ACCOUNT.append(path)
     return spark.read.schema(df.schema).parquet(path)

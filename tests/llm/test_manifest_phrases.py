@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -188,6 +189,108 @@ def test_shards_hold_every_word_between_marks(shard, text, monkeypatch):
     assert pieces(got["fr"]) == sorted(["\u00c9t\u00e9\0x", "y\xa0z", "q"]) and pieces(got["de"]) == []
 
 
+def words_shard(n, kinds, depth):
+    """A shard of random words and what it is told, if all its words and bigrams are frequent."""
+    ids = np.concatenate([[0], np.random.default_rng(8).integers(1, kinds + 1, n), [0]]).astype(np.int32)
+    ids[::20] = 0
+    shard = phrases.Shard("en", b"\n".join(b"word%d" % i for i in range(1, kinds + 1)), ids.tobytes(), depth)
+    one = shard.unigrams()
+    return ids, shard, np.sort(np.concatenate([shard.keys(one), shard.keys(shard.left(one))]))
+
+
+@pytest.mark.parametrize("work,most", [("_short", 100), ("_long", 100), ("_texts", 150)])
+def test_memory_of_a_shard_at_work(work, most):
+    """Bytes for a word, besides the shard's own: what is found leaves at once, and extensions come in blocks."""
+    n = 1 << 21
+    _, shard, told = words_shard(n, 1 << 14, 2 if work == "_short" else 4)
+    tracemalloc.start()
+    held = pa.total_allocated_bytes()
+    peak = 0
+    for b in getattr(phrases, work)(50)(0, shard, told):
+        peak = max(peak, pa.total_allocated_bytes() - held)
+    peak += tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak / n < most
+
+
+@pytest.mark.parametrize("block,gather", [(1 << 18, 1 << 20), (40, 300), (1, 1)])
+def test_blocks_of_a_shard_find_the_same(block, gather, monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK", block)
+    monkeypatch.setattr(phrases, "GATHER", gather)
+    monkeypatch.setattr(phrases, "BATCH", gather)
+    ids, shard, told = words_shard(1500, 12, 4)
+    pieces = [p.tolist() for p in np.split(ids[ids > 0], np.cumsum(np.diff(np.flatnonzero(ids == 0)) - 1))]
+    count = collections.Counter(" ".join(f"word{w}" for w in p[i : i + k]) for p in pieces for k in (1, 2, 3, 4) for i in range(len(p) - k + 1))
+    three = [k for g in shard.longer(phrases._bigrams(shard, told)) for k in shard.keys(g).tolist()]
+    for work, keys, lengths in ((phrases._short(7), told, (1, 2)), (phrases._long(7), told, (3, 4))):
+        got = collections.Counter()
+        for b in work(0, shard, keys):
+            for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
+                got.update(dict(zip(np.frombuffer(k, np.uint64).tolist(), np.frombuffer(c, np.uint32).tolist())))
+        assert sorted(got.values()) == sorted(c for p, c in count.items() if len(p.split()) in lengths)
+    got = collections.Counter()
+    for b in phrases._texts(7)(0, shard, np.sort(np.concatenate([told, np.array(three, np.uint64)]))):
+        assert set(b.column("lang").to_pylist()) == {"en"}
+        for ps, cs in zip(b.column("phrases").to_pylist(), b.column("counts").to_pylist()):
+            got.update(dict(zip(ps, cs)))
+    assert got == count
+
+
+def test_rows_of_a_part_are_summed_as_they_come(monkeypatch):
+    """A task that gets several parts, and each from many shards, holds no more than a batch of texts, and one part's keys."""
+    parts, shards, n = 4, 30, 20_000
+    monkeypatch.setattr(phrases, "GATHER", n, raising=False)
+    rng = np.random.default_rng(9)
+    words, keys = [f"a phrase of text {i}" for i in range(n)], np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    lists = lambda x, kind: pa.array([x], pa.list_(kind))
+
+    def texts(p):
+        return pa.record_batch({"part": [p], "lang": ["en"], "phrases": lists(words, pa.string()), "counts": lists([1] * n, pa.int64())})
+
+    def packed(p, s):
+        return pa.record_batch({"part": [p], "shard": [s], "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([np.ones(n, np.uint32).tobytes()], pa.binary())})
+
+    for work, make, most in ((phrases._sum_texts, lambda p, s: texts(p), 8 * texts(0).nbytes), (phrases._sum_part, packed, 2 * shards * 8 * n)):
+        before, held, out = pa.total_allocated_bytes(), [], []
+
+        def batches():
+            for p in range(parts):
+                for s in range(shards):
+                    held.append(pa.total_allocated_bytes() - before)
+                    yield make(p, s)
+
+        for b in work(batches()):
+            out.append(b.num_rows)
+            del b
+        assert sum(out) == (parts * n if work is phrases._sum_texts else parts * shards) and max(held) < most
+
+
+def test_batches_that_spark_sends_are_small(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "BATCH", 1 << 16)
+    rows = spark.range(0, 400, 1, 1).selectExpr("id", "CAST(repeat('x', 4096) AS BINARY) AS x")
+    sizes = rows.mapInArrow(lambda batches: (pa.record_batch({"n": [b.nbytes]}) for b in batches), "n long")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with phrases._small_batches(spark):
+        assert max(r.n for r in sizes.collect()) < 1 << 18
+    assert spark.conf.get(name) == before and max(r.n for r in sizes.collect()) > 1 << 20
+
+
+def test_shards_of_many_languages_close_before_they_are_full(monkeypatch):
+    monkeypatch.setattr(phrases, "SHARD", 100)
+    taken, given = [], []
+
+    def batches():
+        for i in range(60):
+            taken.append(i)
+            yield pa.record_batch({"lang": [f"l{i % 20}"], "text": ["a b c d e f g h i"]})
+
+    for b in phrases._shards(batches()):
+        given.append((len(taken), b.to_pylist()[0]["words"]))
+    assert sum(w for _, w in given) == 60 * 9
+    assert all(9 * k - sum(w for t, w in given if t <= k) <= 200 for k in range(1, 60))
+
+
 def test_intervals_of_both_indexes():
     rng = np.random.default_rng(6)
     pieces = [rng.integers(1, 6, rng.integers(1, 9)) for _ in range(200)]
