@@ -74,14 +74,16 @@ SHARDS = "lang string, seq long, piece int, words long, vocabulary binary, ids b
 
 @contextlib.contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """What runs inside sends rows to Python in batches of ``BATCH`` bytes."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, BATCH)
+    """What is written inside sends rows to Python in batches of ``BATCH`` bytes, and its shuffle files go with its end."""
+    ours = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH, "spark.sql.classic.shuffleDependency.fileCleanup.enabled": True}
+    before = {name: spark.conf.get(name, None) for name in ours}
     try:
+        for name, value in ours.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:

@@ -276,6 +276,18 @@ def test_batches_that_spark_sends_are_small(spark, monkeypatch):
     assert spark.conf.get(name) == before and max(r.n for r in sizes.collect()) > 1 << 20
 
 
+def test_staged_rounds_leave_no_shuffle_files(spark, tmp_path):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    rows = spark.range(0, 1000).repartition(3, "id")
+    held = tracker.shuffleStatuses().size()
+    with phrases._small_batches(spark):
+        rows.write.parquet(f"{tmp_path}/out")
+    assert tracker.shuffleStatuses().size() <= held and spark.conf.get(name) == before
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1000
+
+
 def test_shards_of_many_languages_close_before_they_are_full(monkeypatch):
     monkeypatch.setattr(phrases, "SHARD", 100)
     taken, given = [], []
